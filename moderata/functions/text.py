@@ -85,14 +85,14 @@ def squash(c: Column) -> Column:
     return F.trim(_sub(F.lower(c), rf"(?U){SPACE}+", " "))
 
 
-def clean_text(
+def clean_steps(
     c: Column,
     keep_emojis: bool = False,
     normalize_repeated: bool = True,
     keep_emphasis: bool = True,
     profile: str = "social",
 ) -> Column:
-    """The full cleaner; null becomes the empty string."""
+    """The cleaner as it is defined, one step after the other."""
     c = unwrap_hashtags(strip_mentions(strip_urls(c)))
     if profile == "social":
         c = emphasis(emoji(c, keep_emojis), keep_emphasis)
@@ -101,6 +101,40 @@ def clean_text(
     return F.coalesce(squash(charset(c, profile)), F.lit(""))
 
 
+def clean_text(
+    c: Column,
+    keep_emojis: bool = False,
+    normalize_repeated: bool = True,
+    keep_emphasis: bool = True,
+    profile: str = "social",
+) -> Column:
+    """The full cleaner; null becomes the empty string.
+
+    Gives what :func:`clean_steps` gives with fewer regex passes: a removed
+    mention never joins a ``#`` to a word, so both go in one pass; runs are
+    maximal, so vowels and other characters shorten in one pass; tokens hold no
+    runs, so they may come after it; an emoji that is not kept is dropped with
+    the other foreign characters. ``c`` should be a column, as cheap tests on
+    it skip passes.
+    """
+    if profile != "social":
+        return clean_steps(c, keep_emojis, normalize_repeated, keep_emphasis, profile)
+    has_url = F.contains(c, F.lit("http")) | F.contains(c, F.lit("www"))
+    x = F.when(has_url, strip_urls(c)).otherwise(c)
+    has_tag = F.contains(c, F.lit("@")) | F.contains(c, F.lit("#"))
+    x = F.when(has_tag, _sub(x, rf"@{WORD}+|#({WORD}+)", "$1")).otherwise(x)
+    if keep_emojis:
+        x = emoji(x, keep=True)
+    if normalize_repeated:
+        x = _sub(x, r"([aeiouAEIOU])\1+|([^\naeiouAEIOU])\2\2+", "$1$2$2")
+        if keep_emphasis:  # at most two in a row are left: plain byte replacement
+            for mark, token in (("!", " <excl> "), ("?", " <ques> ")):
+                x = F.replace(F.replace(x, F.lit(mark * 2), F.lit(mark)), F.lit(mark), F.lit(token))
+    elif keep_emphasis:
+        x = emphasis(x)
+    return F.coalesce(squash(charset(x)), F.lit(""))
+
+
 def is_code_mixed(c: Column, tokens: Sequence[str] = CODE_MIX_TOKENS) -> Column:
     """True for any Devanagari letter, or a listed word next to an unlisted one.
 

@@ -121,17 +121,14 @@ def add_negatives(
 
 def latest_corrections(feedback: DataFrame) -> DataFrame:
     """The newest correction of each text: (key, id, label, input_text)."""
-    fixes = errors_of(feedback, "prediction", "user_label").withColumn(
-        "label", label_value(F.col("user_label")))
-    key = key_digest(text_key(F.col("input_text")))
-    newest = (
-        fixes.filter("label IS NOT NULL")
-        .groupBy(key.alias("key"))
-        .agg(F.max_by("label", "id").alias("label"), F.max("id").alias("id"))
+    fixes = errors_of(feedback, "prediction", "user_label").select(
+        "id", key_digest(text_key(F.col("input_text"))).alias("key"),
+        label_value(F.col("user_label")).alias("label"), "input_text")
+    newest = F.max_by(F.struct("id", "label", "input_text"), "id")
+    return (
+        fixes.filter("label IS NOT NULL").groupBy("key").agg(newest.alias("n"))
+        .select("key", "n.*")
     )
-    # The text itself is fetched by the unique id, not carried through the grouping.
-    return newest.join(fixes.select("id", "input_text"), "id").select(
-        "key", "id", "label", "input_text")
 
 
 def apply_corrections(train: DataFrame, corrections: DataFrame, text: str = "text") -> DataFrame:
