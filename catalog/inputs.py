@@ -14,6 +14,18 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents; a table in a single file is first dealt out to all cores.
+
+    A file with one row group is one task, whatever the work per row. Tables of
+    many files are read as they are.
+    """
+    df = table(spark, sf, "documents")
+    if len(df.inputFiles()) > 1:
+        return df
+    return df.repartition(spark.sparkContext.defaultParallelism)
+
+
 # A document dressed up as a post: links, mentions, hashtags, emoji, Devanagari,
 # elongations, kept symbols, and some blank and missing texts.
 POST_TEXT = """
@@ -33,7 +45,7 @@ POSTS_SQL = f"posts AS (SELECT doc_id AS post_id, lang, source, {POST_TEXT} AS t
 
 
 def posts(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").selectExpr(
+    return documents(spark, sf).selectExpr(
         "doc_id AS post_id", "lang", "source", f"{POST_TEXT} AS text_raw")
 
 

@@ -15,7 +15,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import SPACE, WORD
+from ..functions.text import WORD, squash
 
 # Largest vocabulary that may travel with a model and be broadcast.
 MODEL_TERMS = 500_000
@@ -41,40 +41,32 @@ def remove_stop(words: Column, stop: Sequence[str] | None = None) -> Column:
 def ngrams(words: Column, lo: int = 1, hi: int = 2) -> Column:
     """Word n-grams for n in lo..hi: all unigrams first, then all bigrams, ...
 
-    Each length is the previous one zipped with the words one step further, so
-    no lambda reaches back into an array that would be built again per element.
+    A lookahead captures n words and the match consumes one, so each length is
+    one regex pass over the joined words. Words must not contain spaces.
     """
-    size = F.size(words)
-    grams, current = [], words
-    for n in range(1, hi + 1):
-        if n > 1:
-            length = F.greatest(size - (n - 1), F.lit(0))
-            current = F.zip_with(
-                F.slice(current, F.lit(1), length), F.slice(words, F.lit(n), length),
-                lambda a, b: F.concat_ws(" ", a, b))
-        if n >= lo:
-            grams.append(current)
+    joined = F.array_join(words, " ")
+    grams = [
+        words if n == 1 else F.regexp_extract_all(
+            joined, F.lit(rf"(?=([^ ]+(?: [^ ]+){{{n - 1}}}))[^ ]+"), F.lit(1))
+        for n in range(lo, hi + 1)
+    ]
     return F.concat(*grams) if len(grams) > 1 else grams[0]
 
 
 def char_ngrams(c: Column, lo: int = 3, hi: int = 5) -> Column:
-    """Character n-grams inside words padded with one space on each side.
+    """Character n-grams (lo >= 2) inside words padded with one space on each side.
 
-    A padded word shorter than n gives itself once, for the smallest such n.
+    In a single-spaced text these are the windows with no space but at their
+    ends. A padded word shorter than ``lo`` gives itself once.
     """
-    words = F.filter(
-        F.split(F.lower(F.coalesce(c, F.lit(""))), rf"(?U){SPACE}+"), lambda w: w != "")
-    padded = F.transform(words, lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
-
-    def grams(n: int) -> Column:
-        def of_word(w):
-            last = F.greatest(F.length(w) - n + 1, F.lit(1))
-            return F.transform(F.sequence(F.lit(1), last), lambda i: F.substr(w, i, F.lit(n)))
-
-        long_enough = padded if n == lo else F.filter(padded, lambda w: F.length(w) >= n)
-        return F.flatten(F.transform(long_enough, of_word))
-
-    return F.concat(*[grams(n) for n in range(lo, hi + 1)])
+    padded = F.concat(F.lit(" "), squash(F.coalesce(c, F.lit(""))), F.lit(" "))
+    grams = []
+    for n in range(lo, hi + 1):
+        window = rf"[^\n][^ ]{{{n - 2}}}[^\n]" if n > 2 else r"[^ ][^\n]|[^\n][^ ]"
+        if n == lo and lo > 3:
+            window += rf"| [^ ]{{1,{n - 3}}} "
+        grams.append(F.regexp_extract_all(padded, F.lit(rf"(?=({window}))[^\n]"), F.lit(1)))
+    return F.concat(*grams) if len(grams) > 1 else grams[0]
 
 
 def add_terms(
@@ -89,46 +81,47 @@ def add_terms(
     return d.withColumn(out, grams).drop("words")
 
 
-def term_counts(terms: Column) -> Column:
-    """Distinct terms of one array with their counts, as (term, tf) structs.
+def doc_terms(df: DataFrame, doc: str = "doc_id", terms: str = "terms") -> DataFrame:
+    """Long table (doc, term, tf), made row by row without a shuffle.
 
-    Sorts the array and measures the runs: no shuffle, n log n per row.
+    Sorts each row's terms and measures the runs of equal ones.
     """
-    s = F.sort_array(terms)
-    before = F.concat(F.array(F.lit(None).cast("string")), s)
-    marked = F.arrays_zip(
-        s.alias("term"), before.alias("before"),
-        F.sequence(F.lit(0), F.size(s)).alias("at"))
-    starts = F.filter(
-        marked, lambda e: e["term"].isNotNull() & ~e["term"].eqNullSafe(e["before"]))
-    begin = F.transform(starts, lambda e: e["at"])
-    end = F.concat(F.slice(begin, F.lit(2), F.greatest(F.size(begin) - 1, F.lit(0))),
-                   F.array(F.size(s)))
-    counted = F.zip_with(
-        starts, end, lambda e, z: F.struct(e["term"].alias("term"), (z - e["at"]).alias("tf")))
-    empty = F.array().cast("array<struct<term:string,tf:int>>")
-    return F.when(F.size(s) > 0, counted).otherwise(empty)
-
-
-def doc_terms(df: DataFrame, doc: str = "doc_id", terms: str = "terms") -> DataFrame:
-    """Long table (doc, term, tf), made row by row without a shuffle."""
-    sorted_terms = df.select(doc, F.sort_array(terms).alias("s"))
-    return sorted_terms.select(doc, F.inline(term_counts(F.col("s"))))
+    d = df.select(doc, F.sort_array(terms).alias("s"))
+    before = F.concat(F.array(F.lit(None).cast("string")), F.slice("s", F.lit(1), F.size("s") - 1))
+    d = d.filter(F.size("s") > 0).select(
+        doc, F.size("s").alias("n"),
+        F.filter(
+            F.zip_with("s", before, lambda t, b: F.when(~t.eqNullSafe(b), t)),
+            lambda t: t.isNotNull()).alias("term"),
+        # Positions where a run starts.
+        F.filter(
+            F.transform(F.zip_with("s", before, lambda t, b: ~t.eqNullSafe(b)),
+                        lambda new, i: F.when(new, i)),
+            lambda i: i.isNotNull()).alias("at"))
+    end = F.concat(F.slice("at", F.lit(2), F.size("at") - 1), F.array("n"))
+    return d.select(doc, F.inline(F.arrays_zip(
+        "term", F.zip_with(end, "at", lambda z, a: z - a).alias("tf"))))
 
 
 def vocab(
-    counts: DataFrame, n_docs: int, min_df: int = 2, max_df: float = 0.8,
-    max_features: int | None = 50_000,
+    df: DataFrame, n_docs: int, min_df: int = 2, max_df: float = 0.8,
+    max_features: int | None = 50_000, terms: str = "terms",
 ) -> DataFrame:
-    """(term, df, cnt, idf) of the terms kept, from a (doc, term, tf) table.
+    """(term, df, cnt, idf) of the terms kept, from a frame with a term array.
 
     Terms in fewer than ``min_df`` documents or in more than the share
     ``max_df`` of them go; of the rest the most frequent stay, ties by term.
+    Each row is unpacked twice, once with all and once with distinct terms, so
+    one grouping by term, pre-aggregated in every task, gives both counts.
     """
     idf = F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0
+    both = F.array(
+        F.struct(F.lit(0).alias("in_doc"), F.col(terms).alias("t")),
+        F.struct(F.lit(1).alias("in_doc"), F.array_distinct(terms).alias("t")))
     kept = (
-        counts.groupBy("term")
-        .agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cnt"))
+        df.select(F.inline(both)).select("in_doc", F.explode("t").alias("term"))
+        .groupBy("term")
+        .agg(F.sum("in_doc").alias("df"), F.sum(1 - F.col("in_doc")).alias("cnt"))
         .filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
         .withColumn("idf", idf)
     )
@@ -137,6 +130,11 @@ def vocab(
     return kept.orderBy(F.col("cnt").desc(), "term").limit(max_features)
 
 
+def pin(vocabulary: DataFrame) -> DataFrame:
+    """Fetch a vocabulary bounded by max_features once and reuse it as literal rows."""
+    return vocabulary.sparkSession.createDataFrame(vocabulary.toPandas(), vocabulary.schema)
+
+
 def tfidf(
     df: DataFrame, vocabulary: DataFrame, doc: str = "doc_id", terms: str = "terms",
     max_features: int | None = 50_000,

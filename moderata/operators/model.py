@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions import scores
 from ..functions.text import clean_text, preview
-from .features import add_terms, doc_terms, vectorizer, vocab
+from .features import add_terms, vectorizer, vocab
 from .split import assign_folds
 
 
@@ -80,7 +80,7 @@ def train_baseline(
                      text, lo, hi, char, stop)
     counts = {r["y"]: r["count"] for r in data.groupBy("y").count().collect()}
     n = sum(counts.values())
-    words = vocab(doc_terms(data, doc), n, min_df, max_df, max_features).collect()
+    words = vocab(data, n, min_df, max_df, max_features).collect()
     if not words:
         raise ValueError("empty vocabulary")
     feats = vectorizer([w["term"] for w in words], [w["idf"] for w in words])
