@@ -9,12 +9,14 @@ from moderata.functions.text import is_code_mixed, text_key
 from moderata.operators import merge, profiling, split
 from moderata.operators.dedup import dedup_first
 from moderata.operators.features import tokens
+from moderata.sources.workspace import materialize
 
 from . import duck
 from .inputs import (
     FEEDBACK_SQL,
     LABELLED_SQL,
     SOURCES_SQL,
+    documents,
     feedback,
     labelled,
     source_a,
@@ -47,7 +49,7 @@ def sources(spark, sf):
 @query("dedup_first", f"""SELECT doc_id, text FROM documents
   QUALIFY row_number() OVER (PARTITION BY {duck.key("text")} ORDER BY doc_id) = 1""")
 def _dedup_first(spark, sf):
-    df = table(spark, sf, "documents").select("doc_id", "text")
+    df = documents(spark, sf).select("doc_id", "text")
     return dedup_first(df, text_key(F.col("text")), "doc_id")
 
 
@@ -89,7 +91,7 @@ def _add_negatives(spark, sf):
   SELECT text, label FROM labelled WHERE regexp_matches(text, '{duck.NON_WS}')
   UNION ALL SELECT text, 0 FROM extra WHERE regexp_matches(text, '{duck.NON_WS}')""")
 def _add_negatives_sampled(spark, sf):
-    extra = table(spark, sf, "documents").select("doc_id", "text")
+    extra = documents(spark, sf).select("doc_id", "text")
     return merge.add_negatives(
         labelled(spark, sf).select("doc_id", "text", "label"), extra, 50, 42, "doc_id"
     ).select("text", "label")
@@ -109,7 +111,7 @@ CORRECTED_SQL = f"""WITH {LABELLED_SQL}, {FIXES_SQL},
 
 @query("apply_corrections", CORRECTED_SQL)
 def _apply_corrections(spark, sf):
-    fixes = merge.latest_corrections(feedback(spark, sf))
+    fixes = materialize(merge.latest_corrections(feedback(spark, sf)), "corrections")
     return merge.apply_corrections(labelled(spark, sf).select("text", "label"), fixes)
 
 
@@ -156,13 +158,13 @@ def _kfold(spark, sf):
 
 @query("sample_n", f"SELECT doc_id, lang FROM documents ORDER BY {h(42)}, doc_id LIMIT 100")
 def _sample(spark, sf):
-    return split.sample_n(table(spark, sf, "documents").select("doc_id", "lang"), 100)
+    return split.sample_n(documents(spark, sf).select("doc_id", "lang"), 100)
 
 
 @query("ordered_split", """SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY doc_id)
   <= floor(0.8e0 * count(*) OVER ()) THEN 'train' ELSE 'test' END AS split FROM documents""")
 def _ordered(spark, sf):
-    return split.ordered_split(table(spark, sf, "documents").select("doc_id"), "doc_id")
+    return split.ordered_split(documents(spark, sf).select("doc_id"), "doc_id")
 
 
 @query("class_distribution", f"""WITH {LABELLED_SQL} SELECT label, count(*) AS n,
@@ -200,7 +202,7 @@ def _imbalance(spark, sf):
   UNION ALL SELECT count(*), 6, 'toxic', 'int', count(*) FILTER (toxic IS NULL) FROM p""")
 def _profile(spark, sf):
     labels = table(spark, sf, "labels").select("doc_id", "toxic")
-    return profiling.profile(table(spark, sf, "documents").join(labels, "doc_id", "left"))
+    return profiling.profile(documents(spark, sf).join(labels, "doc_id", "left"))
 
 
 @query("length_stats", f"""WITH {LABELLED_SQL} SELECT label, min(length(text)) AS min_len,

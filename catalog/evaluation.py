@@ -6,13 +6,12 @@ from pyspark.sql import functions as F
 
 from moderata.functions import scores
 from moderata.functions.constants import MODEL_IS_CORRECT, SWEEP_THRESHOLDS
-from moderata.functions.text import clean_text
 from moderata.operators import curves, errors, feedback as fbk, metrics
-from moderata.operators.filters import drop_empty_clean
+from moderata.operators.dedup import dedup_clean
 from moderata.operators.model import batch_summary, moderation_queue, present
 
 from . import duck
-from .inputs import FEEDBACK_SQL, PREDICTIONS_SQL, feedback, predictions
+from .inputs import FEEDBACK_SQL, PREDICTIONS_SQL, feedback, labelled, predictions
 from .registry import query
 
 P = PREDICTIONS_SQL
@@ -44,11 +43,13 @@ def _binary(spark, sf):
     return metrics.binary_metrics(predictions(spark, sf), ["model"])
 
 
-@query("flagship", f"""WITH {P}, kept AS (SELECT * FROM predictions WHERE {duck.clean("text_raw")} <> ''),
-  c AS (SELECT model, {HITS} FROM kept GROUP BY model) SELECT *, {RATES} FROM c""")
+@query("flagship", f"""WITH {P}, cleaned AS (SELECT *, {duck.clean("text")} AS t FROM labelled),
+  kept AS (SELECT doc_id FROM cleaned WHERE t <> '' QUALIFY row_number() OVER (PARTITION BY t ORDER BY doc_id) = 1),
+  c AS (SELECT model, {HITS} FROM predictions SEMI JOIN kept USING (doc_id) GROUP BY model)
+  SELECT *, {RATES} FROM c""")
 def _flagship(spark, sf):
-    pred = predictions(spark, sf).withColumn("text", clean_text(F.col("text_raw")))
-    return metrics.binary_metrics(drop_empty_clean(pred), ["model"])
+    unique = dedup_clean(labelled(spark, sf), "doc_id", raw="text", out="cleaned")
+    return metrics.binary_metrics(predictions(spark, sf, unique), ["model"])
 
 
 N0, N1 = "(tn+fp)", "(fn+tp)"

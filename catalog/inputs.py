@@ -14,16 +14,19 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def documents(spark: SparkSession, sf: str) -> DataFrame:
-    """The documents; a table in a single file is first dealt out to all cores.
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a table that is one file out to all cores.
 
     A file with one row group is one task, whatever the work per row. Tables of
     many files are read as they are.
     """
-    df = table(spark, sf, "documents")
     if len(df.inputFiles()) > 1:
         return df
-    return df.repartition(spark.sparkContext.defaultParallelism)
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(table(spark, sf, "documents"))
 
 
 # A document dressed up as a post: links, mentions, hashtags, emoji, Devanagari,
@@ -54,7 +57,7 @@ LABELLED_SQL = """labelled AS (SELECT d.doc_id, d.text, d.lang, d.source, l.qual
 
 
 def labelled(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").select(
+    return documents(spark, sf).join(table(spark, sf, "labels"), "doc_id").select(
         "doc_id", "text", "lang", "source", "quality", F.col("toxic").alias("label"))
 
 
@@ -73,7 +76,7 @@ SOURCES_SQL = f"""source_a AS (SELECT d.doc_id AS row_id, {A_TEXT} AS text,
 
 
 def source_a(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").alias("d")
+    d = documents(spark, sf).alias("d")
     labels = table(spark, sf, "labels").select("doc_id", "toxic").alias("l")
     return d.join(labels, F.col("d.doc_id") == F.col("l.doc_id"), "left").selectExpr(
         "d.doc_id AS row_id", f"{A_TEXT} AS text",
@@ -81,7 +84,7 @@ def source_a(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def source_b(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").selectExpr(
+    return documents(spark, sf).selectExpr(
         "doc_id AS row_id", f"{B_TEXT} AS Comment", f"{B_LABEL} AS Label")
 
 
@@ -93,12 +96,12 @@ PREDICTIONS_SQL = f"""{LABELLED_SQL}, predictions AS (
   FROM labelled, (VALUES ('m1', 1), ('m2', 7)) AS m(model, k)))"""
 
 
-def predictions(spark: SparkSession, sf: str) -> DataFrame:
+def predictions(spark: SparkSession, sf: str, rows: DataFrame | None = None) -> DataFrame:
     """Two models' scores with many ties, exact in both engines."""
+    rows = labelled(spark, sf) if rows is None else rows
     models = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(k).alias("k"))
                        for m, k in (("m1", 1), ("m2", 7))])
-    rows = labelled(spark, sf).select("*", F.inline(models))
-    return rows.selectExpr(
+    return rows.select("*", F.inline(models)).selectExpr(
         "doc_id", "model", "label AS y_true", f"{PRED_PROB} AS prob", "doc_id % 5 AS fold",
         "lang = 'en' AS is_slice", "source", "text AS text_raw"
     ).withColumn("y_pred", (F.col("prob") >= 0.5).cast("int"))
@@ -116,8 +119,9 @@ FEEDBACK_SQL = f"""feedback AS (SELECT {FEEDBACK_COLS} FROM events e
 
 
 def feedback(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    events = table(spark, sf, "events").withColumn("doc_id", F.col("event_id") % docs.count())
+    n_docs = table(spark, sf, "documents").count()
+    docs = documents(spark, sf).select("doc_id", "text")
+    events = spread(table(spark, sf, "events")).withColumn("doc_id", F.col("event_id") % n_docs)
     return events.join(docs, "doc_id").selectExpr(*_split_select(FEEDBACK_COLS)).withColumn(
         "ts", F.col("ts").cast("timestamp"))
 

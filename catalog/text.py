@@ -13,7 +13,7 @@ from moderata.operators.prepare import preprocess, text_stats
 from moderata.sources import roles, tables
 
 from . import duck
-from .inputs import POSTS_SQL, SOURCES_SQL, labelled, posts, source_a, source_b, table
+from .inputs import POSTS_SQL, SOURCES_SQL, documents, labelled, posts, source_a, source_b, table
 from .registry import query
 
 
@@ -106,13 +106,13 @@ def _drop_empty_clean(spark, sf):
 @query("dedup_clean", f"""WITH {CLEANED_SQL} SELECT post_id, text FROM cleaned
   QUALIFY row_number() OVER (PARTITION BY text ORDER BY post_id) = 1""")
 def _dedup_clean(spark, sf):
-    return dedup_clean(cleaned(spark, sf), "post_id")
+    return dedup_clean(posts(spark, sf), "post_id").select("post_id", "text")
 
 
 @query("dedup_clean_report", f"""WITH {CLEANED_SQL} SELECT count(*) AS rows_in,
   count(DISTINCT text) AS rows_out, count(*) - count(DISTINCT text) AS removed FROM cleaned""")
 def _dedup_clean_report(spark, sf):
-    return dedup_clean_report(posts(spark, sf), "post_id")
+    return dedup_clean_report(posts(spark, sf))
 
 
 CODE = "upper(trim({}, chr(39)))".format(duck.strip("Label"))
@@ -134,7 +134,7 @@ NAMED = """CASE doc_id % 7 WHEN 0 THEN 'Hate' WHEN 1 THEN 'clean' WHEN 2 THEN 'O
   ('hate', 'offensive', '1', 'abusive', 'hateful') THEN 1 ELSE 0 END AS label
   FROM (SELECT doc_id, {NAMED} AS name FROM documents) WHERE name IS NOT NULL""")
 def _binarize(spark, sf):
-    df = table(spark, sf, "documents").selectExpr("doc_id", f"{NAMED} AS name")
+    df = documents(spark, sf).selectExpr("doc_id", f"{NAMED} AS name")
     return filters.drop_missing(
         df.select("doc_id", L.binarize(F.col("name")).alias("label")), ["label"])
 
@@ -143,7 +143,7 @@ def _binarize(spark, sf):
   ('hate', 'offensive', '1', 'abusive', 'hateful') THEN 1 ELSE 0 END AS label
   FROM (SELECT doc_id, {NAMED} AS name FROM documents) WHERE name IS NOT NULL""")
 def _binarize_trimmed(spark, sf):
-    df = table(spark, sf, "documents").selectExpr("doc_id", f"{NAMED} AS name")
+    df = documents(spark, sf).selectExpr("doc_id", f"{NAMED} AS name")
     return filters.drop_missing(
         df.select("doc_id", L.binarize(F.col("name"), trimmed=True).alias("label")), ["label"])
 
@@ -172,7 +172,7 @@ def _map_codes(spark, sf):
 def _map_codes_drop(spark, sf):
     label = L.map_codes(F.col("source"), {"SRC0": 0, "SRC1": 1}, on_unknown="drop")
     return filters.drop_missing(
-        table(spark, sf, "documents").select("doc_id", label.alias("label")), ["label"])
+        documents(spark, sf).select("doc_id", label.alias("label")), ["label"])
 
 
 NA = ", ".join(f"'{t}'" for t in NA_TOKENS)
@@ -182,7 +182,7 @@ MAYBE_NA = "CASE doc_id % 5 WHEN 0 THEN 'NA' WHEN 1 THEN 'null' WHEN 2 THEN '' W
 @query("na_tokens", f"""SELECT doc_id, CASE WHEN v NOT IN ({NA}) THEN v END AS v, lang
   FROM (SELECT doc_id, {MAYBE_NA} AS v, lang FROM documents)""")
 def _na_tokens(spark, sf):
-    df = table(spark, sf, "documents").selectExpr("doc_id", f"{MAYBE_NA} AS v", "lang")
+    df = documents(spark, sf).selectExpr("doc_id", f"{MAYBE_NA} AS v", "lang")
     return tables.normalize_na(df, ["v", "lang"])
 
 
@@ -197,12 +197,12 @@ def _infer_roles(spark, sf):
 
 @query("standardize_columns", "SELECT text, lang AS label FROM documents")
 def _standardize(spark, sf):
-    return roles.standardize(table(spark, sf, "documents"), "text", "lang")
+    return roles.standardize(documents(spark, sf), "text", "lang")
 
 
 @query("nested_pairs", "SELECT text, 0 AS label FROM documents")
 def _nested(spark, sf):
-    nested = table(spark, sf, "documents").select(
+    nested = documents(spark, sf).select(
         F.struct(F.col("text").alias("hi_ng"), F.col("lang").alias("en")).alias("translation"))
     return tables.from_translation_pairs(nested, "translation.hi_ng")
 
@@ -214,4 +214,4 @@ def _nested(spark, sf):
   SELECT doc_id, CAST(line_no AS INT) AS line_no, line FROM (SELECT doc_id, line_no, {duck.strip("line")} AS line FROM lines)
   WHERE line <> ''""")
 def _explode_lines(spark, sf):
-    return tables.explode_lines(table(spark, sf, "documents").select("doc_id", "text"), "text")
+    return tables.explode_lines(documents(spark, sf).select("doc_id", "text"), "text")

@@ -113,6 +113,15 @@ def _local_weights(z: np.ndarray, prob: np.ndarray, k: int) -> tuple[np.ndarray,
     return chosen, _ridge(z[:, chosen], prob, kernel, 1.0)
 
 
+def _frame(doc: str, parts: list[tuple]) -> pd.DataFrame:
+    """Rows (doc, term, weight) of the (key, terms, weights) of several documents."""
+    keys = [key for key, terms, _ in parts for _ in terms]
+    terms = [t for _, terms, _ in parts for t in terms]
+    weights = np.concatenate([w for *_, w in parts]) if parts else np.zeros(0)
+    return pd.DataFrame({doc: pd.Series(keys, dtype=object),
+                         "term": pd.Series(terms, dtype=object), "weight": weights})
+
+
 def lime_linear(
     counts: DataFrame, coefs: DataFrame, intercept: float, n_samples: int = 300, k: int = 10,
     seed: int = 42, doc: str = "doc_id",
@@ -140,9 +149,8 @@ def lime_linear(
                 logit = intercept + np.divide(
                     z @ (a * c), length, out=np.zeros(n_samples), where=length > 0)
                 at, w = _local_weights(z, 1 / (1 + np.exp(-logit)), k)
-                out.append(pd.DataFrame(
-                    {doc: key, "term": np.asarray(terms, object)[at], "weight": w}))
-            yield pd.concat(out) if out else pd.DataFrame({doc: [], "term": [], "weight": []})
+                out.append((key, np.asarray(terms, dtype=object)[at], w))
+            yield _frame(doc, out)
 
     return rows.mapInPandas(explain, f"{doc} {kind}, term string, weight double")
 
@@ -159,7 +167,7 @@ def lime_texts(
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         predict = make_predict_fn()
         for pdf in batches:
-            out = [pd.DataFrame({doc: pdf[doc].iloc[:0], "term": [], "weight": []})]
+            out = []
             for key, seq in zip(pdf[doc], pdf[words]):
                 if len(seq) == 0:
                     continue
@@ -171,8 +179,8 @@ def lime_texts(
                     prob.extend(predict([
                         " ".join(w for w, keep in zip(seq, row) if keep) for row in kept]))
                 chosen, w = _local_weights(z, np.asarray(prob, float), k)
-                out.append(pd.DataFrame({doc: key, "term": terms[chosen], "weight": w}))
-            yield pd.concat(out)
+                out.append((key, terms[chosen], w))
+            yield _frame(doc, out)
 
     return df.select(doc, words).mapInPandas(
         explain, f"{doc} {kind}, term string, weight double")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import label_value
-from ..functions.text import strip, text_key
+from ..functions.text import is_blank, strip, text_key
 from .dedup import dedup_first, key_digest
 from .filters import drop_blank, errors_of
 from .split import sample_n
@@ -41,20 +41,20 @@ def _stack(sources: Sequence[Source]) -> DataFrame:
         frames.append(
             s.df.select(
                 F.when(fits, row + F.lit(i << ROW_BITS))
-                .otherwise(F.raise_error(F.lit("row id outside 0..2^56-1")).cast("bigint")).alias("ord"),
+                .otherwise(F.raise_error(F.lit("row id outside 0..2^56-1")).cast("bigint"))
+                .alias("ord"),
                 F.lit(s.name).alias("source_dataset"),
-                strip(F.coalesce(F.col(s.text_col), F.lit(""))).alias("text"),
+                F.col(s.text_col).alias("raw"),
                 F.col(s.label_col).cast("string").alias("original_label"),
-                (strip(F.coalesce(F.col(s.language_col), F.lit("")))
-                 if s.language_col else F.lit("")).alias("language_hint"),
+                (F.col(s.language_col) if s.language_col else F.lit(None)).cast("string")
+                .alias("language"),
             )
         )
     return reduce(DataFrame.unionByName, frames)
 
 
 def _survivors(stacked: DataFrame) -> DataFrame:
-    rows = stacked.filter("text != ''")
-    return dedup_first(rows, text_key(F.col("text")), "ord")
+    return dedup_first(drop_blank(stacked, "raw"), text_key(F.col("raw")), "ord")
 
 
 def _label(sources: Sequence[Source]) -> Column:
@@ -71,8 +71,9 @@ def merge_sources(sources: Sequence[Source]) -> DataFrame:
     never fails the job.
     """
     return _survivors(_stack(sources)).select(
-        "text", _label(sources).alias("label"),
-        "source_dataset", "original_label", "language_hint",
+        strip(F.col("raw")).alias("text"), _label(sources).alias("label"),
+        "source_dataset", "original_label",
+        strip(F.coalesce("language", F.lit(""))).alias("language_hint"),
     )
 
 
@@ -87,7 +88,7 @@ def merge_report(sources: Sequence[Source], merged: DataFrame | None = None) ->
     # A narrow aggregate over the inputs, and one over the survivors.
     seen = stacked.groupBy("source_dataset").agg(
         F.count(F.lit(1)).alias("total_rows"),
-        F.sum((F.col("text") == "").cast("bigint")).alias("dropped_empty_text"),
+        F.sum(is_blank(F.col("raw")).cast("bigint")).alias("dropped_empty_text"),
     )
     kept = merged.groupBy("source_dataset").agg(
         F.count(F.lit(1)).alias("kept_rows"),
@@ -134,8 +135,9 @@ def latest_corrections(feedback: DataFrame) -> DataFrame:
 def apply_corrections(train: DataFrame, corrections: DataFrame, text: str = "text") -> DataFrame:
     """Training rows with corrected labels, plus corrected texts not among them.
 
-    ``corrections`` comes from :func:`latest_corrections`. Each correction has
-    its own key, so a training text repeated many times can be split over tasks.
+    ``corrections`` comes from :func:`latest_corrections`, best stored first as
+    it is read twice. Each correction has its own key, so a training text
+    repeated many times can be split over tasks.
     """
     keyed = train.withColumn("key", key_digest(text_key(F.col(text))))
     fixed = keyed.join(

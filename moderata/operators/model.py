@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.ml import PipelineModel
@@ -32,6 +33,10 @@ def class_weights(df: DataFrame, label: str = "label", kind: str = "balanced") -
     return counts.withColumn("weight", weight)
 
 
+# Feature bytes per partition below which a training task is mostly overhead.
+PARTITION_BYTES = 32 << 20
+
+
 class BaselineModel:
     """A fitted pipeline with the settings that turn text into its terms."""
 
@@ -88,6 +93,11 @@ def train_baseline(
         n / (len(counts) * counts.get(0, 1)))
     train = feats.transform(data).select("features", F.col("y").cast("double").alias("y"),
                                          w.alias("w"))
+    # Every iteration runs one task per partition. The vocabulary tells the size
+    # of the vectors (12 bytes per entry), so small sets get few partitions.
+    parts = math.ceil(sum(t["df"] for t in words) * 12 / PARTITION_BYTES)
+    if parts < df.sparkSession.sparkContext.defaultParallelism:
+        train = train.repartition(parts)
     lr = LogisticRegression(
         featuresCol="features", labelCol="y", weightCol="w", regParam=1.0 / (C * n),
         elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=tol)

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores
-from ..functions.labels import binarize_int
-from ..functions.text import clean_text, is_code_mixed
+from ..functions.labels import binarize, binarize_int
+from ..functions.text import is_code_mixed
 from ..operators import curves, errors, metrics
 from ..operators.dedup import dedup_clean
-from ..operators.filters import drop_empty_clean, drop_missing
+from ..operators.filters import drop_blank, drop_missing
 from ..operators.model import BaselineModel, cross_validate, train_baseline
 from ..operators.split import stratified_split
 from ..sources.roles import infer_roles, standardize
@@ -23,12 +23,11 @@ def load_training(df: DataFrame, row_id: str = "row_id") -> DataFrame:
     """(row_id, text_raw, label, text, is_hinglish): found columns, no missing
     or empty text, one row per cleaned text, code-mix tag from the raw text."""
     text, label = infer_roles(df)
-    named = drop_missing(df.select(row_id, text, label), [text, label])
-    cleaned = named.select(
-        row_id, F.col(text).alias("text_raw"), binarize_int(F.col(label)).alias("label"),
-        clean_text(F.col(text)).alias("text"))
-    unique = dedup_clean(drop_empty_clean(cleaned), row_id)
-    return unique.withColumn("is_hinglish", is_code_mixed(F.col("text_raw")))
+    named = drop_missing(df.select(row_id, text, label), [text, label]).select(
+        row_id, F.col(text).alias("text_raw"), F.col(label).alias("label"))
+    unique = dedup_clean(named, row_id)
+    return unique.withColumns({
+        "label": binarize_int(F.col("label")), "is_hinglish": is_code_mixed(F.col("text_raw"))})
 
 
 @dataclass
@@ -71,9 +70,6 @@ def load_and_split(
     key: str = "text",
 ) -> DataFrame:
     """Standard columns, no blank text, 0/1 labels, and a split column."""
-    from ..functions.labels import binarize
-    from ..operators.filters import drop_blank
-
     std = drop_blank(standardize(df, text_col, label_col), "text")
     labelled = std.withColumn("label", binarize(F.col("label"), positives)).na.drop(
         subset=["label"])
