@@ -11,8 +11,9 @@ from moderata.plans.training import load_training
 from moderata.sources.workspace import new_folder
 
 from . import duck
-from .inputs import LABELLED_SQL, documents, labelled, posts, table
+from .inputs import LABELLED_SQL, POSTS_SQL, documents, labelled, posts, table
 from .registry import query
+from .text import CODE_MIXED
 
 STOP = ["the", "of", "and", "to", "is", "le", "la", "de", "un", "une", "des", "der", "die", "das",
         "und", "el", "los", "en"]
@@ -249,10 +250,9 @@ def _lime_texts(spark, sf):
             return [sum(len(w) > 5 for w in t.split(" ")) / (1 + t.count(" ")) for t in texts]
         return predict
 
-    df = table(spark, sf, "labels").join(table(spark, sf, "conversations").select(
-        F.col("conv_id").alias("doc_id"), "turn", "text"), "doc_id")
-    keyed = df.select((F.col("doc_id") * 1000 + F.col("turn")).alias("doc_id"),
-                      features.tokens(F.col("text")).alias("words"))
+    keyed = table(spark, sf, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"),
+        features.tokens(F.col("text")).alias("words"))
     return explain.lime_texts(keyed, make, n_samples=100)
 
 
@@ -297,7 +297,10 @@ def _pseudo(spark, sf):
                       "context_text")
 
 
-@query("load_training")
+@query("load_training", f"""WITH {POSTS_SQL}, raw AS (SELECT post_id AS row_id, text_raw,
+    CAST(toxic <> 0 AS INT) AS label, {duck.clean("text_raw")} AS text, {CODE_MIXED} AS is_hinglish
+    FROM posts JOIN labels ON doc_id = post_id WHERE text_raw IS NOT NULL)
+  SELECT * FROM raw WHERE text <> '' QUALIFY row_number() OVER (PARTITION BY text ORDER BY row_id) = 1""")
 def _load_training(spark, sf):
     df = posts(spark, sf).join(
         table(spark, sf, "labels").select(F.col("doc_id").alias("post_id"), "toxic"), "post_id")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import sigmoid
+from .features import join_terms
 
 
 def background_mean(weights: DataFrame, n_docs: int) -> DataFrame:
@@ -24,11 +25,11 @@ def linear_shap(
     value of a linear model with independent features (Lundberg & Lee 2017).
 
     Rows for the terms each document contains. The two per-term tables are
-    joined first, so the long table meets one of vocabulary size.
+    joined first, so the long table meets one of the vocabulary's size.
     """
     per_term = coefs.join(background, "term", "left").select(
         "term", "coef", F.coalesce("mean_weight", F.lit(0.0)).alias("mean_weight"))
-    return weights.join(per_term, "term").select(
+    return join_terms(weights, per_term, coefs).select(
         doc, "term", (F.col("coef") * (F.col("weight") - F.col("mean_weight"))).alias("phi"))
 
 
@@ -61,7 +62,7 @@ def lime_drop_one(
     """
     per_doc = Window.partitionBy(doc)
     a, ac = F.col("tf") * F.col("idf"), F.col("tf") * F.col("idf") * F.col("coef")
-    d = counts.join(coefs, "term").withColumns({"a2": a * a, "ac": ac})
+    d = join_terms(counts, coefs).withColumns({"a2": a * a, "ac": ac})
     d = d.withColumns({"s": F.sum("ac").over(per_doc), "q": F.sum("a2").over(per_doc),
                        "m": F.count(F.lit(1)).over(per_doc)})
 
@@ -131,7 +132,7 @@ def lime_linear(
     A document's words are gathered into one row, as they were in its text;
     sampling and the small solve happen per row inside Arrow batches.
     """
-    packed = counts.join(coefs, "term").groupBy(doc).agg(
+    packed = join_terms(counts, coefs).groupBy(doc).agg(
         F.sort_array(F.collect_list(F.struct(
             "term", (F.col("tf") * F.col("idf")).alias("a"), "coef"))).alias("words"))
     kind = packed.schema[doc].dataType.simpleString()

@@ -187,6 +187,18 @@ def vectorizer(terms: Sequence[str], idf: Sequence[float], input_col: str = "ter
     return PipelineModel(stages=[count, scale, unit])
 
 
+def join_terms(rows: DataFrame, per_term: DataFrame, like: DataFrame | None = None,
+               how: str = "inner") -> DataFrame:
+    """Join a long table with one row per term.
+
+    A vocabulary of at most ``MODEL_TERMS`` terms, counted on ``like`` or on
+    the table itself, is broadcast, so that a word found in most documents does
+    not pull a third of the rows into one task. A larger one is joined by hash.
+    """
+    size = (per_term if like is None else like).select("term").limit(MODEL_TERMS + 1).count()
+    return rows.join(F.broadcast(per_term) if size <= MODEL_TERMS else per_term, "term", how)
+
+
 def feature_stats(weights: DataFrame, n_docs: int) -> DataFrame:
     """Documents, vocabulary size, non-zero entries and sparsity."""
     per_term = weights.groupBy("term").count()

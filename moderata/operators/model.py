@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions import scores
 from ..functions.text import clean_text, preview
-from .features import add_terms, vectorizer, vocab
+from .features import add_terms, join_terms, vectorizer, vocab
 from .split import assign_folds
 
 
@@ -146,12 +146,11 @@ def linear_scores(
 ) -> DataFrame:
     """(doc, logit, prob) from a long TF-IDF table and a (term, coef) table.
 
-    The coefficient table has one row per vocabulary term; Spark broadcasts it
-    when it is small. Sums are pre-aggregated before the shuffle.
+    Sums are pre-aggregated before the shuffle.
     """
     logit = F.coalesce(F.sum(F.col("weight") * F.col("coef")), F.lit(0.0)) + F.lit(intercept)
     return (
-        weights.join(coefs, "term", "left").groupBy(doc).agg(logit.alias("logit"))
+        join_terms(weights, coefs, how="left").groupBy(doc).agg(logit.alias("logit"))
         .withColumn("prob", scores.sigmoid(F.col("logit")))
     )
 
