@@ -205,9 +205,9 @@ def _profile(spark, sf):
     return profiling.profile(documents(spark, sf).join(labels, "doc_id", "left"))
 
 
-@query("length_stats", f"""WITH {LABELLED_SQL} SELECT label, min(length(text)) AS min_len,
+@query("length_stats", f"""WITH {LABELLED_SQL} SELECT label, CAST(min(length(text)) AS INT) AS min_len,
   round(avg(length(text)), 6) AS mean_len, quantile_cont(length(text), 0.5) AS median_len,
-  max(length(text)) AS max_len, round(stddev_samp(length(text)), 6) AS std_len
+  CAST(max(length(text)) AS INT) AS max_len, round(stddev_samp(length(text)), 6) AS std_len
   FROM labelled GROUP BY label""")
 def _length_stats(spark, sf):
     return profiling.length_stats(labelled(spark, sf)).withColumns({

@@ -58,8 +58,8 @@ CODE_MIXED = f"""coalesce(regexp_matches(text_raw, '[\\x{{900}}-\\x{{97F}}]') OR
 _column("code_mixed", T.is_code_mixed, CODE_MIXED)
 
 
-@query("text_stats", f"""WITH {POSTS_SQL} SELECT post_id, coalesce(length(text_raw), 0) AS n_chars,
-  coalesce(len(regexp_extract_all(text_raw, '{duck.NON_WS}+')), 0) AS n_words FROM posts""")
+@query("text_stats", f"""WITH {POSTS_SQL} SELECT post_id, CAST(coalesce(length(text_raw), 0) AS INT) AS n_chars,
+  CAST(coalesce(len(regexp_extract_all(text_raw, '{duck.NON_WS}+')), 0) AS INT) AS n_words FROM posts""")
 def _text_stats(spark, sf):
     return text_stats(posts(spark, sf), "text_raw").select("post_id", "n_chars", "n_words")
 

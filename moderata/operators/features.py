@@ -103,33 +103,47 @@ def doc_terms(df: DataFrame, doc: str = "doc_id", terms: str = "terms") -> DataF
         "term", F.zip_with(end, "at", lambda z, a: z - a).alias("tf"))))
 
 
-def vocab(
-    df: DataFrame, n_docs: int, min_df: int = 2, max_df: float = 0.8,
-    max_features: int | None = 50_000, terms: str = "terms",
-) -> DataFrame:
-    """(term, df, cnt, idf) of the terms kept, from a frame with a term array.
+def term_stats(df: DataFrame, by: Sequence[str] = (), terms: str = "terms") -> DataFrame:
+    """(by..., term, df, cnt): documents with the term, and its occurrences.
 
-    Terms in fewer than ``min_df`` documents or in more than the share
-    ``max_df`` of them go; of the rest the most frequent stay, ties by term.
     Each row is unpacked twice, once with all and once with distinct terms, so
-    one grouping by term, pre-aggregated in every task, gives both counts.
+    one grouping, pre-aggregated in every task, gives both counts.
     """
-    idf = F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0
     both = F.array(
         F.struct(F.lit(0).alias("in_doc"), F.col(terms).alias("t")),
         F.struct(F.lit(1).alias("in_doc"), F.array_distinct(terms).alias("t")))
-    kept = (
-        df.select(F.inline(both)).select("in_doc", F.explode("t").alias("term"))
-        .groupBy("term")
+    return (
+        df.select(*by, F.inline(both)).select(*by, "in_doc", F.explode("t").alias("term"))
+        .groupBy(*by, "term")
         .agg(F.sum("in_doc").alias("df"), F.sum(1 - F.col("in_doc")).alias("cnt"))
-        .filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
-        .withColumn("idf", idf)
     )
+
+
+def select_vocab(
+    stats: DataFrame, n_docs: int, min_df: int = 2, max_df: float = 0.8,
+    max_features: int | None = 50_000,
+) -> DataFrame:
+    """(term, df, cnt, idf) of the terms kept, from one row of counts per term.
+
+    Terms in fewer than ``min_df`` documents or in more than the share
+    ``max_df`` of them go; of the rest the most frequent stay, ties by term.
+    """
+    idf = F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0
+    kept = stats.filter(
+        (F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs)).withColumn("idf", idf)
     if max_features is None:
         return kept
     return kept.orderBy(F.col("cnt").desc(), "term").limit(max_features)
 
 
+def vocab(
+    df: DataFrame, n_docs: int, min_df: int = 2, max_df: float = 0.8,
+    max_features: int | None = 50_000, terms: str = "terms",
+) -> DataFrame:
+    """The vocabulary of a frame with a term array."""
+    return select_vocab(term_stats(df, (), terms), n_docs, min_df, max_df, max_features)
+
+
 def pin(vocabulary: DataFrame) -> DataFrame:
     """Fetch a vocabulary bounded by max_features once and reuse it as literal rows."""
     return vocabulary.sparkSession.createDataFrame(vocabulary.toPandas(), vocabulary.schema)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
@@ -14,7 +15,8 @@ from pyspark.sql import types as T
 
 from ..functions import scores
 from ..functions.text import clean_text, preview
-from .features import add_terms, join_terms, vectorizer, vocab
+from ..sources.workspace import materialize
+from .features import add_terms, join_terms, select_vocab, term_stats, vectorizer
 from .split import assign_folds
 
 
@@ -72,20 +74,23 @@ def train_baseline(
     df: DataFrame, text: str = "text", label: str = "label", doc: str = "doc_id",
     lo: int = 1, hi: int = 2, char: bool = False, stop: Sequence[str] | None = (),
     min_df: int = 1, max_df: float = 1.0, max_features: int = 50_000, C: float = 1.0,
-    max_iter: int = 200, tol: float = 1e-6,
+    max_iter: int = 200, tol: float = 1e-6, stats: DataFrame | None = None,
 ) -> BaselineModel:
     """Fit TF-IDF and a balanced L2 logistic regression.
 
     The loss is ``|w|^2/2 + C * sum(weight * logloss)``; Spark divides the sum
     by the total weight, which balanced weights make equal to the row count,
     hence the regularisation ``1 / (C * rows)``. The driver sees class counts,
-    the vocabulary (at most ``max_features``) and the coefficients.
+    the vocabulary (at most ``max_features``) and the coefficients. ``stats``
+    are the rows' term counts, where they are known already.
     """
     data = add_terms(df.select(doc, text, F.col(label).cast("int").alias("y")),
                      text, lo, hi, char, stop)
-    counts = {r["y"]: r["count"] for r in data.groupBy("y").count().collect()}
+    counts = {r["y"]: r["count"] for r in df.groupBy(
+        F.col(label).cast("int").alias("y")).count().collect()}
     n = sum(counts.values())
-    words = vocab(data, n, min_df, max_df, max_features).collect()
+    stats = term_stats(data) if stats is None else stats
+    words = select_vocab(stats, n, min_df, max_df, max_features).collect()
     if not words:
         raise ValueError("empty vocabulary")
     feats = vectorizer([w["term"] for w in words], [w["idf"] for w in words])
@@ -125,19 +130,29 @@ def load_model(spark: SparkSession, path: str) -> BaselineModel:
     return BaselineModel(PipelineModel.load(f"{path}/pipeline"), row.asDict())
 
 
-def cross_validate(df: DataFrame, k: int = 5, seed=42, doc: str = "doc_id",
-                   label: str = "label", **fit) -> DataFrame:
-    """Out-of-fold predictions (doc, fold, y_true, prob, y_pred), one fit per fold."""
+def cross_validate(
+    df: DataFrame, k: int = 5, seed=42, doc: str = "doc_id", text: str = "text",
+    label: str = "label", lo: int = 1, hi: int = 2, char: bool = False,
+    stop: Sequence[str] | None = (), **fit,
+) -> DataFrame:
+    """Out-of-fold predictions (doc, fold, y_true, prob, y_pred), one fit per fold.
+
+    Term counts per fold are taken in one pass and stored; the vocabulary of a
+    fit is the sum over the other folds, so texts are not counted k times.
+    """
     folded = assign_folds(df, k, seed, doc)
+    stats = materialize(
+        term_stats(add_terms(folded, text, lo, hi, char, stop), ["fold"]), "fold-terms")
     parts = []
     for i in range(k):
-        model = train_baseline(folded.filter(F.col("fold") != i), doc=doc, label=label, **fit)
-        held = folded.filter(F.col("fold") == i)
-        parts.append(model.transform(held).select(
+        others = F.col("fold") != i
+        known = stats.filter(others).groupBy("term").agg(
+            F.sum("df").alias("df"), F.sum("cnt").alias("cnt"))
+        fitted = train_baseline(folded.filter(others), text, label, doc, lo, hi, char, stop,
+                                stats=known, **fit)
+        parts.append(fitted.transform(folded.filter(~others), text).select(
             doc, "fold", F.col(label).alias("y_true"), "prob"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+    out = reduce(DataFrame.unionByName, parts)
     return out.withColumn("y_pred", scores.decide(F.col("prob")))
 
 

@@ -251,3 +251,16 @@ def test_agreement(spark):
     b = spark.createDataFrame([(1, "x", 0.5), (1, "z", 1.0), (2, "q", 1.0)], "doc_id long, token string, weight double")
     got = {r["doc_id"]: (r["jaccard"], r["sign_agreement"]) for r in explain.explainer_agreement(a, b).collect()}
     assert got == {1: (1 / 3, 1.0), 2: (0.0, None)}
+
+
+def test_fold_vocabularies_equal_separate_counting(spark, labelled):
+    from moderata.operators.split import assign_folds
+
+    one_pass = {r["doc_id"]: r["prob"] for r in model.cross_validate(
+        labelled, 2, hi=1, min_df=2, max_features=8, max_iter=15).collect()}
+    folded = assign_folds(labelled, 2)
+    for i in (0, 1):
+        fitted = model.train_baseline(folded.filter(F.col("fold") != i), hi=1, min_df=2,
+                                      max_features=8, max_iter=15)
+        for r in fitted.transform(folded.filter(F.col("fold") == i)).collect():
+            assert one_pass[r["doc_id"]] == pytest.approx(r["prob"], abs=1e-9)
