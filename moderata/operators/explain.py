@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import sigmoid
 from .features import join_terms
 
+# Tasks get this module's helpers with their function, so executors need not
+# have the package installed.
+register_pickle_by_value(sys.modules[__name__])
+
 
 def background_mean(weights: DataFrame, n_docs: int) -> DataFrame:
     """Mean TF-IDF weight of each term over the background documents."""
