@@ -30,13 +30,16 @@ def with_context(
     """Add ``context`` (up to ``n`` previous texts, oldest first, blanks left
     out) and ``context_text`` (context and text joined).
 
-    ``order`` is a number, unique within ``by``. A key with more than
+    ``order`` is a whole number, unique within ``by``. A key with more than
     ``hot_rows`` rows is cut into ranges of ``order``, each its own window
-    partition; the last ``n`` texts of earlier ranges are handed over.
+    partition; the last ``n`` texts of earlier ranges are handed over. A row
+    without a key belongs to no conversation and gets no context.
     """
     if not by:
         raise ValueError("context needs a conversation or source column")
     hot = hot_keys(df, by, hot_rows)
+    # Rows without a key are spread over partitions of their own.
+    alone = F.when(F.col(by).isNull(), F.col(order).cast("bigint")).otherwise(F.lit(0))
     d = df.withColumn("msg", F.coalesce(F.col(text), F.lit("")))
     before = Window.partitionBy(by, "rng").orderBy(order).rowsBetween(-n, -1)
     recent = F.collect_list("msg").over(before)
@@ -44,7 +47,7 @@ def with_context(
         is_hot = F.col(by).isin(hot)
         bounds = range_bounds(df.filter(is_hot), order, parts)
         d = with_range(d, order, bounds, "rng").withColumn(
-            "rng", F.when(is_hot, F.col("rng")).otherwise(0))
+            "rng", F.when(is_hot, F.col("rng")).otherwise(alone))
         from_end = Window.partitionBy(by, "rng").orderBy(F.col(order).desc())
         tails = (
             d.filter(is_hot).select(by, "rng", order, "msg")
@@ -61,7 +64,7 @@ def with_context(
         d = d.join(halo, [by, "rng"], "left")
         known = F.coalesce("halo", F.array().cast("array<string>"))
     else:
-        d = d.withColumn("rng", F.lit(0))
+        d = d.withColumn("rng", alone)
         known = F.array().cast("array<string>")
     out = d.withColumn("recent", recent)
     spoken = F.filter(_last(F.concat(known, F.col("recent")), n), lambda m: ~is_blank(m))

@@ -170,6 +170,16 @@ def test_context_of_hot_and_cold_keys(spark, hot_rows, n):
             assert got[(c, t)] == (ctx, " [CTX] ".join([*ctx, x]))
 
 
+@pytest.mark.parametrize("hot_rows", [2, 100])
+def test_rows_without_a_conversation_have_no_context(spark, hot_rows):
+    rows = [(None, i, f"n{i}") for i in range(6)] + [("c", i, f"c{i}") for i in range(6)]
+    df = spark.createDataFrame(rows, "conv string, turn long, text string")
+    got = {(r["conv"], r["turn"]): r["context"] for r in with_context(
+        df, "conv", "turn", hot_rows=hot_rows, parts=3).collect()}
+    assert all(got[(None, i)] == [] for i in range(6))
+    assert got[("c", 5)] == ["c3", "c4"] and got[("c", 0)] == []
+
+
 def test_context_needs_a_key(spark):
     with pytest.raises(ValueError):
         with_context(spark.range(3).selectExpr("id", "'a' AS text"), "", "id")
