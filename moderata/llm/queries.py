@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, packing, sharding, token_counts, url_filter
+from . import byte_bpe, ngram_join, packing, sharding, token_counts, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -107,3 +107,22 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
 @query("op7_byte_bpe")
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
+
+
+OP8_SQL = r"""
+WITH RECURSIVE words AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+sets AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM words),
+members AS (SELECT doc_id, len(s) AS n, unnest(s) AS m FROM sets),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS i
+    FROM members a JOIN members b ON a.m = b.m AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared WHERE 100 * i >= 75 * (na + nb - i)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+least AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id FROM sets JOIN least USING (doc_id)"""
+
+
+@query("op8_ngram_join", OP8_SQL)
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    return ngram_join.jaccard_join(table(spark, sf, "documents"))
