@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, ngram_join, packing, sharding, token_counts, url_filter
+from . import byte_bpe, exact_dedup, fingerprints, ngram_join, packing, sharding, token_counts, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -126,3 +126,20 @@ SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id FROM sets JOIN least U
 @query("op8_ngram_join", OP8_SQL)
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     return ngram_join.jaccard_join(table(spark, sf, "documents"))
+
+
+OP5_SQL = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+    row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC) = 1 AS kept,
+    sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))"""
+
+
+@query("op5_exact_dedup", OP5_SQL)
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    return exact_dedup.exact_dedup(table(spark, sf, "documents"))
+
+
+@query("op9_fingerprints")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(table(spark, sf, "documents"))
