@@ -10,7 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, fingerprints, ngram_join, packing, sharding, token_counts, url_filter
+from . import (byte_bpe, exact_dedup, fingerprints, language_id, license_scan, ngram_join, packing, sharding, token_counts,
+               url_filter)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -143,3 +144,17 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
 @query("op9_fingerprints")
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf, "documents"))
+
+
+@query("op2_language_id")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    held = language_id.held_out(F.col("doc_id"))
+    model = language_id.train(docs.filter(~held))
+    rows = docs.select("doc_id", held.alias("held_out"), "text")
+    return language_id.identify(rows, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op10_license_scan")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf, "documents")).drop("spans")
