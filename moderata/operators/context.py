@@ -9,14 +9,13 @@ from ..functions.constants import CONTEXT_SEPARATOR
 from ..functions.ranges import range_bounds, with_range
 from ..functions.text import is_blank
 
-MAX_HOT_KEYS = 1000
+HOT_ROWS = 1_000_000
+RANGE_ROWS = 250_000
 
 
-def hot_keys(df: DataFrame, key: str, hot_rows: int) -> list:
-    """Keys with more rows than one task should sort: at most 1 000 of them."""
-    limit = max(hot_rows, df.count() // MAX_HOT_KEYS)
-    big = df.groupBy(key).count().filter(F.col("count") > limit)
-    return [r[0] for r in big.select(key).collect() if r[0] is not None]
+def hot_keys(df: DataFrame, key: str, hot_rows: int) -> DataFrame:
+    """Keys with more rows than one task should sort, as a table: at most rows / hot_rows keys."""
+    return df.filter(F.col(key).isNotNull()).groupBy(key).count().filter(F.col("count") > hot_rows).select(key)
 
 
 def _last(items: Column, n: int) -> Column:
@@ -25,7 +24,7 @@ def _last(items: Column, n: int) -> Column:
 
 def with_context(
     df: DataFrame, by: str, order: str, text: str = "text", n: int = 2,
-    sep: str = CONTEXT_SEPARATOR, hot_rows: int = 1_000_000, parts: int | None = None,
+    sep: str = CONTEXT_SEPARATOR, hot_rows: int = HOT_ROWS, parts: int | None = None,
 ) -> DataFrame:
     """Add ``context`` (up to ``n`` previous texts, oldest first, blanks left
     out) and ``context_text`` (context and text joined).
@@ -37,20 +36,21 @@ def with_context(
     """
     if not by:
         raise ValueError("context needs a conversation or source column")
-    hot = hot_keys(df, by, hot_rows)
     # Rows without a key are spread over partitions of their own.
     alone = F.when(F.col(by).isNull(), F.col(order).cast("bigint")).otherwise(F.lit(0))
     d = df.withColumn("msg", F.coalesce(F.col(text), F.lit("")))
     before = Window.partitionBy(by, "rng").orderBy(order).rowsBetween(-n, -1)
     recent = F.collect_list("msg").over(before)
-    if hot:
-        is_hot = F.col(by).isin(hot)
-        bounds = range_bounds(df.filter(is_hot), order, parts)
-        d = with_range(d, order, bounds, "rng").withColumn(
-            "rng", F.when(is_hot, F.col("rng")).otherwise(alone))
+    hot = hot_keys(df, by, hot_rows).withColumn("is_hot", F.lit(True))
+    rows = df.join(hot, by, "left_semi").count()
+    if rows:
+        parts = parts or max(2, rows // RANGE_ROWS)
+        bounds = range_bounds(df.join(hot, by, "left_semi"), order, parts)
+        d = with_range(d.join(hot, by, "left"), order, bounds, "rng").withColumn(
+            "rng", F.when(F.col("is_hot"), F.col("rng")).otherwise(alone))
         from_end = Window.partitionBy(by, "rng").orderBy(F.col(order).desc())
         tails = (
-            d.filter(is_hot).select(by, "rng", order, "msg")
+            d.filter("is_hot").select(by, "rng", order, "msg")
             .withColumn("from_end", F.row_number().over(from_end))
             .filter(F.col("from_end") <= n)
             .groupBy(by, "rng")

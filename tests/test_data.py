@@ -38,7 +38,24 @@ def test_csv_round_trip_and_landed_order(spark, tmp_path):
     landed = tables.land_posts(back, str(tmp_path / "landed")).orderBy("row_id").collect()
     assert [r["text"] for r in landed] == texts * 2
     assert [r["label"] for r in landed] == ["1"] * 8 + ["0"] * 8  # files by name
-    assert len({r["row_id"] for r in landed}) == 16
+    assert [r["row_id"] for r in landed] == list(range(16))
+
+
+def test_landed_numbers_of_split_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name, first in (("b.csv", 20_000), ("a.csv", 0)):
+        (tmp_path / "in" / name).write_text("".join(f"{i},row {i}\n" for i in range(first, first + 20_000)))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        scan = spark.read.schema("n bigint, text string").csv(str(tmp_path / "in"))
+        assert scan.rdd.getNumPartitions() > 10
+        landed = tables.land_posts(scan, str(tmp_path / "landed"))
+        assert landed.filter("n <> row_id").count() == 0 and landed.count() == 40_000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def test_roles(spark):
