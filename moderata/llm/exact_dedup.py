@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shingles import mix
-from .workspace import written
+from .workspace import fresh, written
 
 HEAVY = 10_000
 PART_ROWS = 20_000
@@ -185,15 +185,15 @@ def survivors(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     judged = written(exact_dedup(docs, key=key, text=text).select(F.col(key).alias("key_"), "kept", "text_sha256"), "judged")
     each = judged.groupBy("key_", "text_sha256").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("copies"))
     each = written(each, "each")
-    digest = F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
-    marked = docs.withColumn("digest_", digest)
+    own = fresh(docs, "digest")
+    marked = docs.withColumn(own, F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
 
     def same(rows):
-        return marked[key].eqNullSafe(rows["key_"]) & (marked["digest_"] == rows["text_sha256"])
+        return marked[key].eqNullSafe(rows["key_"]) & (marked[own] == rows["text_sha256"])
 
     gone = each.filter("NOT kept OR copies > 1")
     out = marked.join(gone, same(gone), "left_anti")
     repeated = each.filter("kept AND copies > 1")
     if not repeated.isEmpty():
-        out = out.union(marked.join(repeated, same(repeated), "left_semi").dropDuplicates([key, "digest_"]))
-    return out.drop("digest_")
+        out = out.union(marked.join(repeated, same(repeated), "left_semi").dropDuplicates([key, own]))
+    return out.drop(own)
