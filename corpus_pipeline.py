@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from moderata.llm import exact_dedup, language_id, ngram_join, packing
 from moderata.llm.queries import vocabulary
-from moderata.llm.workspace import shared_folder, written
+from moderata.llm.workspace import fresh, shared_folder, written
 
 # Below this score neither the family nor the language is more likely than not.
 MIN_SCORE = 0.25
@@ -25,8 +25,9 @@ MIN_SCORE = 0.25
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; the machines learn from the labels outside the held-out fold."""
     model = language_id.train(docs.filter(~language_id.held_out(F.col("doc_id"))))
-    judged = language_id.identify(docs, model, out="lang_pred_", score="score_")
-    known = (F.col("lang_pred_") != language_id.UNDETERMINED) & (F.col("score_") >= MIN_SCORE)
+    lang, score = fresh(docs, "lang_pred"), fresh(docs, "lang_score")
+    judged = language_id.identify(docs, model, out=lang, score=score)
+    known = (F.col(lang) != language_id.UNDETERMINED) & (F.col(score) >= MIN_SCORE)
     return judged.filter(known).select(*docs.columns)
 
 
