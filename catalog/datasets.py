@@ -122,37 +122,52 @@ def h(seed, key="doc_id"):
 TEST = f"{h(42)} < {round(0.15 * 2**32)}"
 
 
-@query("stratified_split", f"""WITH {LABELLED_SQL} SELECT doc_id, label,
-  CASE WHEN {TEST} THEN 'test' ELSE 'train' END AS split FROM labelled""")
+SPLIT_SQL = f"""{LABELLED_SQL}, halves AS (SELECT doc_id, label, CASE WHEN
+  row_number() OVER (PARTITION BY label ORDER BY {h(42)}, doc_id)
+    <= round_even(count(*) OVER (PARTITION BY label) * 0.15e0, 0) THEN 'test' ELSE 'train' END AS split
+  FROM labelled)"""
+
+
+@query("stratified_split", f"WITH {SPLIT_SQL} SELECT * FROM halves")
 def _stratified(spark, sf):
     return split.stratified_split(labelled(spark, sf).select("doc_id", "label"), "label")
 
 
-@query("stratified_split_exact", f"""WITH {LABELLED_SQL} SELECT doc_id, label, CASE WHEN
-  row_number() OVER (PARTITION BY label ORDER BY {h(42)}, doc_id)
-    <= round_even(count(*) OVER (PARTITION BY label) * 0.15e0, 0) THEN 'test' ELSE 'train' END AS split
-  FROM labelled""")
+@query("stratified_split_hash", f"""WITH {LABELLED_SQL} SELECT doc_id, label,
+  CASE WHEN {TEST} THEN 'test' ELSE 'train' END AS split FROM labelled""")
+def _stratified_hash(spark, sf):
+    return split.stratified_split(labelled(spark, sf).select("doc_id", "label"), "label", exact=False)
+
+
+@query("stratified_split_exact", f"WITH {SPLIT_SQL} SELECT * FROM halves")
 def _stratified_exact(spark, sf):
     return split.stratified_split(
         labelled(spark, sf).select("doc_id", "label"), "label", exact=True)
 
 
-@query("split_summary", f"""WITH {LABELLED_SQL} SELECT CASE WHEN {TEST} THEN 'test' ELSE 'train' END
-  AS split, label, count(*) AS n FROM labelled GROUP BY ALL""")
+@query("split_summary", f"WITH {SPLIT_SQL} SELECT split, label, count(*) AS n FROM halves GROUP BY ALL")
 def _split_summary(spark, sf):
     return split.split_summary(
         split.stratified_split(labelled(spark, sf).select("doc_id", "label"), "label"), "label")
 
 
-@query("nested_split", f"""WITH {LABELLED_SQL} SELECT doc_id, label, CASE WHEN {TEST} THEN 'test'
-  WHEN {h('42:val')} < {round(0.1 * 2**32)} THEN 'val' ELSE 'train' END AS split FROM labelled""")
+@query("nested_split", f"""WITH {SPLIT_SQL} SELECT doc_id, label, CASE WHEN split = 'train' AND
+  row_number() OVER (PARTITION BY label, split ORDER BY {h('42:val')}, doc_id)
+    <= round_even(count(*) OVER (PARTITION BY label, split) * 0.1e0, 0) THEN 'val' ELSE split END AS split
+  FROM halves""")
 def _nested(spark, sf):
     return split.nested_split(labelled(spark, sf).select("doc_id", "label"), "label")
 
 
-@query("kfold_assign", f"""WITH {LABELLED_SQL} SELECT doc_id, label, CAST({h('42:fold')} % 5 AS INT) AS fold
-  FROM labelled""")
+@query("kfold_assign", f"""WITH {LABELLED_SQL} SELECT doc_id, label, CAST((row_number() OVER (
+  PARTITION BY label ORDER BY {h('42:fold')}, doc_id) - 1) % 5 AS INT) AS fold FROM labelled""")
 def _kfold(spark, sf):
+    return split.assign_folds(labelled(spark, sf).select("doc_id", "label"), label="label")
+
+
+@query("kfold_hash", f"""WITH {LABELLED_SQL} SELECT doc_id, label, CAST({h('42:fold')} % 5 AS INT) AS fold
+  FROM labelled""")
+def _kfold_hash(spark, sf):
     return split.assign_folds(labelled(spark, sf).select("doc_id", "label"))
 
 

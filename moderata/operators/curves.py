@@ -14,7 +14,7 @@ def cumsum_by(
     df: DataFrame, order: str, values: Sequence[str], by: Sequence[str], bounds: list[float],
     descending: bool = True,
 ) -> DataFrame:
-    """Add ``cum_<value>``: running sums along ``order`` within ``by``.
+    """Add ``cum_<value>``: running sums along ``order`` within ``by``, and ``all_<value>``: whole sums.
 
     The order column is cut into ranges at ``bounds``. Running sums inside a
     range are window sums of one (by, range) partition; sums of earlier ranges
@@ -28,7 +28,8 @@ def cumsum_by(
     offsets = (
         ranged.groupBy(*by, "rng").agg(*[F.sum(v).alias(f"t_{v}") for v in values])
         .select(*by, "rng", *[
-            F.coalesce(F.sum(f"t_{v}").over(before), F.lit(0)).alias(f"o_{v}") for v in values])
+            F.coalesce(F.sum(f"t_{v}").over(before), F.lit(0)).alias(f"o_{v}") for v in values],
+            *[F.sum(f"t_{v}").over(Window.partitionBy(*by)).alias(f"all_{v}") for v in values])
     )
     inside = Window.partitionBy(*by, "rng").orderBy(direction(order)).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
@@ -52,11 +53,8 @@ def _cumulative(pred: DataFrame, by: Sequence[str], prob: str, y_true: str,
     return cumsum_by(scores, "score", ["p", "n"], by, bounds)
 
 
-def _totals(pred: DataFrame, by: Sequence[str], prob: str, y_true: str) -> DataFrame:
-    rows = pred.filter(F.col(prob).isNotNull() & F.col(y_true).isNotNull())
-    return rows.groupBy(*by).agg(
-        F.sum((F.col(y_true) == 1).cast("bigint")).alias("pos"),
-        F.sum((F.col(y_true) == 0).cast("bigint")).alias("neg"))
+def _groups(pred: DataFrame, by: Sequence[str], prob: str, y_true: str) -> DataFrame:
+    return pred.filter(F.col(prob).isNotNull() & F.col(y_true).isNotNull()).select(*by).distinct()
 
 
 def _share(a: Column, b: Column) -> Column:
@@ -69,14 +67,14 @@ def roc_curve(
 ) -> DataFrame:
     """(threshold, fpr, tpr) per distinct score, with the start point (inf, 0, 0)."""
     by = list(by)
-    totals = _totals(pred, by, prob, y_true)
+    groups = _groups(pred, by, prob, y_true)
     points = (
-        _cumulative(pred, by, prob, y_true, parts).join(totals, by)
+        _cumulative(pred, by, prob, y_true, parts)
         .select(*by, F.col("score").alias("threshold"),
-                _share(F.col("cum_n"), F.col("neg")).alias("fpr"),
-                _share(F.col("cum_p"), F.col("pos")).alias("tpr"))
+                _share(F.col("cum_n"), F.col("all_n")).alias("fpr"),
+                _share(F.col("cum_p"), F.col("all_p")).alias("tpr"))
     )
-    start = totals.select(*by, F.lit(float("inf")).alias("threshold"),
+    start = groups.select(*by, F.lit(float("inf")).alias("threshold"),
                           F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     return points.unionByName(start)
 
@@ -90,14 +88,14 @@ def pr_curve(
     Recall is 1 throughout when there are no positives.
     """
     by = list(by)
-    totals = _totals(pred, by, prob, y_true)
+    groups = _groups(pred, by, prob, y_true)
     points = (
-        _cumulative(pred, by, prob, y_true, parts).join(totals, by)
+        _cumulative(pred, by, prob, y_true, parts)
         .select(*by, F.col("score").alias("threshold"),
                 _share(F.col("cum_p"), F.col("cum_p") + F.col("cum_n")).alias("precision"),
-                F.coalesce(_share(F.col("cum_p"), F.col("pos")), F.lit(1.0)).alias("recall"))
+                F.coalesce(_share(F.col("cum_p"), F.col("all_p")), F.lit(1.0)).alias("recall"))
     )
-    end = totals.select(*by, F.lit(None).cast("double").alias("threshold"),
+    end = groups.select(*by, F.lit(None).cast("double").alias("threshold"),
                         F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
     return points.unionByName(end)
 

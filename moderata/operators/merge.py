@@ -125,11 +125,11 @@ def latest_corrections(feedback: DataFrame) -> DataFrame:
     fixes = errors_of(feedback, "prediction", "user_label").select(
         "id", key_digest(text_key(F.col("input_text"))).alias("key"),
         label_value(F.col("user_label")).alias("label"), "input_text")
-    newest = F.max_by(F.struct("id", "label", "input_text"), "id")
-    return (
-        fixes.filter("label IS NOT NULL").groupBy("key").agg(newest.alias("n"))
-        .select("key", "n.*")
-    )
+    fixes = fixes.filter("label IS NOT NULL")
+    # A hash aggregate over keys and ids; texts are read again for the winners only.
+    newest = fixes.groupBy("key").agg(F.max("id").alias("id"))
+    return fixes.join(newest, ["key", "id"], "left_semi").select("key", "id", "label", "input_text").dropDuplicates(
+        ["key", "id"])
 
 
 def apply_corrections(train: DataFrame, corrections: DataFrame, text: str = "text") -> DataFrame:
@@ -147,7 +147,8 @@ def apply_corrections(train: DataFrame, corrections: DataFrame, text: str = "tex
         F.coalesce("fix", "label").cast("int").alias("label"),
         F.col("fix").isNotNull().alias("corrected"),
     )
-    new = corrections.join(keyed.select("key"), "key", "left_anti").select(
+    # Distinct keys: a text repeated many times is one row on the right.
+    new = corrections.join(keyed.select("key").distinct(), "key", "left_anti").select(
         F.col("input_text").alias("text"),
         F.col("label").cast("int").alias("label"),
         F.lit(True).alias("corrected"),

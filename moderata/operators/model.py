@@ -140,7 +140,7 @@ def cross_validate(
     Term counts per fold are taken in one pass and stored; the vocabulary of a
     fit is the sum over the other folds, so texts are not counted k times.
     """
-    folded = assign_folds(df, k, seed, doc)
+    folded = materialize(assign_folds(df, k, seed, doc, label), "folds")
     stats = materialize(
         term_stats(add_terms(folded, text, lo, hi, char, stop), ["fold"]), "fold-terms")
     parts = []

@@ -20,28 +20,46 @@ def _below(frac: float) -> int:
     return round(frac * HASH_SPACE)
 
 
+def with_rank(df: DataFrame, by: list[str], seed, key: str) -> DataFrame:
+    """Add ``rank_`` (from 1, in order of the key's hash, inside equal values of ``by``) and ``n_`` (rows there).
+
+    A histogram of the hash's top 16 bits gives the rows before each bin; rows
+    are ranked inside their bin only, so no task sees a whole label. The join
+    with the histogram and the window share one shuffle.
+    """
+    h = split_hash(F.col(key), seed)
+    binned = df.withColumns({"hash_": h, "bin_": F.shiftright(h, 32 - BIN_BITS)})
+    groups = [f"by{i}_" for i in range(len(by))]
+    up_to = Window.partitionBy(*groups).orderBy("bin_").rowsBetween(Window.unboundedPreceding, -1)
+    hist = (
+        binned.groupBy(*[F.col(c).alias(g) for c, g in zip(by, groups)], "bin_").agg(F.count(F.lit(1)).alias("c_"))
+        .withColumns({"before_": F.coalesce(F.sum("c_").over(up_to), F.lit(0)),
+                      "n_": F.sum("c_").over(Window.partitionBy(*groups))})
+        .withColumnRenamed("bin_", "at_").drop("c_")
+    )
+    same = binned["bin_"] == hist["at_"]
+    for c, g in zip(by, groups):
+        same = same & binned[c].eqNullSafe(hist[g])
+    inside = Window.partitionBy(*by, "bin_").orderBy("hash_", key)
+    return binned.join(hist, same).withColumn("rank_", F.col("before_") + F.row_number().over(inside)).drop(
+        *groups, "at_", "before_", "hash_", "bin_")
+
+
 def stratified_split(
     df: DataFrame, label: str, frac: float = 0.15, seed=42, key: str = "doc_id",
-    exact: bool = False, out: str = "split",
+    exact: bool = True, out: str = "split",
 ) -> DataFrame:
-    """Mark rows ``test`` or ``train``.
+    """Mark rows ``test`` or ``train``: of each label exactly ``rint(frac * rows)`` are test rows.
 
-    By default a hash threshold: one narrow pass, each label's share is
-    ``frac`` in expectation. With ``exact`` each label gives exactly
-    ``rint(frac * rows)`` test rows (``key`` must then be unique).
+    Those with the smallest (hash, key); ``key`` should be unique. Without
+    ``exact`` a hash threshold: one narrow pass, each label's share is ``frac``
+    in expectation only.
     """
-    h = split_hash(F.col(key), seed)
     if not exact:
+        h = split_hash(F.col(key), seed)
         return df.withColumn(out, F.when(h < _below(frac), "test").otherwise("train"))
-    hashed = df.withColumn("h", h)
-    cuts = smallest_cut(hashed, label, "h", key, F.rint(F.col("n") * frac).cast("bigint"))
-    inside = (F.col("h") < F.col("cut_h")) | (
-        (F.col("h") == F.col("cut_h")) & (F.col(key) <= F.col("cut_tie")))
-    return (
-        hashed.join(cuts, hashed[label].eqNullSafe(cuts["cut_group"]), "left")
-        .withColumn(out, F.when(inside, "test").otherwise("train"))
-        .drop("h", "cut_group", "cut_h", "cut_tie")
-    )
+    test = F.col("rank_") <= F.rint(F.col("n_") * frac)
+    return with_rank(df, [label], seed, key).withColumn(out, F.when(test, "test").otherwise("train")).drop("rank_", "n_")
 
 
 def smallest_cut(df: DataFrame, group: str, h: str, tie: str, k: Column) -> DataFrame:
@@ -77,23 +95,29 @@ def nested_split(
     df: DataFrame, label: str, test_frac: float = 0.15, val_frac: float = 0.1, seed=42,
     key: str = "doc_id",
 ) -> DataFrame:
-    """``test``, and of the rest ``val`` or ``train``, with independent hashes."""
-    out = stratified_split(df, label, test_frac, seed, key)
-    val = split_hash(F.col(key), f"{seed}:val") < _below(val_frac)
-    return out.withColumn(
-        "split", F.when((F.col("split") == "train") & val, "val").otherwise(F.col("split")))
+    """``test``, and of each label's other rows ``rint(val_frac * rows)`` are ``val``, with independent hashes."""
+    out = with_rank(stratified_split(df, label, test_frac, seed, key), [label, "split"], f"{seed}:val", key)
+    val = (F.col("split") == "train") & (F.col("rank_") <= F.rint(F.col("n_") * val_frac))
+    return out.withColumn("split", F.when(val, "val").otherwise(F.col("split"))).drop("rank_", "n_")
 
 
 def split_summary(df: DataFrame, label: str, split: str = "split") -> DataFrame:
     return df.groupBy(split, label).agg(F.count(F.lit(1)).alias("n"))
 
 
-def assign_folds(df: DataFrame, k: int = 5, seed=42, key: str = "doc_id") -> DataFrame:
-    """Add ``fold`` in 0..k-1; row r trains every fold but its own. k=1: no folds."""
+def assign_folds(df: DataFrame, k: int = 5, seed=42, key: str = "doc_id", label: str | None = None) -> DataFrame:
+    """Add ``fold`` in 0..k-1; row r trains every fold but its own. k=1: no folds.
+
+    With ``label`` a label's rows are dealt out in turn, so its folds differ by
+    at most one row. Without, the fold is a hash and the pass is narrow.
+    """
     if k <= 1:
         return df.withColumn("fold", F.lit(None).cast("int"))
-    h = split_hash(F.col(key), f"{seed}:fold")
-    return df.withColumn("fold", F.pmod(h, F.lit(k)).cast("int"))
+    if label is None:
+        h = split_hash(F.col(key), f"{seed}:fold")
+        return df.withColumn("fold", F.pmod(h, F.lit(k)).cast("int"))
+    dealt = with_rank(df, [label], f"{seed}:fold", key)
+    return dealt.withColumn("fold", ((F.col("rank_") - 1) % k).cast("int")).drop("rank_", "n_")
 
 
 def sample_n(df: DataFrame, n: int, seed=42, key: str = "doc_id") -> DataFrame:

@@ -161,7 +161,7 @@ def test_corrections_latest_wins_and_survive_replay(spark):
 
 def test_splits(spark):
     df = spark.range(4000).selectExpr("id AS doc_id", "cast(id % 10 = 0 AS int) AS label")
-    a = split.stratified_split(df, "label", 0.15)
+    a = split.stratified_split(df, "label", 0.15, exact=False)
     share = {r["label"]: r["f"] for r in a.groupBy("label").agg(
         F.avg((F.col("split") == "test").cast("int")).alias("f")).collect()}
     assert abs(share[0] - 0.15) < 0.03 and abs(share[1] - 0.15) < 0.06
@@ -172,6 +172,11 @@ def test_splits(spark):
     assert exact.exceptAll(again).count() == 0
     folds = {r["fold"]: r["count"] for r in split.assign_folds(df).groupBy("fold").count().collect()}
     assert set(folds) == set(range(5)) and sum(folds.values()) == 4000
+    even = split.assign_folds(df, label="label").groupBy("label", "fold").count().groupBy("label").agg(
+        F.count("fold").alias("k"), (F.max("count") - F.min("count")).alias("gap")).collect()
+    assert all(r["k"] == 5 and r["gap"] <= 1 for r in even)
+    nested = split.split_summary(split.nested_split(df, "label"), "label").collect()
+    assert {r["split"] for r in nested} == {"train", "val", "test"} and sum(r["n"] for r in nested) == 4000
     assert split.assign_folds(df, 1).filter("fold IS NOT NULL").count() == 0
     assert split.sample_n(df, 123).count() == 123
     assert split.sample_n(df, 9999).count() == 4000

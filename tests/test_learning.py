@@ -268,7 +268,7 @@ def test_fold_vocabularies_equal_separate_counting(spark, labelled):
 
     one_pass = {r["doc_id"]: r["prob"] for r in model.cross_validate(
         labelled, 2, hi=1, min_df=2, max_features=8, max_iter=15).collect()}
-    folded = assign_folds(labelled, 2)
+    folded = assign_folds(labelled, 2, label="label")
     for i in (0, 1):
         fitted = model.train_baseline(folded.filter(F.col("fold") != i), hi=1, min_df=2,
                                       max_features=8, max_iter=15)
