@@ -35,13 +35,13 @@ POST_TEXT = """
 CASE WHEN doc_id % 97 = 0 THEN '   ' WHEN doc_id % 89 = 0 THEN NULL ELSE concat(
   CASE WHEN doc_id % 7 = 0 THEN concat('http://t.co/x', CAST(doc_id AS STRING), chr(160), 'seen ') ELSE '' END,
   CASE WHEN doc_id % 5 = 0 THEN concat('@user', CAST(doc_id AS STRING), ' ') ELSE '' END,
-  CASE WHEN doc_id % 17 = 0 THEN '@मोदी ' ELSE '' END,
+  CASE WHEN doc_id % 17 = 0 THEN '@नदी ' ELSE '' END,
   text,
-  CASE WHEN doc_id % 3 = 0 THEN ' sooooo haaate!!! Really??' ELSE '' END,
-  CASE WHEN doc_id % 4 = 0 THEN ' #HateSpeech #tag_1' ELSE '' END,
-  CASE WHEN doc_id % 6 = 0 THEN ' 😡😡 🤬' ELSE '' END,
-  CASE WHEN doc_id % 11 = 0 THEN ' यह देशद्रोही है' ELSE '' END,
-  CASE WHEN doc_id % 13 = 0 THEN ' yaar bahut bakwaas hai' ELSE '' END,
+  CASE WHEN doc_id % 3 = 0 THEN ' waaaait noooow!!! Sure??' ELSE '' END,
+  CASE WHEN doc_id % 4 = 0 THEN ' #OpenDoors #tag_1' ELSE '' END,
+  CASE WHEN doc_id % 6 = 0 THEN ' 😀😀 🤠' ELSE '' END,
+  CASE WHEN doc_id % 11 = 0 THEN ' नदी शांत है' ELSE '' END,
+  CASE WHEN doc_id % 13 = 0 THEN ' kya scene hai bhai' ELSE '' END,
   CASE WHEN doc_id % 19 = 0 THEN ' <b>x_y</b>' ELSE '' END) END"""
 
 POSTS_SQL = f"posts AS (SELECT doc_id AS post_id, lang, source, {POST_TEXT} AS text_raw FROM documents)"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import sys
 from collections.abc import Callable, Iterator
 
@@ -97,7 +98,7 @@ def _ridge(z: np.ndarray, y: np.ndarray, w: np.ndarray, alpha: float) -> np.ndar
 
 def _masks(doc_key: str, seed: int, n_samples: int, d: int) -> np.ndarray:
     """Keep-masks: all words first, then a uniform number of dropped words each."""
-    key = int.from_bytes(str(doc_key).encode()[-8:], "little")
+    key = int.from_bytes(hashlib.blake2b(str(doc_key).encode(), digest_size=8).digest(), "little")
     rng = np.random.default_rng([seed, key])
     drops = rng.integers(1, d + 1, n_samples - 1)
     z = np.ones((n_samples, d), dtype=np.float64)

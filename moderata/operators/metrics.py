@@ -163,8 +163,10 @@ def slice_metrics(
                         .alias("slice"), *COUNTS)
     total = named.groupBy(*by).agg(*[F.sum(c).alias(c) for c in COUNTS])
     n = F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")
-    both = named.unionByName(total.withColumn("slice", F.lit("all"))).withColumn("n", n)
-    return rates(both.filter((F.col("slice") == "all") | (F.col("n") >= min_n)))
+    # The total is known by a flag, as a slice may be called "all" as well.
+    both = named.withColumn("whole", F.lit(False)).unionByName(
+        total.withColumns({"slice": F.lit("all"), "whole": F.lit(True)})).withColumn("n", n)
+    return rates(both.filter(F.col("whole") | (F.col("n") >= min_n)).drop("whole"))
 
 
 def metric_rows(metrics: DataFrame, model: str = "model",

@@ -88,6 +88,8 @@ def train_baseline(
                      text, lo, hi, char, stop)
     counts = {r["y"]: r["count"] for r in df.groupBy(
         F.col(label).cast("int").alias("y")).count().collect()}
+    if set(counts) - {0, 1}:
+        raise ValueError(f"labels must be 0 or 1, found {sorted(map(str, counts))}")
     n = sum(counts.values())
     stats = term_stats(data) if stats is None else stats
     words = select_vocab(stats, n, min_df, max_df, max_features).collect()

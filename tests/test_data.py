@@ -65,7 +65,7 @@ def test_roles(spark):
         roles.infer_roles(df.select("x"))
     with pytest.raises(ValueError):
         roles.infer_roles(spark.createDataFrame([("a",)], "text_label string"))
-    with pytest.raises(ValueError, match="Available"):
+    with pytest.raises(ValueError, match="the table lacks"):
         roles.standardize(df, "nope", "Class")
 
 
