@@ -6,9 +6,9 @@ prefixes of length ``size - ceil(t * size) + 1`` meet. The order puts shingles
 that many documents share last, hence a passage found everywhere does not make
 candidates. The steps:
 
-1. Count the prefix shingles (in hash order) and note those in more than
-   ``common`` documents: a sorted array whose size is checked before it is sent
-   to the tasks. (If there were more than ``MAX_COMMON``, the bar is raised.)
+1. Count the shingles and note those in more than ``common`` documents: a
+   sorted array whose size is checked before it is sent to the tasks. (If there
+   were more than ``MAX_COMMON``, the bar is raised.)
 2. Collapse documents with one prefix and one size into a group; the group's key
    stands for all of them. Spread (shingle, group) over buckets of the hash
    space, as arrays; in a bucket, groups that share a shingle and whose sizes
@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import shingles
+from . import bpe, shingles
 from .components import components
 from .workspace import written
 
@@ -49,7 +49,11 @@ FEW = 8  # groups that share a shingle and are paired outright
 BUCKET_ENTRIES = 400_000
 MIN_BUCKETS = 64
 SALT_PAIRS = 256  # partners of one document verified in one task
-SPREAD = pa.schema([("bucket", pa.int32()), ("codes", pa.binary()), ("groups", pa.binary()), ("documents", pa.binary())])
+CALL_PAIRS = 2_000
+LAST_PLACE = (1 << 16) - 1  # places from here on are not told apart
+LIST_CALL = 400_000  # list members in one call
+SPREAD = pa.schema([("bucket", pa.int32()), ("codes", pa.binary()), ("groups", pa.binary()), ("places", pa.binary()),
+                    ("documents", pa.binary())])
 
 
 class Threshold:
@@ -67,6 +71,15 @@ class Threshold:
     def sizes_fit(self, small, large):
         return small * self.den >= large * self.num
 
+    def overlap(self, x, y):
+        """Members that sets of sizes x and y share at least."""
+        return -(-(x + y) * self.num // (self.num + self.den))
+
+    def reachable(self, x, y, place_x, place_y):
+        """Whether a first common member at these places leaves enough behind it in both sets."""
+        need = self.overlap(x, y)
+        return (place_x <= x - need) & (place_y <= y - need)
+
     def holds(self, shared, x, y):
         return shared * self.den >= self.num * (x + y - shared)
 
@@ -117,97 +130,115 @@ def _prefixes(texts: list[str], k: int, t: Threshold, common: np.ndarray):
     return front, length, size, group, digest
 
 
-def common_shingles(docs: DataFrame, k: int, t: Threshold, common: int, buckets: int) -> tuple[np.ndarray, int]:
-    """(ascending 32-bit codes of the prefix shingles in more than ``common`` documents, prefix shingles in all)."""
+def common_shingles(docs: DataFrame, k: int, common: int, buckets: int) -> tuple[np.ndarray, int]:
+    """(ascending 32-bit codes of the shingles in more than ``common`` documents, shingles in all)."""
 
     def emit(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
             texts, held = frame.column(1).to_pylist(), []
             for a, b in shingles.batches(texts):
-                held.append(_prefixes(texts[a:b], k, t, np.zeros(0, np.uint32))[0])
-            codes = _short(np.concatenate(held))
+                held.append(_short(shingles.shingle_sets(texts[a:b], k)[0]))
+            codes = np.concatenate(held)
             rows = _blobs(codes.astype(np.uint64) * np.uint64(buckets) >> np.uint64(32), {"codes": codes})
             yield pa.RecordBatch.from_pandas(rows, preserve_index=False)
 
     def count(rows: pd.DataFrame) -> pd.DataFrame:
         code, n = np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in rows["codes"]]), return_counts=True)
         kept = n > common
-        return pd.DataFrame({"code": np.append(code[kept].astype(np.int64), -1), "n": np.append(n[kept], n.sum())})
+        return pd.DataFrame({"codes": [code[kept].tobytes()], "n": [n[kept].astype(np.int64).tobytes()], "total": [n.sum()]})
+
+    counted = docs.mapInArrow(emit, "bucket int, codes binary").groupBy("bucket").applyInPandas(
+        count, "codes binary, n binary, total long")
+    counted = written(counted, "common")  # a few arrays per bucket, not rows
+    found, total = counted.agg(F.sum(F.octet_length("codes") / 4), F.sum("total")).first()
+
+    def above(bar):
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                yield pd.DataFrame({"codes": [
+                    np.frombuffer(c, np.uint32)[np.frombuffer(n, np.int64) > bar].tobytes()
+                    for c, n in zip(frame["codes"], frame["n"])]})
+        return run
 
-    counted = docs.mapInArrow(emit, "bucket int, codes binary").groupBy("bucket").applyInPandas(count, "code long, n long")
-    counted = written(counted, "common")
-    total = counted.filter("code < 0").agg(F.sum("n")).first()[0] or 0
-    counted = counted.filter("code >= 0")
-    found = counted.count()
     bar = common
-    while found > MAX_COMMON:
+    while (found or 0) > MAX_COMMON:
         bar *= 2
-        found = counted.filter(F.col("n") > bar).count()
-    codes = counted.filter(F.col("n") > bar).select("code").toPandas()["code"].to_numpy()
-    return np.sort(codes.astype(np.uint32)), int(total)
+        found = counted.mapInPandas(above(bar), "codes binary").agg(F.sum(F.octet_length("codes") / 4)).first()[0]
+    rows = counted.mapInPandas(above(bar), "codes binary").collect()  # 4 MB at most
+    codes = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(r["codes"], np.uint32) for r in rows)])
+    return np.sort(codes), int(total or 0)
 
 
-def _small_runs(start, length, size, group, t: Threshold):
+def _small_runs(length, size, place, group, t: Threshold):
     """Pairs in runs of at most FEW entries (arrays sorted by run, then size)."""
-    left, right = [], []
-    run_of = np.repeat(np.arange(len(start)), length)
+    start = np.cumsum(length) - length
     end = np.repeat(start + length, length)
     few = np.repeat(length <= FEW, length)
-    place = np.arange(len(run_of))
+    at = np.arange(len(end))
+    left, right = [], []
     for d in range(1, FEW):
-        a = place[few & (place + d < end)]
-        fits = t.sizes_fit(size[a], size[a + d])
+        a = at[few & (at + d < end)]
+        fits = t.sizes_fit(size[a], size[a + d]) & t.reachable(size[a], size[a + d], place[a], place[a + d])
         left.append(group[a[fits]])
         right.append(group[a[fits] + d])
     return left, right
 
 
-def _pivots(size: np.ndarray, t: Threshold) -> np.ndarray:
-    """Places of pivots in ascending sizes: each covers the sizes that still fit it."""
-    out, i = [], 0
-    while i < len(size):
-        out.append(i)
-        i = int(np.searchsorted(size * t.num, size[i] * t.den, "right"))
-    return np.array(out)
+def _star(size: np.ndarray, place: np.ndarray, t: Threshold):
+    """(pivot, other) places of a long run: the member with the fewest rare shingles before the
+    common one is likely the text that the others were made from; sizes that do not fit it get
+    another pivot."""
+    todo = np.lexsort((np.arange(len(size)), place))
+    while len(todo) > 1:
+        pivot, rest = todo[0], todo[1:]
+        fits = t.sizes_fit(np.minimum(size[rest], size[pivot]), np.maximum(size[rest], size[pivot]))
+        yield np.full(int(fits.sum()), pivot), rest[fits]
+        todo = rest[~fits]
+
+
+def _sizes(group: np.ndarray) -> np.ndarray:
+    return (group >> np.uint64(40)).astype(np.int64)
+
+
+LISTED = np.dtype([("group", "<u8"), ("code", "<u4"), ("place", "<u4")])
 
 
 def bucket_pairs(rows: pd.DataFrame, t: Threshold) -> pd.DataFrame:
     """Candidate pairs of groups in one bucket (kind 0), long lists of groups (kind 1), documents passed on (kind 2)."""
     documents = rows["documents"].dropna()
+    bucket = int(rows["bucket"].iloc[0])
     rows = rows[rows["documents"].isna()]
     passed = pd.DataFrame({"kind": 2, "a": 0, "b": 0, "members": documents})
     if not len(rows):
         return passed
-    code = np.concatenate([np.frombuffer(x, np.uint32) for x in rows["codes"]])
-    group = np.concatenate([np.frombuffer(x, np.uint64) for x in rows["groups"]])
+    code, group, place = (np.concatenate([np.frombuffer(x, kind) for x in rows[name]])
+                          for name, kind in (("codes", np.uint32), ("groups", np.uint64), ("places", np.uint16)))
     order = np.lexsort((group, code))
-    code, group = code[order], group[order]
+    code, group, place = code[order], group[order], place[order].astype(np.int64)
+    place[place == LAST_PLACE] = 0  # may be anywhere
     fresh = np.append(True, (code[1:] != code[:-1]) | (group[1:] != group[:-1])) if len(code) else np.zeros(0, bool)
-    code, group = code[fresh], group[fresh]
+    code, group, place = code[fresh], group[fresh], place[fresh]
     start = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.zeros(0, np.int64)
     length = np.diff(np.append(start, len(code)))
     keep = length > 1
     at = np.repeat(keep, length)
-    group, length = group[at], length[keep]
+    code, group, place, length = code[at], group[at], place[at], length[keep]
     start = np.cumsum(length) - length
-    size = (group >> np.uint64(40)).astype(np.int64)  # ascending in a run
-    left, right = _small_runs(start, length, size, group, t)
-    lists = {}
+    size = _sizes(group)  # ascending in a run
+    left, right = _small_runs(length, size, place, group, t)
+    lists = []
     for i in np.flatnonzero(length > FEW):
-        members = group[start[i]: start[i] + length[i]]
-        lists.setdefault(members.tobytes(), None)
-    for raw in lists:
-        members = np.frombuffer(raw, np.uint64)
-        own = (members >> np.uint64(40)).astype(np.int64)
-        pivot = _pivots(own, t)
-        mine = pivot[np.searchsorted(pivot, np.arange(len(own)), "right") - 1]
-        other = np.flatnonzero(mine != np.arange(len(own)))
-        left.append(members[mine[other]])
-        right.append(members[other])
+        run = slice(start[i], start[i] + length[i])
+        for pivot, other in _star(size[run], place[run], t):
+            left.append(group[run][pivot])
+            right.append(group[run][other])
+        table = np.empty(length[i], LISTED)
+        table["group"], table["code"], table["place"] = group[run], code[run], place[run]
+        lists.append(table.tobytes())
     a, b = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (left, right))
     pairs = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.zeros((0, 2), np.uint64)
     out = pd.DataFrame({"kind": 0, "a": pairs[:, 0].view(np.int64), "b": pairs[:, 1].view(np.int64), "members": None})
-    more = pd.DataFrame({"kind": 1, "a": 0, "b": 0, "members": list(lists)})
+    more = pd.DataFrame({"kind": 1, "a": bucket, "b": 0, "members": lists})
     return pd.concat([x for x in (out, more, passed) if len(x)] or [out], ignore_index=True)
 
 
@@ -252,21 +283,24 @@ def verify(docs: DataFrame, pairs: DataFrame, k: int, t: Threshold, wide: bool =
     loaded = wanted.join(kept, "id")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        own = rows[rows["id"] == rows["a"]]
-        others = rows[rows["id"] != rows["a"]]
-        if not len(own) or not len(others):
-            return pd.DataFrame({"a": [], "b": [], "sure": []})
-        y = others["size"].to_numpy(np.int64)
-        found = []
-        for raw, x in own[["members", "size"]].drop_duplicates().itertuples(index=False):  # several if a key repeats
-            mine = np.frombuffer(raw, kind)
-            shared = np.array([_shared(mine, np.frombuffer(m, kind)) for m in others["members"]], np.int64)
-            slack = 0 if wide else 4 + (4 * x * y >> 32)
-            found.append(pd.DataFrame({"a": others["a"], "b": others["id"], "sure": t.holds(shared - slack, x, y)})[
-                t.holds(shared, x, y)])
+        found = [pd.DataFrame({"a": [], "b": [], "sure": []})]
+        for _, part in rows.groupby(["a", "salt"], sort=False):
+            own = part["id"].to_numpy() == part["a"].to_numpy()
+            other = part[~own]
+            ids, y = other["id"].to_numpy(), other["size"].to_numpy(np.int64)
+            theirs = [np.frombuffer(m, kind) for m in other["members"]]
+            for raw, x in set(zip(part["members"][own], part["size"][own])):  # several if a key repeats
+                mine = np.frombuffer(raw, kind)
+                shared = np.array([_shared(mine, m) for m in theirs], np.int64)
+                slack = 0 if wide else 4 + (4 * x * y >> 32)
+                holds, sure = t.holds(shared, x, y), t.holds(shared - slack, x, y)
+                found.append(pd.DataFrame({"a": part["a"].iloc[0], "b": ids[holds], "sure": sure[holds]}))
         return pd.concat(found)
 
-    return loaded.groupBy("a", "salt").applyInPandas(compare, "a long, b long, sure boolean")
+    # Many pivots share a task's call; one pivot's partners are in several.
+    calls = max(MIN_BUCKETS, salted.count() // CALL_PAIRS)
+    called = loaded.withColumn("call", F.pmod(F.xxhash64("a", "salt"), F.lit(calls)))
+    return called.groupBy("call").applyInPandas(compare, "a long, b long, sure boolean")
 
 
 def _shared(x: np.ndarray, y: np.ndarray) -> int:
@@ -300,13 +334,13 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
     everything = _texts(docs, key, text)
     rows = everything.filter("id IS NOT NULL")
     buckets = max(MIN_BUCKETS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    frequent, entries = common_shingles(rows, k, t, common, buckets)
+    frequent, entries = common_shingles(rows, k, common, buckets)
     shared = docs.sparkSession.sparkContext.broadcast(frequent)  # at most 4 MB
-    buckets = max(MIN_BUCKETS, entries // BUCKET_ENTRIES)
+    buckets = max(MIN_BUCKETS, int(t.prefix(np.int64(entries))) // BUCKET_ENTRIES)
 
     def spread(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, frame in enumerate(frames):
-            texts, fronts, groups, about = frame.column(1).to_pylist(), [], [], []
+            texts, fronts, groups, places, about = frame.column(1).to_pylist(), [], [], [], []
             seen = np.zeros(0, np.uint64)
             for a, b in shingles.batches(texts):
                 front, length, size, group, digest = _prefixes(texts[a:b], k, t, shared.value)
@@ -318,20 +352,22 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
                 seen = np.append(seen, group[new])
                 fronts.append(front[np.repeat(new, length)])
                 groups.append(np.repeat(group[new], length[new]))
-            front, group = np.concatenate(fronts), np.concatenate(groups)
-            blobs = _blobs(_ranges(front, buckets), {"codes": _short(front), "groups": group})
+                places.append(np.minimum(bpe.ragged(np.zeros(int(new.sum()), np.int64), length[new]), LAST_PLACE))
+            front, group, place = (np.concatenate(x) for x in (fronts, groups, places))
+            blobs = _blobs(_ranges(front, buckets), {
+                "codes": _short(front), "groups": group, "places": place.astype(np.uint16)})
             ids = frame.column(0)
             table = np.column_stack([ids.is_valid().to_numpy(zero_copy_only=False).astype(np.int64),
                                      ids.fill_null(0).to_numpy(), np.concatenate(about)])
             # Documents ride along in pieces, dealt over the buckets.
             pieces = np.array_split(table, max(1, len(table) // 500))
-            places = (np.arange(len(pieces)) + int(table[0, 1]) + number) % buckets
-            riders = pd.DataFrame({"bucket": places.astype(np.int32), "documents": [x.tobytes() for x in pieces]})
-            both = pd.concat([blobs, riders], ignore_index=True)[["bucket", "codes", "groups", "documents"]]
+            to = (np.arange(len(pieces)) + int(table[0, 1]) + number) % buckets
+            riders = pd.DataFrame({"bucket": to.astype(np.int32), "documents": [x.tobytes() for x in pieces]})
+            both = pd.concat([blobs, riders], ignore_index=True)[SPREAD.names]
             yield pa.RecordBatch.from_pandas(both, schema=SPREAD, preserve_index=False)
 
     found = (
-        everything.mapInArrow(spread, "bucket int, codes binary, groups binary, documents binary")
+        everything.mapInArrow(spread, "bucket int, codes binary, groups binary, places binary, documents binary")
         .groupBy("bucket").applyInPandas(lambda x: bucket_pairs(x, t), "kind int, a long, b long, members binary"))
     found = written(found, "candidates")
 
@@ -348,7 +384,7 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
     classes = written(members.filter("n > 0 AND id IS NOT NULL").groupBy("g", "d1", "d2").agg(
         F.min("id").alias("id")), "classes")
     group_pairs = found.filter("kind = 0").select("a", "b").distinct()
-    lists = found.filter("kind = 1").select("members").distinct()
+    lists = found.filter("kind = 1").select(F.col("a").alias("bucket"), "members")
 
     # First pass: a group's first class stands for it as the left side, all classes as the right side.
     leads = classes.groupBy("g").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("width"))
@@ -398,25 +434,35 @@ def _between_components(group_pairs: DataFrame, lists: DataFrame, leads: DataFra
 
     def unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for i, raw in zip(frame["list"], frame["members"]):
-                yield pd.DataFrame({"list": i, "g": np.frombuffer(raw, np.int64)})
-
-    numbered = lists.select(F.sha2("members", 256).alias("list"), "members")
-    listed = numbered.mapInPandas(unpack, "list string, g long").join(areas, "g")
-    mixed = listed.groupBy("list").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("list")
+            for bucket, raw in zip(frame["bucket"], frame["members"]):
+                x = np.frombuffer(raw, LISTED)
+                yield pd.DataFrame({"bucket": bucket, "code": x["code"].astype(np.int64), "place": x["place"].astype(np.int64),
+                                    "g": x["group"].view(np.int64)})
+
+    listed = lists.mapInPandas(unpack, "bucket long, code long, place long, g long").join(areas, "g")
+    listed = written(listed, "listed")
+    mixed = listed.groupBy("bucket", "code").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high")
+    mixed = listed.join(mixed.select("bucket", "code"), ["bucket", "code"], "left_semi")
+    # Lists that are neighbours in the order of shingles share a call, as they have many pairs in common.
+    calls = max(MIN_BUCKETS, listed.count() // LIST_CALL)
+    mixed = mixed.withColumn("call", F.expr(f"CAST((code * {calls}) div {1 << 32} AS INT)"))
 
     def cross(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(size=(rows["g"].to_numpy().view(np.uint64) >> np.uint64(40)).astype(np.int64)).sort_values("size")
-        g, c, size = (rows[x].to_numpy() for x in ("g", "c", "size"))
-        upto = np.searchsorted(size * t.num, size * t.den, "right")
-        out = []
-        for i in range(len(g)):
-            other = np.arange(i + 1, upto[i])
-            other = other[c[other] != c[i]]
-            out.append(np.stack([np.full(len(other), g[i]), np.full(len(other), c[i]), g[other], c[other]], 1))
-        found = np.concatenate(out) if out else np.zeros((0, 4), np.int64)
-        return pd.DataFrame(found, columns=["g1", "c1", "g2", "c2"])
-
-    crossed = listed.join(mixed, "list", "left_semi").groupBy("list").applyInPandas(
-        cross, "g1 long, c1 long, g2 long, c2 long")
+        held = np.zeros((0, 4), np.int64)
+        for _, part in rows.groupby(["bucket", "code"], sort=False):
+            g, c, place = (part[x].to_numpy() for x in ("g", "c", "place"))
+            size = _sizes(g.view(np.uint64))
+            order = np.argsort(size, kind="stable")
+            g, c, place, size = g[order], c[order], place[order], size[order]
+            upto = np.searchsorted(size * t.num, size * t.den, "right")
+            out = [held]
+            for i in range(len(g)):
+                other = np.arange(i + 1, upto[i])
+                other = other[c[other] != c[i]]
+                other = other[t.reachable(size[i], size[other], place[i], place[other])]
+                out.append(np.stack([np.full(len(other), g[i]), np.full(len(other), c[i]), g[other], c[other]], 1))
+            held = np.unique(np.concatenate(out), axis=0)
+        return pd.DataFrame(held, columns=["g1", "c1", "g2", "c2"])
+
+    crossed = mixed.groupBy("call").applyInPandas(cross, "g1 long, c1 long, g2 long, c2 long")
     return pairs.union(crossed).distinct()
