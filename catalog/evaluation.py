@@ -273,19 +273,20 @@ def _summary(spark, sf):
         "hate_pct": F.round("hate_pct", 9), "avg_severity": F.round("avg_severity", 9)})
 
 
-ERR = f"""{P}, e AS (SELECT doc_id, text_raw AS text, y_true AS true_label, y_pred AS pred_label,
+ERR = f"""{P}, e AS (SELECT model, doc_id, text_raw AS text, y_true AS true_label, y_pred AS pred_label,
   CASE WHEN y_pred = 1 THEN 'FP' ELSE 'FN' END AS error_type, round(prob, 4) AS prob_hate
-  FROM predictions WHERE model = 'm1' AND y_pred IS DISTINCT FROM y_true)"""
+  FROM predictions WHERE y_pred IS DISTINCT FROM y_true)"""
 
 
-@query("top_errors", f"WITH {ERR} SELECT * FROM e ORDER BY abs(prob_hate - 0.5) DESC, doc_id LIMIT 50")
+@query("top_errors", f"""WITH {ERR} SELECT * FROM e
+  QUALIFY row_number() OVER (PARTITION BY model ORDER BY abs(prob_hate - 0.5) DESC, doc_id) <= 50""")
 def _top_errors(spark, sf):
-    return errors.top_errors(predictions(spark, sf).filter("model = 'm1'"))
+    return errors.top_errors(predictions(spark, sf), by=["model"])
 
 
 @query("all_errors", f"WITH {ERR} SELECT * REPLACE (NULL::DOUBLE AS prob_hate) FROM e")
 def _all_errors(spark, sf):
-    return errors.top_errors(predictions(spark, sf).filter("model = 'm1'"), prob=None)
+    return errors.top_errors(predictions(spark, sf), prob=None, by=["model"])
 
 
 @query("error_counts", f"""WITH {P} SELECT model, count(*) FILTER (y_pred = 1 AND y_true = 0) AS fp,

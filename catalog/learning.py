@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from moderata.operators import explain, features, model
 from moderata.operators.context import with_context
-from moderata.operators.metrics import binary_metrics, cv_metrics, cv_summary
+from moderata.operators.metrics import binary_metrics
+from moderata.operators.split import stratified_split
 from moderata.plans.training import load_training
 from moderata.sources.workspace import new_folder
 
 from . import duck
+from .datasets import SPLIT_SQL, h
 from .inputs import LABELLED_SQL, POSTS_SQL, documents, labelled, posts, table
 from .registry import query
 from .text import CODE_MIXED
@@ -236,13 +238,23 @@ def _agreement(spark, sf):
         "jaccard": F.round("jaccard", 9), "sign_agreement": F.round("sign_agreement", 9)})
 
 
-@query("lime_batch")
+@query("lime_batch", f"""WITH {tfidf_sql(5000)} SELECT doc_id, least(10, count(*)) AS words, true AS finite
+  FROM tfidf GROUP BY doc_id""")
 def _lime(spark, sf):
+    """Words and finite weights per document; their signs are tested against ``lime_drop_one``."""
     w, coefs = linear_model(spark, sf)
-    return explain.lime_linear(w.select("doc_id", "term", "tf"), coefs, INTERCEPT)
+    return explained(explain.lime_linear(w.select("doc_id", "term", "tf"), coefs, INTERCEPT))
 
 
-@query("lime_texts")
+def explained(rows):
+    return rows.groupBy("doc_id").agg(
+        F.countDistinct("term").alias("words"),
+        F.bool_and(F.abs("weight") < float("inf")).alias("finite"))
+
+
+@query("lime_texts", f"""WITH t AS (SELECT concat(conv_id, '/', turn) AS doc_id, regexp_extract_all(lower(text),
+    '{duck.WORD}{{2,}}') AS w FROM conversations)
+  SELECT doc_id, least(10, len(list_distinct(w))) AS words, true AS finite FROM t WHERE len(w) > 0""")
 def _lime_texts(spark, sf):
     def make():
         # Stands for any external scorer: share of words longer than five letters.
@@ -251,9 +263,9 @@ def _lime_texts(spark, sf):
         return predict
 
     keyed = table(spark, sf, "conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"),
+        F.concat("conv_id", F.lit("/"), "turn").alias("doc_id"),
         features.tokens(F.col("text")).alias("words"))
-    return explain.lime_texts(keyed, make, n_samples=100)
+    return explained(explain.lime_texts(keyed, make, n_samples=100))
 
 
 @query("score_plugin", "SELECT doc_id, (length(text) % 100) / 100.0e0 AS prob FROM documents")
@@ -308,8 +320,9 @@ def _load_training(spark, sf):
         F.col("post_id").alias("row_id"), "text_raw", F.col("toxic").cast("string").alias("label")))
 
 
-def trained(spark, sf, **kw):
-    return model.train_baseline(labelled(spark, sf), max_features=5000, **kw)
+def trained(spark, sf, rows=None, **kw):
+    rows = labelled(spark, sf) if rows is None else rows
+    return model.train_baseline(rows, clean=True, **kw)
 
 
 @query("train_baseline")
@@ -319,28 +332,42 @@ def _train(spark, sf):
 
 @query("train_baseline_char")
 def _train_char(spark, sf):
-    fitted = model.train_baseline(labelled(spark, sf), max_features=5000, hi=3, char=True)
-    return fitted.weights(spark)
+    return trained(spark, sf, hi=3, char=True).weights(spark)
 
 
-@query("score_batch")
+@query("score_batch", """SELECT doc_id, CASE WHEN length(text) > 60 THEN concat(substr(text, 1, 60), '…') ELSE text END
+  AS preview, true AS scored, true AS severity_fits, true AS label_fits FROM documents""")
 def _score_batch(spark, sf):
+    """Previews, and whether severity and label follow from the probability."""
     out = model.score_batch(trained(spark, sf), documents(spark, sf))
-    return out.select("doc_id", "prob", "prediction", "severity", "preview")
+    return out.select(
+        "doc_id", "preview", F.col("prob").between(0, 1).alias("scored"),
+        (F.abs(F.col("severity") - 100 * F.col("prob")) <= 0.5 + 1e-9).alias("severity_fits"),
+        (F.col("prediction") == F.when(F.col("prob") > 0.5, "HATE").otherwise("NON-HATE")).alias("label_fits"))
 
 
-@query("train_metrics")
+@query("train_metrics", f"""WITH {SPLIT_SQL} SELECT count(*) AS rows, count(*) FILTER (label = 1) AS positives,
+  true AS rates_fit FROM halves WHERE split = 'test'""")
 def _train_metrics(spark, sf):
-    scored = trained(spark, sf).transform(labelled(spark, sf))
-    return binary_metrics(scored.select(
+    """Metrics of held-out rows: their counts, and whether the rates follow from them."""
+    split = stratified_split(labelled(spark, sf), "label")
+    scored = trained(spark, sf, split.filter("split = 'train'")).transform(split.filter("split = 'test'"))
+    m = binary_metrics(scored.select(
         F.col("label").alias("y_true"), (F.col("prob") >= 0.5).cast("int").alias("y_pred")))
+    n = F.expr("tn + fp + fn + tp")
+    return m.select(n.alias("rows"), F.expr("tp + fn").alias("positives"),
+                    (F.abs(F.col("accuracy") - F.expr("tn + tp") / n) < 1e-9).alias("rates_fit"))
 
 
-@query("cv_train")
+@query("cv_train", f"""WITH {LABELLED_SQL}, f AS (SELECT label, CAST((row_number() OVER (PARTITION BY label
+    ORDER BY {h('42:fold')}, doc_id) - 1) % 5 AS INT) AS fold FROM labelled)
+  SELECT fold, count(*) AS rows, count(*) FILTER (label = 1) AS positives, true AS scored FROM f GROUP BY fold""")
 def _cv_train(spark, sf):
-    folds = model.cross_validate(labelled(spark, sf), 3, max_features=2000, max_iter=50)
-    named = folds.withColumn("model", F.lit("baseline_word"))
-    return cv_metrics(named).join(cv_summary(named), "model")
+    """Out-of-fold rows and labels of five folds; every row has a probability."""
+    folds = model.cross_validate(labelled(spark, sf), clean=True)
+    return folds.groupBy("fold").agg(
+        F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("y_true") == 1, 1)).alias("positives"),
+        F.bool_and(F.col("prob").between(0, 1)).alias("scored"))
 
 
 @query("model_roundtrip", f"WITH {LABELLED_SQL} SELECT doc_id, true AS same FROM labelled")

@@ -2,30 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .filters import errors_of
 
 
-def error_rows(pred: DataFrame, prob: str | None = "prob", text: str = "text_raw") -> DataFrame:
+def error_rows(pred: DataFrame, prob: str | None = "prob", text: str = "text_raw",
+               by: Sequence[str] = ()) -> DataFrame:
     """Misclassified rows with their FP/FN tag."""
     p = F.round(prob, 4) if prob else F.lit(None).cast("double")
     return errors_of(pred, "y_pred", "y_true").select(
-        "doc_id", F.col(text).alias("text"), F.col("y_true").alias("true_label"),
+        *by, "doc_id", F.col(text).alias("text"), F.col("y_true").alias("true_label"),
         F.col("y_pred").alias("pred_label"),
         F.when(F.col("y_pred") == 1, "FP").otherwise("FN").alias("error_type"),
         p.alias("prob_hate"))
 
 
 def top_errors(
-    pred: DataFrame, n: int = 50, prob: str | None = "prob", text: str = "text_raw"
+    pred: DataFrame, n: int = 50, prob: str | None = "prob", text: str = "text_raw",
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """The n most confident errors; all errors, unordered, without a score."""
-    rows = error_rows(pred, prob, text)
+    """The n most confident errors, of each ``by`` if given; all errors, unordered, without a score.
+
+    Each task keeps its own first n of a group before rows are shuffled.
+    """
+    rows = error_rows(pred, prob, text, by)
     if prob is None:
         return rows
-    return rows.orderBy(F.abs(F.col("prob_hate") - 0.5).desc(), "doc_id").limit(n)
+    order = (F.abs(F.col("prob_hate") - 0.5).desc(), F.col("doc_id"))
+    if not by:
+        return rows.orderBy(*order).limit(n)
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    return rows.withColumn("place", place).filter(F.col("place") <= n).drop("place")
 
 
 def error_counts(pred: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

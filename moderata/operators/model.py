@@ -39,6 +39,11 @@ def class_weights(df: DataFrame, label: str = "label", kind: str = "balanced") -
 PARTITION_BYTES = 32 << 20
 
 
+def model_input(df: DataFrame, text: str, clean: bool) -> DataFrame:
+    """Add ``model_input``: the text as a model reads it, in training and in scoring alike."""
+    return df.withColumn("model_input", clean_text(F.col(text)) if clean else F.col(text))
+
+
 class BaselineModel:
     """A fitted pipeline with the settings that turn text into its terms."""
 
@@ -49,7 +54,7 @@ class BaselineModel:
     def transform(self, df: DataFrame, text: str = "text") -> DataFrame:
         """Add ``prob``, the probability of HATE."""
         s = self.settings
-        d = add_terms(df, text, s["lo"], s["hi"], s["char"], s["stop"])
+        d = add_terms(model_input(df, text, s["clean"]), "model_input", s["lo"], s["hi"], s["char"], s["stop"])
         out = self.pipeline.transform(d)
         prob = F.element_at(vector_to_array("probability"), 2)
         return out.withColumn("prob", prob).select(*df.columns, "prob")
@@ -74,7 +79,7 @@ def train_baseline(
     df: DataFrame, text: str = "text", label: str = "label", doc: str = "doc_id",
     lo: int = 1, hi: int = 2, char: bool = False, stop: Sequence[str] | None = (),
     min_df: int = 1, max_df: float = 1.0, max_features: int = 50_000, C: float = 1.0,
-    max_iter: int = 200, tol: float = 1e-6, stats: DataFrame | None = None,
+    max_iter: int = 200, tol: float = 1e-6, stats: DataFrame | None = None, clean: bool = False,
 ) -> BaselineModel:
     """Fit TF-IDF and a balanced L2 logistic regression.
 
@@ -82,10 +87,11 @@ def train_baseline(
     by the total weight, which balanced weights make equal to the row count,
     hence the regularisation ``1 / (C * rows)``. The driver sees class counts,
     the vocabulary (at most ``max_features``) and the coefficients. ``stats``
-    are the rows' term counts, where they are known already.
+    are the rows' term counts, where they are known already. With ``clean`` the
+    model cleans its texts; the setting is stored and holds for scoring too.
     """
-    data = add_terms(df.select(doc, text, F.col(label).cast("int").alias("y")),
-                     text, lo, hi, char, stop)
+    data = add_terms(model_input(df.select(doc, text, F.col(label).cast("int").alias("y")), text, clean),
+                     "model_input", lo, hi, char, stop)
     counts = {r["y"]: r["count"] for r in df.groupBy(
         F.col(label).cast("int").alias("y")).count().collect()}
     if set(counts) - {0, 1}:
@@ -109,12 +115,12 @@ def train_baseline(
         featuresCol="features", labelCol="y", weightCol="w", regParam=1.0 / (C * n),
         elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=tol)
     fitted = lr.fit(train)
-    settings = {"lo": lo, "hi": hi, "char": char,
+    settings = {"lo": lo, "hi": hi, "char": char, "clean": clean,
                 "stop": None if stop is None else list(stop)}
     return BaselineModel(PipelineModel(stages=[*feats.stages, fitted]), settings)
 
 
-SETTINGS = "lo int, hi int, char boolean, stop array<string>"
+SETTINGS = "lo int, hi int, char boolean, clean boolean, stop array<string>"
 
 
 def save_model(model: BaselineModel, path: str) -> None:
@@ -122,7 +128,7 @@ def save_model(model: BaselineModel, path: str) -> None:
     model.pipeline.write().overwrite().save(f"{path}/pipeline")
     spark = SparkSession.active()
     s = model.settings
-    one = spark.createDataFrame([(s["lo"], s["hi"], s["char"], s["stop"])], SETTINGS)
+    one = spark.createDataFrame([(s["lo"], s["hi"], s["char"], s["clean"], s["stop"])], SETTINGS)
     one.write.mode("overwrite").json(f"{path}/settings")
     model.weights(spark).write.mode("overwrite").parquet(f"{path}/weights")
 
@@ -135,7 +141,7 @@ def load_model(spark: SparkSession, path: str) -> BaselineModel:
 def cross_validate(
     df: DataFrame, k: int = 5, seed=42, doc: str = "doc_id", text: str = "text",
     label: str = "label", lo: int = 1, hi: int = 2, char: bool = False,
-    stop: Sequence[str] | None = (), **fit,
+    stop: Sequence[str] | None = (), clean: bool = False, **fit,
 ) -> DataFrame:
     """Out-of-fold predictions (doc, fold, y_true, prob, y_pred), one fit per fold.
 
@@ -144,14 +150,15 @@ def cross_validate(
     """
     folded = materialize(assign_folds(df, k, seed, doc, label), "folds")
     stats = materialize(
-        term_stats(add_terms(folded, text, lo, hi, char, stop), ["fold"]), "fold-terms")
+        term_stats(add_terms(model_input(folded, text, clean), "model_input", lo, hi, char, stop), ["fold"]),
+        "fold-terms")
     parts = []
     for i in range(k):
         others = F.col("fold") != i
         known = stats.filter(others).groupBy("term").agg(
             F.sum("df").alias("df"), F.sum("cnt").alias("cnt"))
         fitted = train_baseline(folded.filter(others), text, label, doc, lo, hi, char, stop,
-                                stats=known, **fit)
+                                stats=known, clean=clean, **fit)
         parts.append(fitted.transform(folded.filter(~others), text).select(
             doc, "fold", F.col(label).alias("y_true"), "prob"))
     out = reduce(DataFrame.unionByName, parts)
@@ -181,12 +188,9 @@ def present(df: DataFrame, text: str = "text", prob: str = "prob") -> DataFrame:
     })
 
 
-def score_batch(model: BaselineModel, df: DataFrame, text: str = "text",
-                clean: bool = True) -> DataFrame:
-    """Clean, score and present a table of posts; previews show the raw text."""
-    source = clean_text(F.col(text)) if clean else F.col(text)
-    scored = model.transform(df.withColumn("model_input", source), "model_input")
-    return present(scored.drop("model_input"), text)
+def score_batch(model: BaselineModel, df: DataFrame, text: str = "text") -> DataFrame:
+    """Score and present a table of posts; the model cleans them as in training, previews show the raw text."""
+    return present(model.transform(df, text), text)
 
 
 def score_with(

@@ -15,7 +15,9 @@ from ..operators.dedup import dedup_clean
 from ..operators.filters import drop_blank, drop_missing
 from ..operators.model import BaselineModel, cross_validate, train_baseline
 from ..operators.split import stratified_split
+from ..sources.reports import write_json_report
 from ..sources.roles import infer_roles, standardize
+from ..sources.tables import write_table
 from ..sources.workspace import materialize
 
 
@@ -39,6 +41,21 @@ class BaselineRun:
     slices: DataFrame
     errors: DataFrame
     cv: DataFrame | None
+    report: DataFrame
+    sweep: DataFrame
+    best: DataFrame
+    roc: DataFrame
+    pr: DataFrame
+    error_totals: DataFrame
+
+    def save(self, path: str) -> None:
+        """Every report as JSON lines and every curve as Parquet under ``path``."""
+        reports = {"metrics": self.metrics, "areas": self.areas, "slices": self.slices, "report": self.report,
+                   "sweep": metrics.sweep_report(self.sweep), "best": self.best, "error_totals": self.error_totals}
+        for name, df in reports.items() if self.cv is None else {**reports, "cv": self.cv}.items():
+            write_json_report(df, f"{path}/{name}")
+        for name, df in (("roc", self.roc), ("pr", self.pr), ("errors", self.errors), ("predictions", self.predictions)):
+            write_table(df, f"{path}/{name}")
 
 
 def run_baseline(
@@ -52,17 +69,20 @@ def run_baseline(
     name = F.lit("baseline_word+char" if fit.get("char") else "baseline_word")
     cv = None
     if folds > 1:
-        folded = cross_validate(train, folds, seed, doc=row_id, **fit)
+        folded = cross_validate(train, folds, seed, doc=row_id, text="text_raw", clean=True, **fit)
         cv = metrics.cv_summary(folded.withColumn("model", name))
-    model = train_baseline(train, doc=row_id, **fit)
-    scored = model.transform(test).select(
+    model = train_baseline(train, doc=row_id, text="text_raw", clean=True, **fit)
+    scored = model.transform(test, "text_raw").select(
         F.col(row_id).alias("doc_id"), "text_raw", "is_hinglish", name.alias("model"),
         F.col("label").alias("y_true"), "prob",
         scores.decide(F.col("prob"), threshold).alias("y_pred"))
     pred = materialize(scored, "predictions")
+    sweep = metrics.threshold_sweep(pred)
     return BaselineRun(
         model, pred, metrics.binary_metrics(pred, ["model"]), curves.areas(pred),
-        metrics.slice_metrics(pred, "is_hinglish"), errors.top_errors(pred), cv)
+        metrics.slice_metrics(pred, "is_hinglish"), errors.top_errors(pred), cv,
+        metrics.classification_report(pred, ["model"]), sweep, metrics.best_threshold(sweep),
+        curves.roc_curve(pred), curves.pr_curve(pred), errors.error_counts(pred, ("model",)))
 
 
 def load_and_split(

@@ -124,7 +124,7 @@ def test_regression_reaches_the_optimum(spark, labelled):
 
 
 def test_save_load_score(spark, labelled, tmp_path):
-    fitted = model.train_baseline(labelled, char=True, hi=3, max_features=300, stop=["are"])
+    fitted = model.train_baseline(labelled, char=True, hi=3, max_features=300, stop=["are"], clean=True)
     model.save_model(fitted, str(tmp_path / "m"))
     again = model.load_model(spark, str(tmp_path / "m"))
     assert again.settings == fitted.settings
@@ -134,6 +134,13 @@ def test_save_load_score(spark, labelled, tmp_path):
     assert a == b
     assert [r["prediction"] for r in a] == ["HATE", "NON-HATE"]
     assert a[0]["preview"] == "You are VILE trash!!! http://x"
+    # Scoring reads a text as training did: doubled vowels and links play no part.
+    noisy = labelled.withColumn("text", F.concat(F.replace("text", F.lit("oo"), F.lit("ooooo")), F.lit(" http://x")))
+    plain, other = ({r["doc_id"]: r["prob"] for r in rows.collect()} for rows in (
+        fitted.transform(labelled), model.score_batch(again, noisy)))
+    assert plain == pytest.approx(other, abs=1e-12)
+    with pytest.raises(ValueError, match="labels"):
+        model.train_baseline(labelled.withColumn("label", F.lit(2)))
 
 
 def test_cross_validation_covers_every_row_once(labelled):

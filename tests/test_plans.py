@@ -1,5 +1,7 @@
 """The whole baseline run, and properties of physical plans."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_run_baseline(spark):
+def test_run_baseline(spark, tmp_path):
     df = labelled(spark, SF).select(F.col("doc_id").alias("row_id"), "text", "label")
     run = run_baseline(df, folds=2, test_frac=0.3, max_features=500, max_iter=10)
     m = run.metrics.first()
@@ -24,6 +26,25 @@ def test_run_baseline(spark):
     assert run.cv.count() == 1 and run.areas.count() == 1
     assert {r["slice"] for r in run.slices.collect()} >= {"all"}
     assert run.errors.columns[0] == "doc_id"
+    assert run.report.count() == 5 and run.best.count() == run.error_totals.count() == 1
+    run.save(str(tmp_path / "run"))
+    saved = {p.name for p in (tmp_path / "run").iterdir()}
+    assert saved == {"metrics", "areas", "slices", "report", "sweep", "best", "error_totals", "cv",
+                     "roc", "pr", "errors", "predictions"}
+
+
+def test_no_exchange_of_rows_on_a_hot_column(spark):
+    pred = predictions(spark, SF)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (curves.roc_curve(pred), curves.pr_curve(pred)):
+            text = plan(df)
+            joins = [line for line in text.splitlines() if "SortMergeJoin" in line and "model" in line]
+            assert joins and all("rng" in line for line in joins), text
+        assert not re.search(r"hashpartitioning\(y_true#\d+, \d", plan(split.stratified_split(pred, "y_true")))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
 def test_no_cross_joins_and_no_single_task_windows(spark):
