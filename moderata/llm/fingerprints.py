@@ -92,15 +92,10 @@ def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
     first = rows.agg(F.min("order_")).first()[0]
     last = len(bounds)
     cut = with_range(rows, "order_", bounds, "range_").drop("range_value")
-    # A bound opens its range: bounds below a value, against bounds not above it.
-    opens = F.col("order_").isin(bounds) if 0 < len(bounds) <= 10 else None
-    if opens is None and bounds:
-        starts = docs.sparkSession.createDataFrame([(b, True) for b in bounds], "order_ double, opens_ boolean")
-        cut = cut.join(F.broadcast(starts), "order_", "left").withColumn("opens_", F.coalesce("opens_", F.lit(False)))
-    else:
-        cut = cut.withColumn("opens_", opens if opens is not None else F.lit(False))
+    starts = docs.sparkSession.createDataFrame([(b, True) for b in bounds], "order_ double, opens_ boolean")
+    cut = cut.join(F.broadcast(starts), "order_", "left")  # fewer than MAX_RANGES rows
     places = F.array(F.struct(F.col("range_"), F.lit(0).alias("visit_")))
-    places = F.when(F.col("opens_") & (F.col("range_") > 0), F.concat(
+    places = F.when(F.coalesce("opens_", F.lit(False)) & (F.col("range_") > 0), F.concat(
         places, F.array(F.struct((F.col("range_") - 1).alias("range_"), F.lit(1).alias("visit_"))))).otherwise(places)
     places = F.when(F.col("order_") == F.lit(first), F.concat(
         places, F.array(F.struct(F.lit(last).alias("range_"), F.lit(2).alias("visit_"))))).otherwise(places)

@@ -114,8 +114,11 @@ OP8_SQL = r"""
 WITH RECURSIVE words AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
 sets AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM words),
-members AS (SELECT doc_id, len(s) AS n, unnest(s) AS m FROM sets),
+    ELSE list_transform(list_zip(w[:-5], w[2:-4], w[3:-3], w[4:-2], w[5:]),
+      lambda p: concat_ws(' ', p[1], p[2], p[3], p[4], p[5])) END) AS s FROM words),
+every_member AS (SELECT doc_id, len(s) AS n, unnest(s) AS m FROM sets),
+frequent AS (SELECT m, row_number() OVER () AS k FROM every_member GROUP BY m HAVING count(*) > 1),
+members AS MATERIALIZED (SELECT doc_id, n, k AS m FROM every_member JOIN frequent USING (m)),
 shared AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS i
     FROM members a JOIN members b ON a.m = b.m AND a.doc_id <> b.doc_id GROUP BY ALL),
 links AS (SELECT a, b FROM shared WHERE 100 * i >= 75 * (na + nb - i)),
