@@ -158,6 +158,32 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
     return language_id.identify(rows, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
-@query("op10_license_scan")
+_KNOWN = ", ".join(
+    f"('{' '.join(w[i:i + 2])}', {i}, '{wording}', {len(w) - 1}, '{label}', {base})"
+    for base, group in (("true", license_scan.PHRASES), ("false", license_scan.TEMPLATES))
+    for wording, label in group.items() for w in [wording.split(" ")] for i in range(len(w) - 1))
+OP10_SQL = f"""
+WITH words AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{license_scan.SEPARATORS}'), lambda w: w <> '') AS w FROM documents),
+grams AS (SELECT r, unnest(list_transform(list_zip(w[:-2], w[2:]), lambda p: concat(p[1], ' ', p[2]))) AS gram,
+    unnest(range(len(w) - 1)) AS place FROM words WHERE len(w) > 1),
+known(gram, pos, template, k, label, base) AS (VALUES {_KNOWN}),
+votes AS (SELECT r, template, k, label, base, place - pos AS d, count(*) AS hits, min(place) AS a, max(place) + 1 AS b
+    FROM grams JOIN known USING (gram) GROUP BY ALL),
+jumps AS (SELECT *, coalesce(d - lag(d) OVER (PARTITION BY r, template ORDER BY d) > {license_scan.DRIFT}, false)::INT AS jump FROM votes),
+numbered AS (SELECT *, CASE WHEN base THEN d ELSE sum(jump) OVER (PARTITION BY r, template ORDER BY d) END AS part FROM jumps),
+merged AS (SELECT r, k, label, base, part, least(1e0, sum(hits)::DOUBLE / k) AS share, min(a) AS a, max(b) AS b,
+    bool_or(base AND hits = k) AS whole FROM numbered GROUP BY r, template, k, label, base, part),
+found AS (SELECT *, whole OR (NOT base AND share >= {license_scan.ENOUGH}e0
+    AND b - a + 1 <= {license_scan.STRETCH}e0 * (k + 1)) AS accepted FROM merged)
+SELECT doc_id, len(w)::BIGINT AS n_words, count(*) FILTER (whole) AS n_base, min(a) FILTER (whole) AS first_word,
+    max(a) FILTER (whole) AS last_word,
+    coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (whole), '') AS base_labels,
+    coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (accepted), '') AS labels,
+    coalesce(max(share) FILTER (accepted), 0e0) AS score
+FROM words LEFT JOIN found USING (r) GROUP BY r, doc_id, w"""
+
+
+@query("op10_license_scan", OP10_SQL)
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return license_scan.scan(table(spark, sf, "documents")).drop("spans")
