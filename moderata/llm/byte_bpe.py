@@ -36,19 +36,21 @@ def encode(docs: DataFrame, ranks: str, key: str = "doc_id", text: str = "text",
         cache = bpe.WordCache(vocabulary)
         widths = np.array([len(t) for t in vocabulary.tokens], np.int32)
         for batch in batches:
-            count = np.zeros(batch.num_rows, np.int64)
-            pieces = [np.zeros(0, np.int32)]
-            for part in textscan.chunks(batch.column(1).to_pylist()):
-                ids, owner_count = _encode_part([t for _, t in part], cache)
-                np.add.at(count, [i for i, _ in part], owner_count)
-                pieces.append(ids)
-            ids, cuts = np.concatenate(pieces), np.append(0, np.cumsum(count))
-            columns = [batch.column(0), _lists(cuts, ids)]
-            if offsets:
-                total = np.append(0, np.cumsum(widths[ids], dtype=np.int64))
-                ends = total[1:] - np.repeat(total[cuts[:-1]], count)
-                columns.append(_lists(cuts, ends.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays(columns, ["key", "ids", "ends"][: len(columns)])
+            texts = batch.column(1).to_pylist()
+            for a, b in textscan.groups(texts):  # small batches go on, so memory is bounded by a group
+                count = np.zeros(b - a, np.int64)
+                pieces = [np.zeros(0, np.int32)]
+                for part in textscan.chunks(texts[a:b]):
+                    ids, owner_count = _encode_part([t for _, t in part], cache)
+                    np.add.at(count, [i for i, _ in part], owner_count)
+                    pieces.append(ids)
+                ids, cuts = np.concatenate(pieces), np.append(0, np.cumsum(count))
+                columns = [batch.column(0).slice(a, b - a), _lists(cuts, ids)]
+                if offsets:
+                    total = np.append(0, np.cumsum(widths[ids], dtype=np.int64))
+                    ends = total[1:] - np.repeat(total[cuts[:-1]], count)
+                    columns.append(_lists(cuts, ends.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays(columns, ["key", "ids", "ends"][: len(columns)])
 
     schema = f"key {kind}, ids array<int>" + (", ends array<int>" if offsets else "")
     return rows.mapInArrow(run, schema).withColumnRenamed("key", key)

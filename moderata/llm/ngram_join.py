@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import bpe, shingles
+from . import bpe, shingles, textscan
 from .components import components
 from .workspace import written
 
@@ -50,6 +50,7 @@ BUCKET_ENTRIES = 400_000
 MIN_BUCKETS = 64
 SALT_PAIRS = 256  # partners of one document verified in one task
 CALL_PAIRS = 2_000
+BATCH = 1 << 20  # characters hashed at once
 LAST_PLACE = (1 << 16) - 1  # places from here on are not told apart
 LIST_CALL = 400_000  # list members in one call
 SPREAD = pa.schema([("bucket", pa.int32()), ("codes", pa.binary()), ("groups", pa.binary()), ("places", pa.binary()),
@@ -136,7 +137,7 @@ def common_shingles(docs: DataFrame, k: int, common: int, buckets: int) -> tuple
     def emit(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
             texts, held = frame.column(1).to_pylist(), []
-            for a, b in shingles.batches(texts):
+            for a, b in textscan.groups(texts, BATCH):
                 held.append(_short(shingles.shingle_sets(texts[a:b], k)[0]))
             codes = np.concatenate(held)
             rows = _blobs(codes.astype(np.uint64) * np.uint64(buckets) >> np.uint64(32), {"codes": codes})
@@ -267,7 +268,7 @@ def verify(docs: DataFrame, pairs: DataFrame, k: int, t: Threshold, wide: bool =
     def sets(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
             texts = frame.column(1).to_pylist()
-            for a, b in shingles.batches(texts):
+            for a, b in textscan.groups(texts, BATCH):
                 value, size = shingles.shingle_sets(texts[a:b], k)
                 cut = np.cumsum(size)[:-1]
                 held = [np.unique(x if wide else _short(x)).tobytes() for x in np.split(value, cut)]
@@ -342,7 +343,7 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
         for number, frame in enumerate(frames):
             texts, fronts, groups, places, about = frame.column(1).to_pylist(), [], [], [], []
             seen = np.zeros(0, np.uint64)
-            for a, b in shingles.batches(texts):
+            for a, b in textscan.groups(texts, BATCH):
                 front, length, size, group, digest = _prefixes(texts[a:b], k, t, shared.value)
                 about.append(np.stack([size, *(x.view(np.int64) for x in (group, *digest))], 1))
                 new = ~np.isin(group, seen)

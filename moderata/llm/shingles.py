@@ -73,13 +73,3 @@ def shingle_sets(texts: list[str], k: int = 5) -> tuple[np.ndarray, np.ndarray]:
     value, owner = value[order], owner[order]
     fresh = np.append(True, (value[1:] != value[:-1]) | (owner[1:] != owner[:-1]))
     return value[fresh], np.bincount(owner[fresh], minlength=len(texts))
-
-
-def batches(texts: list[str], size: int = 1 << 21):
-    """Slices of ``texts`` of about ``size`` characters, a longer text alone."""
-    a = n = 0
-    for b, t in enumerate(texts, 1):
-        n += len(t)
-        if n >= size or b == len(texts):
-            yield a, b
-            a, n = b, 0

@@ -175,6 +175,16 @@ def slices(texts: list[str], table: tuple[bytes, bytes]):
     return data, offsets, classes()[points[at]], token_of
 
 
+def groups(texts: list[str], size: int = 1 << 21):
+    """Slices (from, to) of ``texts`` of about ``size`` characters, a longer text alone."""
+    a = n = 0
+    for b, t in enumerate(texts, 1):
+        n += len(t)
+        if n >= size or b == len(texts):
+            yield a, b
+            a, n = b, 0
+
+
 def chunks(texts, size: int = 1 << 22):
     """Lists of (number of the text, part) of about ``size`` characters.
 
