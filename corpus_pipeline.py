@@ -2,9 +2,9 @@
 
 Every stage takes (spark, docs, sf_dir) and reads the rows its predecessor
 kept; all but the last return the columns of documents. Nulls: a text without a
-letter is rejected by the first stage; a null key is an ordinary row until the
-join, where it links with nothing and stays. Repeated rows end in the second
-stage. Empty tables pass through as empty tables.
+letter, or unlike the texts of its likeliest labelled language, is rejected by
+the first stage; a null key is an ordinary row until the join, where it links
+with nothing and stays. Repeated rows end in the second stage. Empty tables pass through as empty tables.
 """
 
 from __future__ import annotations
@@ -18,17 +18,13 @@ from moderata.llm import exact_dedup, language_id, ngram_join, packing
 from moderata.llm.queries import vocabulary
 from moderata.llm.workspace import fresh, shared_folder, written
 
-# Below this score neither the family nor the language is more likely than not.
-MIN_SCORE = 0.25
-
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; the machines learn from the labels outside the held-out fold."""
-    model = language_id.train(docs.filter(~language_id.held_out(F.col("doc_id"))))
-    lang, score = fresh(docs, "lang_pred"), fresh(docs, "lang_score")
-    judged = language_id.identify(docs, model, out=lang, score=score)
-    known = (F.col(lang) != language_id.UNDETERMINED) & (F.col(score) >= MIN_SCORE)
-    return judged.filter(known).select(*docs.columns)
+    model = language_id.train(docs.filter(~language_id.held_out(F.col("doc_id"))), evidence=True)
+    lang, score, known = (fresh(docs, x) for x in ("lang_pred", "lang_score", "lang_known"))
+    judged = language_id.identify(docs, model, out=lang, score=score, known=known)
+    return judged.filter(F.col(known)).select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from moderata.llm import exact_dedup, ngram_join, shingles
@@ -191,6 +192,22 @@ def test_pipeline_stages(spark, tmp_path):
     assert {r.doc_id for r in packed} == {i for i, _ in before}
 
 
+@pytest.mark.parametrize("unlearned", ["de", "fr"])
+def test_pipeline_rejects_languages_it_has_not_learned(spark, unlearned):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = random.Random(8)
+    noise = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(40)) for _ in range(20)]
+    others = ["привет как дела, сегодня хорошая погода", "日本語の文章です。", *noise]
+    odd = spark.createDataFrame([(-1 - i, t, None, "odd", len(t)) for i, t in enumerate(others)], docs.schema)
+    strange = docs.filter(f"lang = '{unlearned}'").withColumn("lang", F.lit(None).cast("string"))
+    learned = docs.filter(f"lang <> '{unlearned}'")
+    out = corpus_pipeline.identify_language(spark, learned.union(strange).union(odd), "")
+    kept = collections.Counter("odd" if r.source == "odd" else r.lang for r in out.collect())
+    n = learned.count()
+    assert kept.total() - kept["odd"] - kept[None] == n  # all texts of learned languages stay
+    assert kept["odd"] == 0 and kept[None] <= 0.05 * strange.count()
+
+
 def test_pipeline_on_an_empty_table(spark, tmp_path):
     path = f"{tmp_path}/documents.parquet"
     fixtures.empty(spark).write.parquet(path)
