@@ -3,12 +3,12 @@
 Two sets of sizes x and y with Jaccard similarity of at least t share at least
 ``ceil(t * max(x, y))`` members, so in any common order of all shingles their
 prefixes of length ``size - ceil(t * size) + 1`` meet. The order puts shingles
-that many documents share last, hence a passage found everywhere does not make
-candidates. The steps:
+that many documents share last and the most common ones at the very end, hence
+a passage found everywhere does not make candidates. The steps:
 
-1. Count the shingles and note those in more than ``common`` documents: a
-   sorted array whose size is checked before it is sent to the tasks. (If there
-   were more than ``MAX_COMMON``, the bar is raised.)
+1. Count the shingles and note those in more than ``common`` documents with
+   their counts: sorted arrays whose size is checked before they are sent to the
+   tasks. (If there were more than ``MAX_COMMON``, the bar is raised.)
 2. Collapse documents with one prefix and one size into a group; the group's key
    stands for all of them. Spread (shingle, group) over buckets of the hash
    space, as arrays; in a bucket, groups that share a shingle and whose sizes
@@ -17,7 +17,8 @@ candidates. The steps:
 3. Expand groups to classes of equal sets, verify pairs with their whole sets.
 4. Components of the links. Lists and groups that are not in one component yet
    are now paired across components, which finds every other link that could
-   join two components. Pairs inside a component need no test.
+   join two components. Pairs inside a component need no test. Lists are cut
+   into blocks of groups, and each pair of blocks is work of its own.
 
 Sets travel as 32-bit fingerprints, which can only raise an intersection; pairs
 that are near the threshold by that count are verified again with 64 bits.
@@ -31,6 +32,7 @@ result. Other columns are left out.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,6 +55,10 @@ CALL_PAIRS = 2_000
 BATCH = 1 << 20  # characters hashed at once
 LAST_PLACE = (1 << 16) - 1  # places from here on are not told apart
 LIST_CALL = 400_000  # list members in one call
+LIST_PIECE = 1 << 17  # list members in one row
+BLOCK = 1_000  # members of one list in a block, about
+HELD_PAIRS = 1 << 20  # pairs kept for finding repeats
+COUNT_CHARS = 24_000_000  # characters per bucket of the count
 SPREAD = pa.schema([("bucket", pa.int32()), ("codes", pa.binary()), ("groups", pa.binary()), ("places", pa.binary()),
                     ("documents", pa.binary())])
 
@@ -107,7 +113,7 @@ def _blobs(bucket: np.ndarray, arrays: dict[str, np.ndarray]) -> pd.DataFrame:
     return pd.DataFrame({"bucket": bucket[cut].astype(np.int32), **parts})
 
 
-def _prefixes(texts: list[str], k: int, t: Threshold, common: np.ndarray):
+def _prefixes(texts: list[str], k: int, t: Threshold, common: np.ndarray, often: np.ndarray):
     """(prefix hashes in order, prefix length, size and group key of each text, digests of the whole sets)."""
     value, size = shingles.shingle_sets(texts, k)
     owner = np.repeat(np.arange(len(texts)), size)
@@ -117,8 +123,9 @@ def _prefixes(texts: list[str], k: int, t: Threshold, common: np.ndarray):
     if len(common):
         code = _short(value)
         at = np.searchsorted(common, code)
-        last = (at < len(common)) & (common[np.minimum(at, len(common) - 1)] == code)
-        order = np.lexsort((value, last, owner))
+        at = np.minimum(at, len(common) - 1)
+        held_by = np.where(common[at] == code, often[at], 0)
+        order = np.lexsort((value, held_by, owner))
         value = value[order]
     length = t.prefix(size)
     place = np.arange(len(value)) - np.repeat(np.cumsum(size) - size, size)
@@ -131,24 +138,37 @@ def _prefixes(texts: list[str], k: int, t: Threshold, common: np.ndarray):
     return front, length, size, group, digest
 
 
-def common_shingles(docs: DataFrame, k: int, common: int, buckets: int) -> tuple[np.ndarray, int]:
-    """(ascending 32-bit codes of the shingles in more than ``common`` documents, shingles in all)."""
+COUNTED = pa.schema([("bucket", pa.int32()), ("codes", pa.binary()), ("times", pa.binary())])
+
+
+def common_shingles(docs: DataFrame, k: int, common: int, least: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(ascending 32-bit codes of the shingles in more than ``common`` documents, documents of each, shingles in all)."""
+    buckets = max(least, (docs.agg(F.sum(F.length("text"))).first()[0] or 0) // COUNT_CHARS)
 
     def emit(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
             texts, held = frame.column(1).to_pylist(), []
             for a, b in textscan.groups(texts, BATCH):
                 held.append(_short(shingles.shingle_sets(texts[a:b], k)[0]))
-            codes = np.concatenate(held)
-            rows = _blobs(codes.astype(np.uint64) * np.uint64(buckets) >> np.uint64(32), {"codes": codes})
-            yield pa.RecordBatch.from_pandas(rows, preserve_index=False)
+            code, n = np.unique(np.concatenate(held), return_counts=True)
+            bucket = code.astype(np.uint64) * np.uint64(buckets) >> np.uint64(32)
+            once = n == 1  # most are, and need no count
+            rows = pd.concat([_blobs(bucket[once], {"codes": code[once]}).assign(times=None),
+                              _blobs(bucket[~once], {"codes": code[~once], "times": n[~once].astype(np.uint32)})])
+            yield pa.RecordBatch.from_pandas(rows[COUNTED.names], schema=COUNTED, preserve_index=False)
 
     def count(rows: pd.DataFrame) -> pd.DataFrame:
-        code, n = np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in rows["codes"]]), return_counts=True)
+        codes = [np.frombuffer(x, np.uint32) for x in rows["codes"]]
+        times = [np.ones(len(c), np.uint32) if x is None else np.frombuffer(x, np.uint32) for c, x in zip(codes, rows["times"])]
+        code, times = np.concatenate(codes), np.concatenate(times)
+        order = np.argsort(code)
+        code, times = code[order], times[order].astype(np.int64)
+        start = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+        code, n = code[start], np.add.reduceat(times, start)
         kept = n > common
-        return pd.DataFrame({"codes": [code[kept].tobytes()], "n": [n[kept].astype(np.int64).tobytes()], "total": [n.sum()]})
+        return pd.DataFrame({"codes": [code[kept].tobytes()], "n": [n[kept].tobytes()], "total": [n.sum()]})
 
-    counted = docs.mapInArrow(emit, "bucket int, codes binary").groupBy("bucket").applyInPandas(
+    counted = docs.mapInArrow(emit, "bucket int, codes binary, times binary").groupBy("bucket").applyInPandas(
         count, "codes binary, n binary, total long")
     counted = written(counted, "common")  # a few arrays per bucket, not rows
     found, total = counted.agg(F.sum(F.octet_length("codes") / 4), F.sum("total")).first()
@@ -156,18 +176,20 @@ def common_shingles(docs: DataFrame, k: int, common: int, buckets: int) -> tuple
     def above(bar):
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
-                yield pd.DataFrame({"codes": [
-                    np.frombuffer(c, np.uint32)[np.frombuffer(n, np.int64) > bar].tobytes()
-                    for c, n in zip(frame["codes"], frame["n"])]})
+                code, n = ([np.frombuffer(x, kind) for x in frame[name]] for name, kind in (("codes", np.uint32), ("n", np.int64)))
+                yield pd.DataFrame({"codes": [c[m > bar].tobytes() for c, m in zip(code, n)],
+                                    "n": [m[m > bar].tobytes() for m in n]})
         return run
 
     bar = common
     while (found or 0) > MAX_COMMON:
         bar *= 2
-        found = counted.mapInPandas(above(bar), "codes binary").agg(F.sum(F.octet_length("codes") / 4)).first()[0]
-    rows = counted.mapInPandas(above(bar), "codes binary").collect()  # 4 MB at most
+        found = counted.mapInPandas(above(bar), "codes binary, n binary").agg(F.sum(F.octet_length("codes") / 4)).first()[0]
+    rows = counted.mapInPandas(above(bar), "codes binary, n binary").collect()  # 12 MB at most
     codes = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(r["codes"], np.uint32) for r in rows)])
-    return np.sort(codes), int(total or 0)
+    often = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r["n"], np.int64) for r in rows)])
+    order = np.argsort(codes)
+    return codes[order], often[order], int(total or 0)
 
 
 def _small_runs(length, size, place, group, t: Threshold):
@@ -235,7 +257,7 @@ def bucket_pairs(rows: pd.DataFrame, t: Threshold) -> pd.DataFrame:
             right.append(group[run][other])
         table = np.empty(length[i], LISTED)
         table["group"], table["code"], table["place"] = group[run], code[run], place[run]
-        lists.append(table.tobytes())
+        lists += [table[j: j + LIST_PIECE].tobytes() for j in range(0, len(table), LIST_PIECE)]
     a, b = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (left, right))
     pairs = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.zeros((0, 2), np.uint64)
     out = pd.DataFrame({"kind": 0, "a": pairs[:, 0].view(np.int64), "b": pairs[:, 1].view(np.int64), "members": None})
@@ -335,8 +357,8 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
     everything = _texts(docs, key, text)
     rows = everything.filter("id IS NOT NULL")
     buckets = max(MIN_BUCKETS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    frequent, entries = common_shingles(rows, k, common, buckets)
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)  # at most 4 MB
+    *frequent, entries = common_shingles(rows, k, common, buckets)
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)  # at most 12 MB
     buckets = max(MIN_BUCKETS, int(t.prefix(np.int64(entries))) // BUCKET_ENTRIES)
 
     def spread(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,7 +366,7 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
             texts, fronts, groups, places, about = frame.column(1).to_pylist(), [], [], [], []
             seen = np.zeros(0, np.uint64)
             for a, b in textscan.groups(texts, BATCH):
-                front, length, size, group, digest = _prefixes(texts[a:b], k, t, shared.value)
+                front, length, size, group, digest = _prefixes(texts[a:b], k, t, *shared.value)
                 about.append(np.stack([size, *(x.view(np.int64) for x in (group, *digest))], 1))
                 new = ~np.isin(group, seen)
                 first = np.zeros(len(group), bool)
@@ -442,28 +464,75 @@ def _between_components(group_pairs: DataFrame, lists: DataFrame, leads: DataFra
 
     listed = lists.mapInPandas(unpack, "bucket long, code long, place long, g long").join(areas, "g")
     listed = written(listed, "listed")
-    mixed = listed.groupBy("bucket", "code").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high")
-    mixed = listed.join(mixed.select("bucket", "code"), ["bucket", "code"], "left_semi")
     # Lists that are neighbours in the order of shingles share a call, as they have many pairs in common.
     calls = max(MIN_BUCKETS, listed.count() // LIST_CALL)
-    mixed = mixed.withColumn("call", F.expr(f"CAST((code * {calls}) div {1 << 32} AS INT)"))
-
-    def cross(rows: pd.DataFrame) -> pd.DataFrame:
-        held = np.zeros((0, 4), np.int64)
-        for _, part in rows.groupby(["bucket", "code"], sort=False):
-            g, c, place = (part[x].to_numpy() for x in ("g", "c", "place"))
-            size = _sizes(g.view(np.uint64))
-            order = np.argsort(size, kind="stable")
-            g, c, place, size = g[order], c[order], place[order], size[order]
-            upto = np.searchsorted(size * t.num, size * t.den, "right")
-            out = [held]
-            for i in range(len(g)):
-                other = np.arange(i + 1, upto[i])
-                other = other[c[other] != c[i]]
-                other = other[t.reachable(size[i], size[other], place[i], place[other])]
-                out.append(np.stack([np.full(len(other), g[i]), np.full(len(other), c[i]), g[other], c[other]], 1))
-            held = np.unique(np.concatenate(out), axis=0)
-        return pd.DataFrame(held, columns=["g1", "c1", "g2", "c2"])
-
-    crossed = mixed.groupBy("call").applyInPandas(cross, "g1 long, c1 long, g2 long, c2 long")
+    mixed = listed.groupBy("bucket", "code").agg(
+        F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("n")).filter("low <> high")
+    mixed = mixed.select("bucket", "code", "n", F.expr(f"CAST((code * {calls}) div {1 << 32} AS INT)").alias("call"))
+    # All lists of a call are cut by the same blocks of groups, so that a pair's repeats still meet.
+    blocks = mixed.groupBy("call").agg(F.ceil(F.max("n") / BLOCK).cast("int").alias("blocks"))
+    cut = listed.join(mixed.drop("n"), ["bucket", "code"]).join(F.broadcast(blocks), "call")
+    cut = cut.withColumn("block", F.pmod(F.xxhash64("g"), F.col("blocks")).cast("int"))
+    cut = cut.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
+        *CUT[:1], F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), *CUT[3:])
+    crossed = cut.repartition(*CUT[:3]).sortWithinPartitions(*CUT[:5]).mapInPandas(
+        lambda frames: cross_lists(frames, t), "g1 long, c1 long, g2 long, c2 long")
     return pairs.union(crossed).distinct()
+
+
+CUT = ["call", "lo", "hi", "bucket", "code", "block", "g", "c", "place"]
+
+
+def cross_lists(frames: Iterator[pd.DataFrame], t: Threshold) -> Iterator[pd.DataFrame]:
+    """(g1, c1, g2, c2) of rows in the order of ``CUT[:5]``; a list may go on in the next frame."""
+    names = ["g1", "c1", "g2", "c2"]
+    rest, held, n, about = np.zeros((0, len(CUT)), np.int64), [], 0, None
+    for frame in itertools.chain(frames, [None]):
+        table = rest if frame is None else np.concatenate([rest, frame[CUT].to_numpy(np.int64)])
+        start = np.flatnonzero(np.append(True, (table[1:, :5] != table[:-1, :5]).any(1))) if len(table) else np.zeros(0, int)
+        ends = np.append(start[1:], len(table))
+        if frame is not None:  # the last list may be unfinished
+            rest = table[start[-1]:] if len(start) else table
+            start, ends = start[:-1], ends[:-1]
+        for a, b in zip(start, ends):
+            if about != (about := tuple(table[a, :3])) or n > HELD_PAIRS:
+                if held:
+                    yield pd.DataFrame(np.unique(np.concatenate(held), axis=0), columns=names)
+                held, n = [], 0
+            for found in cross(table[a:b], t):
+                held.append(found)
+                n += len(found)
+                if n > HELD_PAIRS:
+                    held = [np.unique(np.concatenate(held), axis=0)]
+                    n = len(held[0])
+                    if n > HELD_PAIRS // 2:
+                        yield pd.DataFrame(held[0], columns=names)
+                        held, n = [], 0
+    if held:
+        yield pd.DataFrame(np.unique(np.concatenate(held), axis=0), columns=names)
+
+
+def cross(rows: np.ndarray, t: Threshold) -> Iterator[np.ndarray]:
+    """Pairs of one list between two blocks, or inside one, that lie in two components.
+
+    One of a pair is outside the largest component, so only those members look for partners.
+    """
+    rows = rows[np.argsort(_sizes(rows[:, 6].copy().view(np.uint64)), kind="stable")]
+    whole = rows[0, 1] == rows[0, 2]
+    block, g, c, place = (np.ascontiguousarray(rows[:, i]) for i in range(5, 9))
+    size = _sizes(g.view(np.uint64))
+    component, members = np.unique(c, return_counts=True)
+    outside = c != component[members.argmax()]
+    since = np.searchsorted(size * t.den, size * t.num, "left")
+    upto = np.searchsorted(size * t.num, size * t.den, "right")
+    for i in np.flatnonzero(outside):
+        other = np.arange(since[i], upto[i])
+        other = other[(c[other] != c[i]) & (~outside[other] | (other > i))]
+        if not whole:
+            other = other[block[other] != block[i]]
+        other = other[t.reachable(size[i], size[other], place[i], place[other])]
+        if len(other):
+            swap = g[other] < g[i]
+            mine = np.stack([np.full(len(other), g[i]), np.full(len(other), c[i])], 1)
+            theirs = np.stack([g[other], c[other]], 1)
+            yield np.where(swap[:, None], np.hstack([theirs, mine]), np.hstack([mine, theirs]))

@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,6 +131,46 @@ def test_join_families_and_passages(spark, monkeypatch, few, common):
     check_join(spark, rows, common=common)
 
 
+@pytest.mark.parametrize("block", [3, 1000])
+def test_join_of_lists_in_blocks(spark, monkeypatch, block):
+    """A stock passage in many texts that stay apart, and lists whose blocks are paired in tasks of their own."""
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rng = random.Random(4)
+    stock, other = ([f"{x}{i}" for i in range(90)] for x in "pq")
+    rows = [(i, " ".join([f"u{i}", *stock[: rng.randint(60, 90)], *other[: rng.randint(0, 30)]]), None, None, None)
+            for i in range(70)]
+    rows += [(100 + i, " ".join([f"v{i}", *stock, *(f"w{i}-{j}" for j in range(60))]), None, None, None) for i in range(30)]
+    check_join(spark, rows + near_family(rng, 30, 80, 6, 200))
+
+
+def test_common_shingles_are_ordered_by_their_documents():
+    t = ngram_join.Threshold(75, 100)
+    text = " ".join(f"w{i}" for i in range(40))
+    value = shingles.shingle_sets([text])[0]
+    codes = np.sort((value >> np.uint64(32)).astype(np.uint32))
+    often = np.random.default_rng(2).permutation(len(codes)) + 10
+    front = ngram_join._prefixes([text], 5, t, codes, often)[0]
+    by_count = dict(zip(codes.tolist(), often.tolist()))
+    assert [by_count[int(x) >> 32] for x in front] == sorted(often.tolist())[: len(front)]
+
+
+def test_crossing_of_components():
+    """Frames cut lists anywhere; a list that is nearly one component costs no pair inside it."""
+    t, rng = ngram_join.Threshold(75, 100), np.random.default_rng(3)
+    n = 3000
+    g = (rng.integers(100, 160, n) << 40) + np.arange(n)
+    c = np.where(np.arange(n) < 5, np.arange(n), 99)
+    rows = np.stack([np.zeros(n, int), np.zeros(n, int), np.zeros(n, int), np.zeros(n, int), np.zeros(n, int),
+                     np.zeros(n, int), g, c, np.zeros(n, int)], 1)
+    frames = [pd.DataFrame(x, columns=ngram_join.CUT) for x in np.array_split(rows, 7)]
+    got = [tuple(sorted(((a, b), (d, e)))) for f in ngram_join.cross_lists(iter(frames), t) for a, b, d, e in f.itertuples(index=False)]
+    size = g >> 40
+    want = {tuple(sorted(((g[i], c[i]), (g[j], c[j])))) for i in range(5) for j in range(n)
+            if c[i] != c[j] and 100 * min(size[i], size[j]) >= 75 * max(size[i], size[j])
+            and t.reachable(size[i], size[j], 0, 0)}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_shingles_of_any_text():
     rng = random.Random(3)
     texts = ["".join(rng.choice("abAB \n\té\x0b\x1c ") for _ in range(rng.randint(0, 60))) for _ in range(800)] + ["", " "]
