@@ -20,8 +20,9 @@ a passage found everywhere does not make candidates. The steps:
    join two components. Pairs inside a component need no test. Lists are cut
    into blocks of groups, and each pair of blocks is work of its own.
 
-Sets travel as 32-bit fingerprints, which can only raise an intersection; pairs
-that are near the threshold by that count are verified again with 64 bits.
+Sets travel as 32-bit fingerprints. Equal codes of two sets raise the count of
+shared members, equal codes inside a set lower it; pairs that either could move
+across the threshold are verified again with 64 bits.
 
 Contract: equal sets are one class. Documents without words have empty sets and
 link with nothing. Null texts have no words. Rows that repeat a key are
@@ -314,9 +315,7 @@ def verify(docs: DataFrame, pairs: DataFrame, k: int, t: Threshold, wide: bool =
             theirs = [np.frombuffer(m, kind) for m in other["members"]]
             for raw, x in set(zip(part["members"][own], part["size"][own])):  # several if a key repeats
                 mine = np.frombuffer(raw, kind)
-                shared = np.array([_shared(mine, m) for m in theirs], np.int64)
-                slack = 0 if wide else 4 + (4 * x * y >> 32)
-                holds, sure = t.holds(shared, x, y), t.holds(shared - slack, x, y)
+                holds, sure = similar(mine, x, theirs, y, t, wide)
                 found.append(pd.DataFrame({"a": part["a"].iloc[0], "b": ids[holds], "sure": sure[holds]}))
         return pd.concat(found)
 
@@ -326,6 +325,17 @@ def verify(docs: DataFrame, pairs: DataFrame, k: int, t: Threshold, wide: bool =
     return called.groupBy("call").applyInPandas(compare, "a long, b long, sure boolean")
 
 
+def similar(mine: np.ndarray, x: int, theirs: list[np.ndarray], y: np.ndarray, t: Threshold,
+            wide: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(may be similar enough, is so for sure) of one set and others, from their distinct codes and true sizes."""
+    shared = np.array([_shared(mine, m) for m in theirs], np.int64)
+    if wide:
+        return t.holds(shared, x, y), t.holds(shared, x, y)
+    # Members that share a code with another of their set are stored once.
+    lost = x - len(mine) + y - np.array([len(m) for m in theirs], np.int64)
+    return t.holds(shared + lost, x, y), t.holds(shared - 4 - (4 * x * y >> 32), x, y)
+
+
 def _shared(x: np.ndarray, y: np.ndarray) -> int:
     if len(x) > len(y):
         x, y = y, x

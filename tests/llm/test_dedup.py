@@ -190,6 +190,16 @@ def test_verification_is_exact_at_the_threshold(spark):
     check_join(spark, [rows[0], rows[26]])
 
 
+def test_codes_lost_inside_a_set_leave_the_pair_to_the_second_pass():
+    t = ngram_join.Threshold(75, 100)
+    members = np.array([1 << 32, (1 << 32) + 1, 2 << 32, 3 << 32], np.uint64)  # the first two have one code
+    short = np.unique(ngram_join._short(members))
+    may, sure = ngram_join.similar(short, 4, [short], np.array([4]), t, wide=False)
+    assert may.tolist() == [True] and sure.tolist() == [False]
+    may, sure = ngram_join.similar(members, 4, [members, members[:2]], np.array([4, 2]), t, wide=True)
+    assert may.tolist() == sure.tolist() == [True, False]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50, 90)] + [(100, j) for j in range(101, 140)] + [(7, 3), (3, 9), (9, 200), (1, 1)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
