@@ -10,8 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (byte_bpe, exact_dedup, fingerprints, language_id, license_scan, ngram_join, packing, sharding, token_counts,
-               url_filter)
+from . import (byte_bpe, conversation_repair, exact_dedup, fingerprints, language_id, license_scan, ngram_join, packing,
+               sharding, token_counts, url_filter)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -187,3 +187,71 @@ FROM words LEFT JOIN found USING (r) GROUP BY r, doc_id, w"""
 @query("op10_license_scan", OP10_SQL)
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return license_scan.scan(table(spark, sf, "documents")).drop("spans")
+
+
+_CRC = (f"xor(list_reduce(list_concat([4294967295::BIGINT], {TEXT_BYTES.replace('string_split(t', 'string_split(key')}), "
+        "lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])), 4294967295)")
+_INK = r"'[^\x20\x09-\x0D]'"
+
+
+def _edits(i: str) -> str:
+    """Least (cost, audit, repaired) from state ``i`` (1: start, 2: system, 3: user, 4: assistant) over the next row,
+    of the same from the states after it (``after``)."""
+    def step(letter, cost, to, left):
+        return f"{{'c': {cost} + after[{to}].c, 'a': '{letter}' || after[{to}].a, 'r': {left} || after[{to}].r}}"
+
+    to, name = (3, "user") if i != "3" else (4, "assistant")
+    keeps = {"1": "CASE initial WHEN 's' THEN 2 WHEN 'u' THEN 3 END", "2": "CASE initial WHEN 'u' THEN 3 END",
+             "3": "CASE initial WHEN 'a' THEN 4 END", "4": "CASE initial WHEN 'u' THEN 3 END"}[i]
+    own = "chr(10) || role || ':' || text"
+    return (f"list_min(list_filter([{step('D', 4, i, chr(39) * 2)}, "
+            f"CASE WHEN fault < 2 AND ({keeps}) IS NOT NULL THEN {step('K', '3 * fault', f'({keeps})', own)} END, "
+            f"CASE WHEN fault < 2 THEN {step('R', '3 + 3 * fault', to, f'chr(10) || {chr(39)}{name}:{chr(39)} || text')} END], "
+            "lambda e: e IS NOT NULL))")
+
+
+def _inserts(row: str) -> str:
+    """``row``: least edits of the four states with a row first; one or two inserted rows may come before it."""
+    def put(n, i, j, name):
+        return f"{{'c': 3 + {n}[{j}].c, 'a': 'I' || {n}[{j}].a, 'r': chr(10) || '{name}:' || {n}[{j}].r}}"
+
+    def once(n, src):
+        nexts = ((1, 3, "user"), (2, 3, "user"), (3, 4, "assistant"), (4, 3, "user"))
+        return "[" + ", ".join(f"least({src}[{i}], {put(n, i, j, name)})" for i, j, name in nexts) + "]"
+
+    inner = f"list_transform([{row}], lambda n: {once('n', 'n')})[1]"
+    return f"list_transform([{inner}], lambda n: {once('n', 'n')})[1]"
+
+
+_NONE = "{'c': 1000000000000::BIGINT, 'a': '', 'r': ''}"
+_STOP = "{'c': 0::BIGINT, 'a': '', 'r': ''}"
+OP11_SQL = f"""
+WITH RECURSIVE crc AS (SELECT {CRC_STEPS} AS steps),
+drawn AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC} % 20 AS k
+    FROM (SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations), crc),
+rows_ AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN k = 1 THEN '' WHEN k = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE WHEN k = 0 THEN 0 WHEN k = 3 THEN 2 ELSE 1 END)) AS copy FROM drawn),
+placed AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id) AS n, substr(role, 1, 1) AS initial,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again
+    FROM rows_ WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text), copy)),
+judged AS (SELECT *, CASE WHEN NOT regexp_matches(text, {_INK}) THEN 2 WHEN again THEN 3
+    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 1 ELSE 0 END AS fault,
+    lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair FROM placed),
+counted AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 2) AS blank, count(*) FILTER (fault = 3) AS duplicate, count(*) FILTER (fault = 1) AS truncated,
+    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM judged GROUP BY conv_id),
+best AS (SELECT conv_id, n AS i, {_inserts(f"[{_STOP}, {_NONE}, {_NONE}, {_STOP}]")} AS after FROM counted
+    UNION ALL SELECT b.conv_id, b.i - 1, {_inserts("[" + ", ".join(map(_edits, "1234")) + "]")}
+    FROM best b JOIN judged r ON r.conv_id IS NOT DISTINCT FROM b.conv_id AND r.i = b.i)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+    coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(after[1].c, 0)::BIGINT AS cost,
+    coalesce(after[1].a, '') AS audit, sha256(coalesce(substr(after[1].r, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM o.conv_id AND b.i = 0"""
+
+
+@query("op11_conversation_repair", OP11_SQL)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    damaged = conversation_repair.damage(table(spark, sf, "conversations"))
+    return conversation_repair.summaries(damaged, copies="copies")
