@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (byte_bpe, conversation_repair, exact_dedup, fingerprints, language_id, license_scan, ngram_join, packing,
-               sharding, token_counts, url_filter)
+               phrases, sharding, token_counts, url_filter)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -255,3 +255,29 @@ LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM o.conv_id AND b.i = 0"""
 def op11(spark: SparkSession, sf: str) -> DataFrame:
     damaged = conversation_repair.damage(table(spark, sf, "conversations"))
     return conversation_repair.summaries(damaged, copies="copies")
+
+
+OP12_SQL = r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+grams AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i
+    FROM words, range(1, 6) t(m))),
+f AS MATERIALIZED (SELECT lang, m, phrase, count(*) AS f, string_split(phrase, ' ') AS w FROM grams GROUP BY ALL HAVING count(*) >= 100),
+cuts AS (SELECT c.lang, c.phrase, c.f AS a, k, x.f AS l, y.f AS r, n,
+    (1000::HUGEINT * c.f * n) // (x.f::HUGEINT * y.f) AS score
+    FROM (SELECT *, unnest(range(1, m)) AS k FROM f WHERE m > 1) c JOIN totals USING (lang)
+    JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[:k], ' ')
+    JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[k + 1:], ' ')),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+covered AS (SELECT DISTINCT p.lang, p.phrase FROM f p JOIN f x ON x.lang = p.lang AND x.m > p.m AND x.f >= p.f
+    AND contains(' ' || x.phrase || ' ', ' ' || p.phrase || ' ') WHERE p.m > 1)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+    FROM lowest ANTI JOIN covered USING (lang, phrase)) WHERE rank <= 2000"""
+
+
+@query("op12_collocations", OP12_SQL)
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf, "documents"))
