@@ -8,7 +8,7 @@ four states check. ``vector[s]`` is the least cost from state s to the end;
 going backward over a row is a function of the row's code and the vector.
 
 The rows are sorted by ranges of (conversation, turn, digest) and cut into
-blocks of at most BLOCK_ROWS rows and BLOCK_BYTES bytes of one conversation, so
+blocks of about BLOCK_ROWS rows or BLOCK_BYTES bytes of one conversation, so
 a conversation of any size lies in many tasks. Vectors are stored only at the
 ends of blocks: every block of a cut conversation gives its least costs from
 state to state, these are composed from the conversation's end backward (one
@@ -182,9 +182,8 @@ class Block:
         self.roles.append(role)
         self.texts.append(text)
 
-    @property
-    def full(self) -> bool:
-        return len(self.codes) >= BLOCK_ROWS or self.size >= BLOCK_BYTES
+    def full(self, limit: int) -> bool:
+        return len(self.codes) >= limit or self.size >= BLOCK_BYTES
 
     def row(self, whole: bool) -> dict:
         return {"conv": self.conv, "part": self.part, "no": self.no, "whole": whole, "codes": bytes(self.codes),
@@ -238,7 +237,8 @@ def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from table.rename_columns([*keys, "n"]).select(batch.schema.names).combine_chunks().to_batches()
 
 
-def blocks(rows: DataFrame, conv: str, turn: str, role: str, text: str, copies: str | None = None) -> DataFrame:
+def blocks(rows: DataFrame, conv: str, turn: str, role: str, text: str, copies: str | None = None,
+           block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The table of blocks; a block marked ``whole`` is all of its conversation."""
     n = F.lit(1) if copies is None else F.col(copies)
     named = rows.select(
@@ -277,7 +277,7 @@ def blocks(rows: DataFrame, conv: str, turn: str, role: str, text: str, copies:
                 if r["n"]:
                     mark = None
                 block.add(r["turn"], r["role"], r["text"], r["n"], not fresh)
-                if block.full:
+                if block.full(block_rows):
                     yield block.row(False)
                     no += 1
                     alone, block = False, Block(r["conv"], part, no)
@@ -374,13 +374,13 @@ def _solved(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 
 def repair(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text",
-           copies: str | None = None) -> tuple[DataFrame, DataFrame]:
+           copies: str | None = None, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
     """Pieces of repaired conversations: (pieces of cut conversations, whole conversations).
 
     A piece holds the edits' initials (``audit``), their cost, the roles and
     texts left by them, and counts; (part, no) orders the pieces of ``conv``.
     """
-    all_blocks = blocks(rows, conv, turn, role, text, copies)
+    all_blocks = blocks(rows, conv, turn, role, text, copies, block_rows)
     kind = all_blocks.schema["conv"].dataType.simpleString()
     to_batches = _to_batches(PIECE, kind)
 

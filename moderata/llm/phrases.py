@@ -141,7 +141,7 @@ class Filter:
         return Filter(bits, size)
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Words, np.ndarray | None]]:
+def _texts(batches: Iterator[pa.RecordBatch], characters: int) -> Iterator[tuple[Words, np.ndarray | None]]:
     """(words, how often each counts; None for once) of chunks of the rows (lang, text, times)."""
     for batch in batches:
         langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -149,7 +149,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Words, np.ndarra
         a = size = 0
         for b, text in enumerate(texts, 1):
             size += len(text) + 1
-            if size >= CHARACTERS or b == len(texts):
+            if size >= characters or b == len(texts):
                 words = Words(texts[a:b], langs[a:b])
                 # Every row of a table with ``times`` is one piece, so its break is its number.
                 yield words, None if (times[a:b] == 1).all() else times[a:b][words.piece]
@@ -172,11 +172,11 @@ def _code_rows(words: Words, places: np.ndarray, codes: np.ndarray, weights: np.
         [pa.array(lang, pa.string()), pa.array(found.view(np.int64)), pa.array(n, pa.int64())], ["lang", "code", "n"])
 
 
-def frequent_codes(texts: DataFrame, m: int, least: int, shorter: Filter | None) -> DataFrame:
+def frequent_codes(texts: DataFrame, m: int, least: int, shorter: Filter | None, characters: int) -> DataFrame:
     """(lang, code, n) of phrases of m words; null codes count all words. ``shorter`` holds those of m - 1 words."""
 
     def count(batches):
-        for words, weights in _texts(batches):
+        for words, weights in _texts(batches, characters):
             good = words.joined(m)
             if shorter is not None and len(good):
                 ok = shorter(words.codes(m - 1))
@@ -191,11 +191,11 @@ def frequent_codes(texts: DataFrame, m: int, least: int, shorter: Filter | None)
     return counted.filter(F.col("code").isNull() | (F.col("n") >= least))
 
 
-def runs(texts: DataFrame, words_in: Filter, pairs_in: Filter) -> DataFrame:
+def runs(texts: DataFrame, words_in: Filter, pairs_in: Filter, characters: int) -> DataFrame:
     """(lang, text, times, single): runs of frequent pairs, and frequent words with their counts (``single``)."""
 
     def cut(batches):
-        for words, _ in _texts(batches):
+        for words, _ in _texts(batches, characters):
             listed = words.words.to_pylist()
             found = Counter()
             good = np.flatnonzero(words_in(words.code))
@@ -238,22 +238,23 @@ def _phrase_rows(words: Words, weights: np.ndarray | None, filters: dict[int, Fi
                  pa.array(count, pa.int64())], ["lang", "words", "n"])
 
 
-def phrase_counts(docs: DataFrame, least: int, text: str = "text", lang: str = "lang") -> tuple[DataFrame, DataFrame]:
+def phrase_counts(docs: DataFrame, least: int, text: str = "text", lang: str = "lang",
+                  characters: int = CHARACTERS) -> tuple[DataFrame, DataFrame]:
     """((lang, words, f) of all phrases of 1 to LONGEST words with f >= least, (lang, n) of all words)."""
     texts = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"),
                         F.lit(1).cast("long").alias("times"))
-    first = written(frequent_codes(texts, 1, least, None), "words")
+    first = written(frequent_codes(texts, 1, least, None, characters), "words")
     totals = first.filter("code IS NULL").select("lang", "n")
     filters = {1: Filter.of(first.filter("code IS NOT NULL"))}
-    pairs = written(frequent_codes(texts, 2, least, filters[1]), "pairs")
+    pairs = written(frequent_codes(texts, 2, least, filters[1], characters), "pairs")
     filters[2] = Filter.of(pairs)
-    kept = written(runs(texts, filters[1], filters[2]), "runs")
+    kept = written(runs(texts, filters[1], filters[2], characters), "runs")
     in_runs = kept.filter("NOT single").select("lang", "text", "times")
     for m in range(3, LONGEST + 1):
-        filters[m] = Filter.of(written(frequent_codes(in_runs, m, least, filters[m - 1]), "codes"))
+        filters[m] = Filter.of(written(frequent_codes(in_runs, m, least, filters[m - 1], characters), "codes"))
 
     def count(batches):
-        for words, weights in _texts(batches):
+        for words, weights in _texts(batches, characters):
             yield from _phrase_rows(words, weights, {m: f for m, f in filters.items() if m > 1})
 
     longer = in_runs.mapInArrow(count, "lang string, words array<string>, n long")
@@ -305,9 +306,10 @@ def stream(counts: DataFrame, backward: bool = False) -> DataFrame:
         "lang", order.alias("words"), "f", F.expr("transform(shorter, (c, i) -> coalesce(c, known[i + 1]))").alias("shorter"))
 
 
-def collocations(docs: DataFrame, least: int = 100, top: int = 2000, text: str = "text", lang: str = "lang") -> DataFrame:
+def collocations(docs: DataFrame, least: int = 100, top: int = 2000, text: str = "text", lang: str = "lang",
+                 characters: int = CHARACTERS) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the ``top`` phrases of every language."""
-    counts, totals = phrase_counts(docs, least, text, lang)
+    counts, totals = phrase_counts(docs, least, text, lang, characters)
     forward, backward = stream(counts), stream(counts, backward=True)
     both = forward.withColumnRenamed("shorter", "firsts").join(
         backward.select("lang", "words", F.col("shorter").alias("lasts")).hint("merge"), ["lang", "words"])

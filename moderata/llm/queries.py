@@ -10,8 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (byte_bpe, conversation_repair, exact_dedup, fingerprints, language_id, license_scan, ngram_join, packing,
-               phrases, sharding, token_counts, url_filter)
+from . import (byte_bpe, conversation_repair, exact_dedup, fingerprints, knn_join, language_id, license_scan, ngram_join,
+               packing, phrases, sharding, token_counts, url_filter)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -281,3 +281,18 @@ SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM (
 @query("op12_collocations", OP12_SQL)
 def op12(spark: SparkSession, sf: str) -> DataFrame:
     return phrases.collocations(table(spark, sf, "documents"))
+
+
+OP13_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, coalesce(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])), 0)::BIGINT AS score
+    FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 20"""
+
+
+@query("op13_topk", OP13_SQL)
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = table(spark, sf, "embeddings")
+    return knn_join.knn_join(vectors, vectors.filter("vec_id % 20 = 0"))

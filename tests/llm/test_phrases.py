@@ -52,7 +52,6 @@ def want(data, least, top):
 @pytest.mark.parametrize("least,top,parts", [(3, 2000, 1), (2, 7, 23), (30, 50, 5)])
 def test_against_definition(spark, monkeypatch, least, top, parts):
     """Many ranges cut the streams inside prefixes; small chunks cut the counting; a tiny filter lets all through."""
-    monkeypatch.setattr(phrases, "CHARACTERS", 300)
     monkeypatch.setattr(phrases, "SALTS", 3)
     if parts > 5:
         monkeypatch.setattr(phrases, "FILTER_BITS", 1)
@@ -60,7 +59,7 @@ def test_against_definition(spark, monkeypatch, least, top, parts):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         data = texts()
-        got = phrases.collocations(fixtures.docs(spark, data).repartition(3), least, top).collect()
+        got = phrases.collocations(fixtures.docs(spark, data).repartition(3), least, top, characters=300).collect()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

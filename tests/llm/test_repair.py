@@ -88,38 +88,35 @@ def grouped(data):
 
 
 @pytest.mark.parametrize("block", [3, 4096])
-def test_against_all_edits(spark, monkeypatch, block):
-    monkeypatch.setattr(cr, "BLOCK_ROWS", block)
+def test_against_all_edits(spark, block):
     data = rows()
     df = spark.createDataFrame(data, SCHEMA)
-    out = cr.summaries(cr.damage(df), copies="copies").collect()
+    out = cr.summaries(cr.damage(df), copies="copies", block_rows=block).collect()
     expected = grouped(data)
     assert len(out) == len(expected)
     for r in out:
         assert tuple(r)[1:] == expected[r.conv_id][0], r.conv_id
 
 
-def test_messages(spark, monkeypatch):
-    monkeypatch.setattr(cr, "BLOCK_ROWS", 4)
+def test_messages(spark):
     data = rows(60, 9)
-    left = cr.messages(cr.damage(spark.createDataFrame(data, SCHEMA)), copies="copies").collect()
+    left = cr.messages(cr.damage(spark.createDataFrame(data, SCHEMA)), copies="copies", block_rows=4).collect()
     found = {}
     for r in sorted(left, key=lambda r: (r.part, r.no, r["at"])):
         found.setdefault(r.conv_id, []).append((r.role, r.text))
     assert found == {c: list(repaired) for c, (_, repaired) in grouped(data).items() if repaired}
 
 
-def test_one_conversation_in_many_tasks(spark, monkeypatch):
+def test_one_conversation_in_many_tasks(spark):
     """A conversation with nearly all rows, dealt over all ranges, and a row that repeats without end."""
-    monkeypatch.setattr(cr, "BLOCK_ROWS", 64)
     rng = random.Random(1)
     data = [(1, i, rng.choice(("user", "assistant")), f"{rng.randrange(900)}.", *"clash") for i in range(3000)]
     data += [(1, 17, "user", "hot.", *"clash")] * 2000 + [(2, 0, "user", "hi.", *"clash"), (2, 1, "assistant", "ho.", *"clash")]
     df = spark.createDataFrame(data, SCHEMA).repartition(4)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        parts = cr.blocks(df, "conv_id", "turn", "role", "text").filter("conv = 1")
-        out = {r.conv_id: r for r in cr.summaries(df).collect()}
+        parts = cr.blocks(df, "conv_id", "turn", "role", "text", block_rows=64).filter("conv = 1")
+        out = {r.conv_id: r for r in cr.summaries(df, block_rows=64).collect()}
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert parts.select("part").distinct().count() > 1
@@ -129,8 +126,7 @@ def test_one_conversation_in_many_tasks(spark, monkeypatch):
     cost = {"K": 0, "R": 3, "I": 3, "D": 4}
     assert out[1].cost == sum(map(cost.get, out[1].audit))
     # The same conversation in one block.
-    monkeypatch.setattr(cr, "BLOCK_ROWS", 1 << 20)
-    assert {r.conv_id: r for r in cr.summaries(df.coalesce(1)).collect()} == out
+    assert {r.conv_id: r for r in cr.summaries(df.coalesce(1), block_rows=1 << 20).collect()} == out
 
 
 def test_empty(spark):
