@@ -13,6 +13,9 @@ more than ``1 / HEAVY`` of all rows, fewer than HEAVY of them whatever the
 size, form one small array that every task has; their rows are spread by key.
 So a text on a third of all rows meets no task as a whole.
 
+Keys may be of any ordered type (numbers, texts, dates); they are compared and
+returned as they are. Very long texts are only hashed.
+
 Texts are equal when identical; null counts as the empty text. Of equal texts
 the row with the largest key stays. Rows that repeat key and text are one
 record several times: exactly one of them stays. Null keys lose against others;
@@ -23,7 +26,8 @@ columns are left out.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -109,48 +113,52 @@ def winners(found: DataFrame) -> DataFrame:
     return found.groupBy("digest").agg(F.max("key").alias("keep"), F.sum("copies").alias("size"))
 
 
-LOCATED = "key long, digest binary, copies long, keep long, size long, member boolean"
-
-
 def locate(found: DataFrame, history: DataFrame, heavy: int = HEAVY) -> DataFrame:
-    """``found`` with the winner and group size of the history's digests; ``member`` is false for strangers."""
+    """``found`` with the winner and group size of the history's digests; ``member`` is false for strangers.
+
+    Keys stay Arrow values of their own type all the way, so nulls beside them change nothing.
+    """
     total, distinct = history.agg(F.sum("size"), F.count(F.lit(1))).first()
     total = total or 0
-    parts = max(MIN_PARTS, (distinct or 0) // PART_ROWS, int((total or 0) // PART_ROWS))
-    top = history.filter(F.col("size") * heavy > total).toPandas()  # fewer than ``heavy`` rows
-    array = PerfectHash(pack_digests(top["digest"])) if len(top) else None
-    keep = top["keep"].astype("Int64")
-    size = top["size"].astype("int64") if len(top) else None
-
-    def heavy_ones(frames):
-        for frame in frames:
-            at = array.find(pack_digests(frame["digest"])) if len(frame) and array else np.full(len(frame), -1)
-            hit = at >= 0
-            out = frame.assign(keep=pd.array([pd.NA] * len(frame), "Int64"), size=0, member=hit)
-            if hit.any():
-                out.loc[hit, "keep"] = keep.iloc[at[hit]].to_numpy()
-                out.loc[hit, "size"] = size.iloc[at[hit]].to_numpy()
-            yield out
+    parts = max(MIN_PARTS, (distinct or 0) // PART_ROWS, int(total // PART_ROWS))
+    top = history.filter(F.col("size") * heavy > total).select("digest", "keep", "size").toArrow()  # fewer than ``heavy`` rows
+    array = PerfectHash(pack_digests(top.column("digest").to_pylist())) if top.num_rows else None
+    keep, size = (top.column(c).combine_chunks() for c in ("keep", "size"))
+    kind = found.schema["key"].dataType.simpleString()
+    shape = f"key {kind}, digest binary, copies long, keep {kind}, size long, member boolean"
+    names = ["key", "digest", "copies", "keep", "size", "member"]
+
+    def heavy_ones(batches):
+        for batch in batches:
+            at = np.full(batch.num_rows, -1)
+            if array is not None and batch.num_rows:
+                at = array.find(pack_digests(batch.column(1).to_pylist()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *_winner(at, keep, size, batch.column(0).type)], names)
 
     by_digest = F.pmod(F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long"), F.lit(parts))
-    marked = found.mapInPandas(heavy_ones, LOCATED).withColumn(
+    marked = found.select("key", "digest", "copies").mapInArrow(heavy_ones, shape).withColumn(
         "part", F.when(F.col("member"), F.pmod(F.xxhash64("key"), F.lit(parts))).otherwise(by_digest))
-    index = history.filter(F.col("size") * heavy <= total).withColumn("part", by_digest)
+    index = history.filter(F.col("size") * heavy <= total).select("digest", "keep", "size").withColumn("part", by_digest)
+
+    def probe(rows: pa.Table, listed: pa.Table) -> pa.Table:
+        rows, listed = rows.select(names).combine_chunks(), listed.combine_chunks()
+        todo = ~rows.column("member").to_numpy()
+        if not (todo.any() and listed.num_rows):
+            return rows
+        at = np.full(rows.num_rows, -1)
+        at[todo] = PerfectHash(pack_digests(listed.column("digest").to_pylist())).find(
+            pack_digests(rows.column("digest").filter(pa.array(todo)).to_pylist()))
+        won = _winner(at, listed.column("keep").combine_chunks(), listed.column("size").combine_chunks(), rows.column("key").type)
+        known = rows.column("member").combine_chunks()
+        return pa.table([*rows.columns[:3], *(pc.if_else(known, rows.column(n), w) for n, w in zip(names[3:], won))], names)
+
+    return marked.groupBy("part").cogroup(index.groupBy("part")).applyInArrow(probe, shape)
 
-    def probe(rows: pd.DataFrame, listed: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop(columns="part")
-        todo = np.flatnonzero(~rows["member"].to_numpy(bool))
-        if len(todo) and len(listed):
-            at = PerfectHash(pack_digests(listed["digest"])).find(pack_digests(rows["digest"].iloc[todo]))
-            todo, at = todo[at >= 0], at[at >= 0]
-            rows["keep"] = rows["keep"].astype("Int64")
-            columns = [rows.columns.get_loc(c) for c in ("keep", "size", "member")]
-            rows.iloc[todo, columns[0]] = listed["keep"].astype("Int64").iloc[at].to_numpy()
-            rows.iloc[todo, columns[1]] = listed["size"].iloc[at].to_numpy()
-            rows.iloc[todo, columns[2]] = True
-        return rows
 
-    return marked.groupBy("part").cogroup(index.groupBy("part")).applyInPandas(probe, LOCATED)
+def _winner(at: np.ndarray, keep: pa.Array, size: pa.Array, kind: pa.DataType) -> list[pa.Array]:
+    """(keep, size, member) of every row from the slots found; none for -1."""
+    slot = pa.array(at, pa.int64(), mask=at < 0)
+    return [keep.cast(kind).take(slot), size.cast(pa.int64()).take(slot).fill_null(0), pa.array(at >= 0)]
 
 
 def exact_dedup(docs: DataFrame, history: DataFrame | None = None, key: str = "doc_id", text: str = "text",
@@ -182,7 +190,8 @@ def exact_dedup(docs: DataFrame, history: DataFrame | None = None, key: str = "d
 
 def survivors(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    judged = written(exact_dedup(docs, key=key, text=text).select(F.col(key).alias("key_"), "kept", "text_sha256"), "judged")
+    judged = exact_dedup(docs, key=key, text=text)
+    judged = written(judged.select(F.col(key).alias("key_"), "kept", "text_sha256"), "judged")
     each = judged.groupBy("key_", "text_sha256").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("copies"))
     each = written(each, "each")
     own = fresh(docs, "digest")

@@ -1,6 +1,7 @@
 """Exact dedup, the n-gram join and the pipeline against brute force."""
 
 import collections
+import datetime
 import hashlib
 import random
 import re
@@ -48,6 +49,28 @@ def test_exact_dedup(spark, heavy):
     assert len({r.text_sha256 for r in out if r.kept}) == len(groups)
 
 
+@pytest.mark.parametrize("heavy", [1, 10_000])
+@pytest.mark.parametrize("kind,keys", [
+    ("long", [2**53 + 1, 2**53 + 2, 2**53 + 3, 5, 2**63 - 1, 2**63 - 2, -(2**63), None, None]),
+    ("string", ["b", "", "10", "9", None, "é", None, "z", "a"]),
+    ("date", [datetime.date(2020, 1, d) for d in range(1, 9)] + [None])])
+def test_keys_beside_nulls_stay_exact(spark, heavy, kind, keys):
+    """All keys in one batch; every text keeps exactly one row, that of its largest key."""
+    data = [(k, t) for i, k in enumerate(keys) for t in ("a", "b" if i % 2 else "c")]
+    df = spark.createDataFrame(data, f"doc_id {kind}, text string").coalesce(1)
+    out = exact_dedup.exact_dedup(df, heavy=heavy).collect()
+    assert sorted((str(r.doc_id), r.text_sha256) for r in out) == sorted(
+        (str(k), hashlib.sha256(t.encode()).hexdigest()) for k, t in data)
+    for t in "abc":
+        mine = [r for r in out if r.text_sha256 == hashlib.sha256(t.encode()).hexdigest()]
+        largest = max(k for k, x in data if x == t and k is not None)
+        assert {r.keep_id for r in mine} == {largest} and {r.group_size for r in mine} == {len(mine)}
+        assert [r.doc_id for r in mine if r.kept] == [largest]
+    left = exact_dedup.survivors(df).collect()
+    assert sorted((str(r.doc_id), r.text) for r in left) == sorted(
+        (str(max(k for k, x in data if x == t and k is not None)), t) for t in "abc")
+
+
 def test_history(spark):
     rows = fixtures.rows()
     past = [(r[0], r[1], *r[2:]) for r in rows[:60]]
