@@ -17,6 +17,7 @@ from .inputs import LABELLED_SQL, POSTS_SQL, documents, labelled, posts, table
 from .registry import query
 from .text import CODE_MIXED
 
+TERMS = 50_000  # largest vocabulary
 STOP = ["the", "of", "and", "to", "is", "le", "la", "de", "un", "une", "des", "der", "die", "das",
         "und", "el", "los", "en"]
 STOP_SQL = ", ".join(f"'{w}'" for w in STOP)
@@ -100,23 +101,23 @@ def _vocab_prune(spark, sf):
     return vocabulary(spark, sf, None).withColumn("idf", F.round("idf", 9))
 
 
-@query("vocab_topk", f"WITH {vocab_sql(5000)} SELECT term, df, cnt, round(idf, 9) AS idf FROM vocab")
+@query("vocab_topk", f"WITH {vocab_sql(TERMS)} SELECT term, df, cnt, round(idf, 9) AS idf FROM vocab")
 def _vocab_topk(spark, sf):
-    return vocabulary(spark, sf, 5000).withColumn("idf", F.round("idf", 9))
+    return vocabulary(spark, sf, TERMS).withColumn("idf", F.round("idf", 9))
 
 
 def tfidf_sql(limit=None):
     return f"""{vocab_sql(limit)}, raw AS (SELECT doc_id, term, tf, idf, tf * idf AS a FROM counts JOIN vocab USING (term)),
-  tfidf AS (SELECT doc_id, term, tf, idf, a, a / sqrt(sum(a * a) OVER (PARTITION BY doc_id)) AS weight FROM raw)"""
+  tfidf AS MATERIALIZED (SELECT doc_id, term, tf, idf, a, a / sqrt(sum(a * a) OVER (PARTITION BY doc_id)) AS weight FROM raw)"""
 
 
-def weights(spark, sf, max_features=5000, terms=None):
+def weights(spark, sf, max_features=TERMS, terms=None):
     """TF-IDF rows, over a vocabulary made before or made here."""
     terms = vocabulary(spark, sf, max_features) if terms is None else terms
     return features.tfidf(term_table(spark, sf), terms, max_features=max_features)
 
 
-@query("tfidf", f"WITH {tfidf_sql(5000)} SELECT doc_id, term, tf, round(weight, 6) AS weight FROM tfidf")
+@query("tfidf", f"WITH {tfidf_sql(TERMS)} SELECT doc_id, term, tf, round(weight, 6) AS weight FROM tfidf")
 def _tfidf(spark, sf):
     return weights(spark, sf).withColumn("weight", F.round("weight", 6))
 
@@ -129,7 +130,7 @@ def _tfidf_all(spark, sf):
         F.round(F.sum(F.col("weight") * F.col("weight")), 6).alias("length"))
 
 
-@query("feature_stats", f"""WITH {tfidf_sql(5000)} SELECT (SELECT n FROM nd) AS n_docs,
+@query("feature_stats", f"""WITH {tfidf_sql(TERMS)} SELECT (SELECT n FROM nd) AS n_docs,
   count(DISTINCT term) AS n_terms, count(*) AS nnz,
   round(1 - count(*)::DOUBLE / ((SELECT n FROM nd)::DOUBLE * count(DISTINCT term)), 9) AS sparsity FROM tfidf""")
 def _stats(spark, sf):
@@ -158,11 +159,11 @@ INTERCEPT = -0.5
 
 def linear_model(spark, sf):
     """(TF-IDF rows, coefficients) sharing one fitted vocabulary."""
-    terms = features.pin(vocabulary(spark, sf, 5000))
+    terms = features.pin(vocabulary(spark, sf, TERMS))
     return weights(spark, sf, terms=terms), terms.selectExpr("term", "idf", f"{COEF} AS coef")
 
 
-@query("score_linear", f"""WITH {tfidf_sql(5000)}, s AS (SELECT doc_id, sum(weight * {COEF}) - 0.5e0 AS logit
+@query("score_linear", f"""WITH {tfidf_sql(TERMS)}, s AS (SELECT doc_id, sum(weight * {COEF}) - 0.5e0 AS logit
     FROM tfidf GROUP BY doc_id)
   SELECT doc_id, round(logit, 6) AS logit, round(1 / (1 + exp(-logit)), 6) AS prob FROM s""")
 def _score_linear(spark, sf):
@@ -171,8 +172,8 @@ def _score_linear(spark, sf):
     return out.withColumns({"logit": F.round("logit", 6), "prob": F.round("prob", 6)})
 
 
-SHAP = f"""{tfidf_sql(5000)}, bg AS (SELECT term, sum(weight) / any_value(n) AS mean_weight FROM tfidf, nd GROUP BY term),
-  shap AS (SELECT doc_id, term, {COEF} * (weight - mean_weight) AS phi FROM tfidf JOIN bg USING (term))"""
+SHAP = f"""{tfidf_sql(TERMS)}, shap AS (SELECT doc_id, term,
+    {COEF} * (weight - sum(weight) OVER (PARTITION BY term) / n) AS phi FROM tfidf, nd)"""
 
 
 def shap(spark, sf):
@@ -186,7 +187,8 @@ def _shap(spark, sf):
     return shap(spark, sf).withColumn("phi", F.round("phi", 6))
 
 
-@query("shap_base", f"WITH {SHAP} SELECT round(sum({COEF} * mean_weight) - 0.5e0, 6) AS base_value FROM bg")
+@query("shap_base", f"""WITH {tfidf_sql(TERMS)}, bg AS (SELECT term, sum(weight) / any_value(n) AS mean_weight FROM tfidf, nd GROUP BY term)
+  SELECT round(sum({COEF} * mean_weight) - 0.5e0, 6) AS base_value FROM bg""")
 def _shap_base(spark, sf):
     w, coefs = linear_model(spark, sf)
     bg = explain.background_mean(w, table(spark, sf, "documents").count())
@@ -238,7 +240,7 @@ def _agreement(spark, sf):
         "jaccard": F.round("jaccard", 9), "sign_agreement": F.round("sign_agreement", 9)})
 
 
-@query("lime_batch", f"""WITH {tfidf_sql(5000)} SELECT doc_id, least(10, count(*)) AS words, true AS finite
+@query("lime_batch", f"""WITH {tfidf_sql(TERMS)} SELECT doc_id, least(10, count(*)) AS words, true AS finite
   FROM tfidf GROUP BY doc_id""")
 def _lime(spark, sf):
     """Words and finite weights per document; their signs are tested against ``lime_drop_one``."""
@@ -265,7 +267,7 @@ def _lime_texts(spark, sf):
     keyed = table(spark, sf, "conversations").select(
         F.concat("conv_id", F.lit("/"), "turn").alias("doc_id"),
         features.tokens(F.col("text")).alias("words"))
-    return explained(explain.lime_texts(keyed, make, n_samples=100))
+    return explained(explain.lime_texts(keyed, make))
 
 
 @query("score_plugin", "SELECT doc_id, (length(text) % 100) / 100.0e0 AS prob FROM documents")
