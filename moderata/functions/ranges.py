@@ -13,6 +13,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .columns import fresh
+
 
 def default_parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -38,10 +40,11 @@ def with_range(df: DataFrame, order: str, bounds: list[float], out: str) -> Data
     if not bounds:
         return df.withColumn(out, F.lit(0))
     splits = [-math.inf, *bounds, math.inf]
-    value = df.withColumn("range_value", F.col(order).cast("double"))
+    (own,) = fresh(df, "range_value")
+    value = df.withColumn(own, F.col(order).cast("double"))
     # Binary search in the JVM, for any number of bounds.
-    cut = Bucketizer(splits=splits, inputCol="range_value", outputCol=out, handleInvalid="keep")
-    return cut.transform(value).withColumn(out, F.col(out).cast("int")).drop("range_value")
+    cut = Bucketizer(splits=splits, inputCol=own, outputCol=out, handleInvalid="keep")
+    return cut.transform(value).withColumn(out, F.col(out).cast("int")).drop(own)
 
 
 def order_statistic(df: DataFrame, order: str, k: int, parts: int = 4096) -> int | None:

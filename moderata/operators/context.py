@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import fresh
 from ..functions.constants import CONTEXT_SEPARATOR
 from ..functions.ranges import range_bounds, with_range
 from ..functions.text import is_blank
@@ -32,42 +33,45 @@ def with_context(
     ``order`` is a whole number, unique within ``by``. A key with more than
     ``hot_rows`` rows is cut into ranges of ``order``, each its own window
     partition; the last ``n`` texts of earlier ranges are handed over. A row
-    without a key belongs to no conversation and gets no context.
+    without a key belongs to no conversation and gets no context. Columns of the
+    caller stay as they are, but for ones with the names of the two results.
     """
     if not by:
         raise ValueError("context needs a conversation or source column")
     # Rows without a key are spread over partitions of their own.
     alone = F.when(F.col(by).isNull(), F.col(order).cast("bigint")).otherwise(F.lit(0))
-    d = df.withColumn("msg", F.coalesce(F.col(text), F.lit("")))
-    before = Window.partitionBy(by, "rng").orderBy(order).rowsBetween(-n, -1)
-    recent = F.collect_list("msg").over(before)
-    hot = hot_keys(df, by, hot_rows).withColumn("is_hot", F.lit(True))
+    own = fresh(df, "msg", "rng", "is_hot", "from_end", "tail", "halo", "recent", "said", "joined")
+    msg, rng, is_hot, from_end, tail, halo_, recent_, said, joined = own
+    d = df.withColumn(msg, F.coalesce(F.col(text), F.lit("")))
+    before = Window.partitionBy(by, rng).orderBy(order).rowsBetween(-n, -1)
+    recent = F.collect_list(msg).over(before)
+    hot = hot_keys(df, by, hot_rows).withColumn(is_hot, F.lit(True))
     rows = df.join(hot, by, "left_semi").count()
     if rows:
         parts = parts or max(2, rows // RANGE_ROWS)
         bounds = range_bounds(df.join(hot, by, "left_semi"), order, parts)
-        d = with_range(d.join(hot, by, "left"), order, bounds, "rng").withColumn(
-            "rng", F.when(F.col("is_hot"), F.col("rng")).otherwise(alone))
-        from_end = Window.partitionBy(by, "rng").orderBy(F.col(order).desc())
+        d = with_range(d.join(hot, by, "left"), order, bounds, rng).withColumn(
+            rng, F.when(F.col(is_hot), F.col(rng)).otherwise(alone))
+        backward = Window.partitionBy(by, rng).orderBy(F.col(order).desc())
         tails = (
-            d.filter("is_hot").select(by, "rng", order, "msg")
-            .withColumn("from_end", F.row_number().over(from_end))
-            .filter(F.col("from_end") <= n)
-            .groupBy(by, "rng")
-            .agg(F.transform(F.sort_array(F.collect_list(F.struct(order, "msg"))),
-                             lambda s: s["msg"]).alias("tail"))
+            d.filter(F.col(is_hot)).select(by, rng, order, msg)
+            .withColumn(from_end, F.row_number().over(backward))
+            .filter(F.col(from_end) <= n)
+            .groupBy(by, rng)
+            .agg(F.transform(F.sort_array(F.collect_list(F.struct(order, msg))),
+                             lambda s: s[msg]).alias(tail))
         )
         # A range that occurs has at least one row, so n earlier ranges are enough.
-        earlier = Window.partitionBy(by).orderBy("rng").rowsBetween(-n, -1)
+        earlier = Window.partitionBy(by).orderBy(rng).rowsBetween(-n, -1)
         halo = tails.select(
-            by, "rng", _last(F.flatten(F.collect_list("tail").over(earlier)), n).alias("halo"))
-        d = d.join(halo, [by, "rng"], "left")
-        known = F.coalesce("halo", F.array().cast("array<string>"))
+            by, rng, _last(F.flatten(F.collect_list(tail).over(earlier)), n).alias(halo_))
+        d = d.join(halo, [by, rng], "left")
+        known = F.coalesce(halo_, F.array().cast("array<string>"))
     else:
-        d = d.withColumn("rng", alone)
+        d = d.withColumn(rng, alone)
         known = F.array().cast("array<string>")
-    out = d.withColumn("recent", recent)
-    spoken = F.filter(_last(F.concat(known, F.col("recent")), n), lambda m: ~is_blank(m))
-    out = out.withColumn("context", spoken).withColumn(
-        "context_text", F.array_join(F.concat("context", F.array("msg")), sep))
-    return out.select(*df.columns, "context", "context_text")
+    out = d.withColumn(recent_, recent)
+    spoken = F.filter(_last(F.concat(known, F.col(recent_)), n), lambda m: ~is_blank(m))
+    out = out.withColumn(said, spoken).withColumn(joined, F.array_join(F.concat(said, F.array(msg)), sep))
+    kept = [c for c in df.columns if c.lower() not in ("context", "context_text")]
+    return out.select(*kept, F.col(said).alias("context"), F.col(joined).alias("context_text"))

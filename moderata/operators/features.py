@@ -15,6 +15,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import fresh
 from ..functions.text import WORD, squash
 
 # Largest vocabulary that may travel with a model and be broadcast.
@@ -74,11 +75,12 @@ def add_terms(
     stop: Sequence[str] | None = (), out: str = "terms",
 ) -> DataFrame:
     """Add the array of word n-grams, on request followed by character n-grams."""
-    d = df.withColumn("words", remove_stop(tokens(F.col(text)), stop))
-    grams = ngrams(F.col("words"), lo, hi)
+    (words,) = fresh(df, "words")
+    d = df.withColumn(words, remove_stop(tokens(F.col(text)), stop))
+    grams = ngrams(F.col(words), lo, hi)
     if char:
         grams = F.concat(grams, char_ngrams(F.col(text)))
-    return d.withColumn(out, grams).drop("words")
+    return d.withColumn(out, grams).drop(words)
 
 
 def doc_terms(df: DataFrame, doc: str = "doc_id", terms: str = "terms") -> DataFrame:
@@ -201,6 +203,24 @@ def vectorizer(terms: Sequence[str], idf: Sequence[float], input_col: str = "ter
     return PipelineModel(stages=[count, scale, unit])
 
 
+def dot(vector: Column, weights: Sequence[float]) -> Column:
+    """Product of a sparse vector column with one weight per term, row by row."""
+    v = F.unwrap_udt(vector)
+    return sparse_dot(v["indices"], v["values"], weights)
+
+
+def sparse_dot(indices: Column, values: Column, weights: Sequence[float]) -> Column:
+    """The same for a vector kept as two arrays.
+
+    The weights travel as a literal of the plan, so their number is bounded like a model's vocabulary.
+    """
+    if len(weights) > MODEL_TERMS:
+        raise ValueError(f"at most {MODEL_TERMS} weights")
+    table = F.split(F.lit("\n".join(map(repr, map(float, weights)))), "\n").cast("array<double>")
+    products = F.zip_with(indices, values, lambda i, x: x * F.get(table, i))
+    return F.aggregate(products, F.lit(0.0), lambda a, b: a + b)
+
+
 def join_terms(rows: DataFrame, per_term: DataFrame, like: DataFrame | None = None,
                how: str = "inner") -> DataFrame:
     """Join a long table with one row per term.

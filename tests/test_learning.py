@@ -281,3 +281,14 @@ def test_fold_vocabularies_equal_separate_counting(spark, labelled):
                                       max_features=8, max_iter=15)
         for r in fitted.transform(folded.filter(F.col("fold") == i)).collect():
             assert one_pass[r["doc_id"]] == pytest.approx(r["prob"], abs=1e-9)
+
+
+@pytest.mark.parametrize("hot_rows", [2, 1000])
+def test_context_leaves_the_callers_columns(spark, hot_rows):
+    names = ("msg", "rng", "is_hot", "recent", "halo", "tail", "from_end", "range_value", "said")
+    df = spark.createDataFrame([(1, i, f"t{i}", *[f"{n}{i}" for n in names]) for i in range(6)],
+                               ["conv", "turn", "text", *names])
+    out = with_context(df, "conv", "turn", hot_rows=hot_rows, parts=2).orderBy("turn").collect()
+    for i, r in enumerate(out):
+        assert [r[n] for n in names] == [f"{n}{i}" for n in names]
+        assert r["context"] == [f"t{j}" for j in range(max(0, i - 2), i)]
