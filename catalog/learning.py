@@ -9,7 +9,7 @@ from moderata.operators.context import with_context
 from moderata.operators.metrics import binary_metrics
 from moderata.operators.split import stratified_split
 from moderata.plans.training import load_training
-from moderata.sources.workspace import new_folder
+from moderata.sources.workspace import materialize, new_folder
 
 from . import duck
 from .datasets import SPLIT_SQL, h
@@ -270,6 +270,51 @@ def _lime_texts(spark, sf):
     return explained(explain.lime_texts(keyed, make))
 
 
+BACKGROUND = 20  # rows
+SHAPLEY = f"""{tfidf_sql(TERMS)}, chosen AS (SELECT doc_id FROM documents ORDER BY {h(42)}, doc_id LIMIT {BACKGROUND})"""
+
+
+def shapley(spark, sf, probability):
+    """Sampled Shapley values of the fixed linear scorer, in log-odds or as a probability, with the vocabulary's terms."""
+    rows = materialize(term_table(spark, sf), "terms")
+    found = features.vocab(rows, rows.count(), max_features=TERMS).selectExpr("term", "idf", f"{COEF} AS coef").orderBy("term").collect()
+    terms, coef = [r["term"] for r in found], [r["coef"] for r in found]
+    vectors = materialize(features.sparse(rows, terms, [r["idf"] for r in found]), "vectors")
+
+    def make():
+        import numpy as np
+
+        w = np.array(coef)
+
+        def score(row, at, value, n):
+            z = np.bincount(row, w[at] * value, n) + INTERCEPT
+            return 1 / (1 + np.exp(-z)) if probability else z
+        return score
+
+    return explain.shapley(vectors, make, explain.background_rows(vectors, BACKGROUND)), terms
+
+
+@query("shapley_linear", f"""WITH {SHAPLEY}, bg AS (SELECT term, {COEF} AS coef, sum(weight) / {BACKGROUND}e0 AS m
+    FROM tfidf SEMI JOIN chosen USING (doc_id) GROUP BY term),
+  own AS (SELECT doc_id, term, {COEF} * (weight - coalesce(m, 0)) AS phi, coef * m AS expected FROM tfidf LEFT JOIN bg USING (term))
+  SELECT doc_id, term, round(phi, 6) + 0e0 AS phi FROM own
+  UNION ALL SELECT doc_id, NULL, round(coalesce(sum(expected), 0) - (SELECT sum(coef * m) FROM bg), 6) + 0e0
+  FROM documents LEFT JOIN own USING (doc_id) GROUP BY doc_id""")
+def _shapley_linear(spark, sf):
+    """Without interactions the sample is the closed form, in every term."""
+    found, terms = shapley(spark, sf, False)
+    return found.select("doc_id", features.term_of(F.col("at"), terms).alias("term"), (F.round("phi", 6) + 0.0).alias("phi"))
+
+
+@query("shapley_prob", f"""WITH {SHAPLEY}, z AS (SELECT doc_id, count(term) AS players,
+    1e0 / (1e0 + exp(-(coalesce(sum(weight * {COEF}), 0e0) - 0.5e0))) AS p FROM documents LEFT JOIN tfidf USING (doc_id) GROUP BY doc_id)
+  SELECT doc_id, players + 1 AS players, round(p - (SELECT avg(p) FROM z SEMI JOIN chosen USING (doc_id)), 6) + 0e0 AS total FROM z""")
+def _shapley_prob(spark, sf):
+    """Values of a document add up to its probability less the background's mean."""
+    found, _ = shapley(spark, sf, True)
+    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("players"), (F.round(F.sum("phi"), 6) + 0.0).alias("total"))
+
+
 @query("score_plugin", "SELECT doc_id, (length(text) % 100) / 100.0e0 AS prob FROM documents")
 def _plugin(spark, sf):
     def make():

@@ -203,6 +203,21 @@ def vectorizer(terms: Sequence[str], idf: Sequence[float], input_col: str = "ter
     return PipelineModel(stages=[count, scale, unit])
 
 
+def sparse(rows: DataFrame, terms: Sequence[str], idf: Sequence[float], doc: str = "doc_id",
+           input_col: str = "terms") -> DataFrame:
+    """(doc, at, value): TF-IDF rows as two arrays, the numbers of the terms ascending."""
+    v = F.unwrap_udt(F.col("features"))
+    return vectorizer(terms, idf, input_col).transform(rows.select(doc, input_col)).select(
+        doc, v["indices"].alias("at"), v["values"].alias("value"))
+
+
+def term_of(number: Column, terms: Sequence[str]) -> Column:
+    """The term of a number, from a literal of the plan; null for null. Terms hold no line breaks."""
+    if len(terms) > MODEL_TERMS:
+        raise ValueError(f"at most {MODEL_TERMS} terms")
+    return F.get(F.split(F.lit("\n".join(terms)), "\n"), number)
+
+
 def dot(vector: Column, weights: Sequence[float]) -> Column:
     """Product of a sparse vector column with one weight per term, row by row."""
     v = F.unwrap_udt(vector)
