@@ -165,6 +165,35 @@ def _kfold(spark, sf):
     return split.assign_folds(labelled(spark, sf).select("doc_id", "label"), label="label")
 
 
+def groups_sql(rows, label, key, seed):
+    """ranks(key, size, stratum, before, total) of the distinct keys of ``rows``."""
+    return f"""counts AS (SELECT {key} AS key, {label} AS label, count(*) AS c FROM {rows} GROUP BY ALL),
+  keys AS (SELECT key, sum(c) AS size, first(label ORDER BY c DESC, label) AS stratum FROM counts GROUP BY key),
+  ranks AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY stratum ORDER BY {h(seed, "key")}, key
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(size) OVER (PARTITION BY stratum) AS total FROM keys)"""
+
+
+KEYED = f"keyed AS (SELECT *, sha256({duck.key('text')}) AS text_key FROM labelled)"
+
+
+def keyed(spark, sf):
+    return labelled(spark, sf).select("doc_id", "label", F.sha2(text_key(F.col("text")), 256).alias("text_key"))
+
+
+@query("group_split", f"""WITH {LABELLED_SQL}, {KEYED}, {groups_sql("keyed", "label", "text_key", 42)}
+  SELECT doc_id, label, text_key, CASE WHEN before < round_even(total * 0.15e0, 0) THEN 'test' ELSE 'train' END AS split
+  FROM keyed JOIN ranks ON key = text_key""")
+def _group_split(spark, sf):
+    return split.group_split(keyed(spark, sf), "label", key="text_key")
+
+
+@query("group_folds", f"""WITH {LABELLED_SQL}, {KEYED}, {groups_sql("keyed", "label", "text_key", "42:fold")}
+  SELECT doc_id, label, text_key, CAST(floor(before * 5.0e0 / total) AS INT) AS fold FROM keyed JOIN ranks ON key = text_key""")
+def _group_folds(spark, sf):
+    """A key with many rows is told by broadcast."""
+    return split.group_folds(keyed(spark, sf), key="text_key", hot_rows=1)
+
+
 @query("kfold_hash", f"""WITH {LABELLED_SQL} SELECT doc_id, label, CAST({h('42:fold')} % 5 AS INT) AS fold
   FROM labelled""")
 def _kfold_hash(spark, sf):

@@ -10,7 +10,7 @@ from moderata.plans.training import load_and_split
 from moderata.sources.workspace import new_folder
 
 from . import duck
-from .datasets import SPLIT_SQL, h
+from .datasets import SPLIT_SQL, groups_sql
 from .inputs import documents, feedback, labelled, table
 from .learning import conversation_sql, trained
 from .registry import ORACLES, query
@@ -47,10 +47,10 @@ def _context_scores(spark, sf):
 
 
 @query("load_and_split", f"""WITH l AS (SELECT text, CASE WHEN lang IS NULL THEN NULL WHEN lower(lang) IN ('en', 'de') THEN 1
-    ELSE 0 END AS label FROM documents WHERE regexp_matches(coalesce(text, ''), '{duck.NON_WS}'))
-  SELECT text, label, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY {h(42, "text")}, text)
-    <= round_even(count(*) OVER (PARTITION BY label) * 0.2e0, 0) THEN 'test' ELSE 'train' END AS split
-  FROM l WHERE label IS NOT NULL""")
+    ELSE 0 END AS label FROM documents WHERE regexp_matches(coalesce(text, ''), '{duck.NON_WS}')), keyed AS (SELECT *, sha256({duck.key("text")}) AS text_key FROM l WHERE label IS NOT NULL),
+  {groups_sql("keyed", "label", "text_key", 42)}
+  SELECT text, label, CASE WHEN before < round_even(total * 0.2e0, 0) THEN 'test' ELSE 'train' END AS split
+  FROM keyed JOIN ranks ON key = text_key""")
 def _load_and_split(spark, sf):
     rows = documents(spark, sf).select("doc_id", "text", "lang")
     return load_and_split(rows, "text", "lang", ("en", "de")).select("text", "label", "split")

@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores
+from ..functions.columns import fresh
 from ..functions.labels import binarize, binarize_int
-from ..functions.text import is_code_mixed
+from ..functions.text import is_code_mixed, text_key
 from ..operators import curves, errors, gradient, metrics
 from ..operators.dedup import dedup_clean
 from ..operators.filters import drop_blank, drop_missing
 from ..operators.model import BaselineModel, cross_validate, train_baseline
-from ..operators.split import nested_split, stratified_split
+from ..operators.split import group_split, nested_split, stratified_split
 from ..sources.reports import write_json_report
 from ..sources.roles import infer_roles, standardize
 from ..sources.tables import write_table
@@ -121,10 +122,18 @@ def run_tuned(
 
 def load_and_split(
     df: DataFrame, text_col: str, label_col: str, positives, frac: float = 0.2, seed=42,
-    key: str = "text",
+    key: str | None = None,
 ) -> DataFrame:
-    """Standard columns, no blank text, 0/1 labels, and a split column."""
+    """Standard columns, no blank text, 0/1 labels, and a split column.
+
+    Copies of a text stay on one side, whatever their case and spacing. With
+    ``key``, a column of unique values, rows are dealt out one by one.
+    """
     std = drop_blank(standardize(df, text_col, label_col), "text")
     labelled = std.withColumn("label", binarize(F.col("label"), positives)).na.drop(
         subset=["label"])
-    return stratified_split(labelled, "label", frac, seed, key)
+    if key is not None:
+        return stratified_split(labelled, "label", frac, seed, key)
+    (same,) = fresh(labelled, "text_key")
+    keyed = labelled.withColumn(same, F.sha2(text_key(F.col("text")), 256))
+    return group_split(keyed, "label", frac, seed, same).drop(same)
