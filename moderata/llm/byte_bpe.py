@@ -7,7 +7,10 @@ cache keeps the ids of slices seen before. The ids of a text are gathered from
 those of its slices; the byte offset at which every id ends can be kept.
 
 Both operators are narrow: rows never meet. Null texts count as empty and give
-no ids. Repeated rows give repeated results; other columns are left out.
+no ids. Repeated rows give repeated results; an empty table gives an empty
+result. Offsets count bytes in 32 bits, so one text may have up to 2 GiB; very
+long texts are cut into parts at safe places and batches are kept small. Other
+columns are left out, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -71,9 +74,14 @@ def _lists(cuts: np.ndarray, values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(values))
 
 
-def decode(encoded: DataFrame, ranks: str, ids: str = "ids", out: str = "bytes") -> DataFrame:
-    """``encoded`` with the bytes of its ids in ``out``; null ids count as none."""
+def decode(encoded: DataFrame, ranks: str, ids: str = "ids", out: str = "bytes", ends: str | None = None) -> DataFrame:
+    """``encoded`` with the bytes of its ids in ``out``; null ids count as none.
+
+    With ``ends``, the column of byte offsets kept in encoding, the offset of
+    every id must be where its bytes end; ids that do not fit them are an error.
+    """
     position = encoded.columns.index(ids)
+    kept = encoded.columns.index(ends) if ends else None
     schema = T.StructType([*encoded.schema.fields, T.StructField(out, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,8 +89,13 @@ def decode(encoded: DataFrame, ranks: str, ids: str = "ids", out: str = "bytes")
         for batch in batches:
             lists = batch.column(position).fill_null([])
             flat = tokens.take(lists.flatten())
-            ends = np.frombuffer(flat.buffers()[1], np.int64)[: len(flat) + 1]
-            cuts = ends[np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))]
+            at = np.frombuffer(flat.buffers()[1], np.int64)[: len(flat) + 1]
+            each = lists.value_lengths().to_numpy(zero_copy_only=False)
+            cuts = at[np.append(0, np.cumsum(each))]
+            if kept is not None:
+                stored = batch.column(kept).fill_null([]).flatten().to_numpy(zero_copy_only=False)
+                if not np.array_equal(stored, at[1:] - np.repeat(cuts[:-1], each)):
+                    raise ValueError("ids do not end at the offsets kept with them")
             joined = pa.Array.from_buffers(pa.binary(), batch.num_rows,
                                            [None, pa.py_buffer(cuts.astype(np.int32)), flat.buffers()[2]])
             yield pa.RecordBatch.from_arrays([*batch.columns, joined], [*batch.schema.names, out])
@@ -92,7 +105,7 @@ def decode(encoded: DataFrame, ranks: str, ids: str = "ids", out: str = "bytes")
 
 def digests(docs: DataFrame, ranks: str) -> DataFrame:
     """Per document: number of ids, digest of the ids and of the bytes they decode to."""
-    back = decode(encode(docs, ranks, offsets=False), ranks)
+    back = decode(encode(docs, ranks), ranks, ends="ends")
     return back.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),

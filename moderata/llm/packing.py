@@ -4,7 +4,8 @@ Documents are tokenised row by row and packed in the order in which their task
 reads them; no row is moved. Cuts are chosen by dynamic programming over the
 places where a sequence may end: ends of documents (free), ends of sentences
 and, inside long stretches without either, a grid (each at a penalty). The cost
-of a sequence is its padding; a length that is a power of two has none.
+of a sequence is its padding; a length that is any power of two has none. Of
+equally cheap cuts those with fewer sequences are taken.
 ``best[i] = penalty[i] + min(best[j] + length - (place[i] - place[j]))`` over
 places j at most one length before i: the minimum of ``best[j] + place[j]`` in
 a sliding window, which a monotone queue gives in constant time. The stream is
@@ -13,6 +14,9 @@ memory is bounded by the block and the longest text.
 
 Every document has at least one token (the end mark): null and empty texts have
 just it. Repeated rows are packed like other rows. An empty table has no pieces.
+Ties between cuts fall to the earlier place looked at, the same on every run. A
+very long text is tokenised whole and kept until its last sequence is closed.
+Columns other than key and text are left out, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -33,6 +37,7 @@ from . import bpe, textscan
 
 LENGTH = 4096
 SENTENCE, ANYWHERE = 16, 128  # penalties of a cut, in tokens of padding
+SEQUENCE = 2.0 ** -20
 GRID = 512
 BLOCK_TOKENS = 1 << 18
 CHARACTERS = 1 << 24  # tokenised at once
@@ -109,7 +114,7 @@ def choose_cuts(places: np.ndarray, penalty: np.ndarray, length: int, open_end:
     where, cost = [0, *places.tolist()], [0, *penalty.tolist()]
     n = len(where)
     best, back = [0.0] * n, [0] * n
-    powers = [p for p in (1 << k for k in range(length.bit_length())) if length // 8 <= p < length]
+    powers = [p for p in (1 << k for k in range(length.bit_length())) if p < length]
     index = {p: i for i, p in enumerate(where)}
     queue: deque[int] = deque([0])
     value = [0.0] * n  # best + place
@@ -128,7 +133,8 @@ def choose_cuts(places: np.ndarray, penalty: np.ndarray, length: int, open_end:
             j = min((k for k in range(i - 1, -1, -1) if where[k] >= low), key=best.__getitem__) \
                 if i < 4 * length else _least(best, where, i, low)
             top = best[j]
-        best[i], back[i] = top + cost[i], j
+        # Of equal costs, fewer sequences: all of a block's together count less than one token.
+        best[i], back[i] = top + cost[i] + SEQUENCE, j
         v = value[i] = best[i] + here
         while queue and value[queue[-1]] >= v:
             queue.pop()

@@ -11,6 +11,7 @@ import public_tokenizers as P
 import pytest
 import regex
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from moderata.llm import bpe, byte_bpe, packing, textscan, token_counts
@@ -128,6 +129,14 @@ def test_packing(spark):
         assert at == total if total is not None else at <= packing.LENGTH
 
 
+def test_decoding_checks_the_offsets(spark):
+    good = byte_bpe.encode(fixtures.docs(spark), RANKS)
+    assert byte_bpe.decode(good, RANKS, ends="ends").count() == good.count()
+    moved = good.withColumn("ends", F.transform("ends", lambda e: e + (F.col("doc_id") == 7).cast("int")))
+    with pytest.raises(Exception, match="offsets"):
+        byte_bpe.decode(moved, RANKS, ends="ends").collect()
+
+
 def test_cuts_are_optimal():
     rng = random.Random(6)
     for _ in range(60):
@@ -143,18 +152,25 @@ def test_cuts_are_optimal():
                 n = c - last
                 assert 0 < n <= length
                 total += int(penalty[np.searchsorted(places, c)])
-                total += 0 if n & (n - 1) == 0 and n >= length // 8 else length - n
+                total += 0 if n & (n - 1) == 0 else length - n
                 last = c
             return total
 
         best = {0: 0}
         for i, here in enumerate(places.tolist()):
-            options = [v + (0 if (n := here - p) & (n - 1) == 0 and n >= length // 8 else length - n)
+            options = [v + (0 if (n := here - p) & (n - 1) == 0 else length - n)
                        for p, v in best.items() if here - p <= length]
             best[here] = min(options) + int(penalty[i])
         assert cost(packing.choose_cuts(places, penalty, length, False)) == best[90]
 
 
+def test_short_powers_need_no_padding():
+    places = np.array([256, 300, 4352])
+    assert packing.choose_cuts(places, np.zeros(3), 4096, False) == [256, 4352]
+    # Of equal padding, the fewest sequences.
+    assert packing.choose_cuts(np.array([1, 2, 3, 4, 8]), np.zeros(5), 16, False) == [8]
+
+
 def test_padding_is_little(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = packing.pack(docs.coalesce(1), P.path("word_bpe_49k.json")).collect()
