@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import fresh
 from ..functions.text import WORD, squash
+from ..sources.workspace import materialize
 
 # Largest vocabulary that may travel with a model and be broadcast.
 MODEL_TERMS = 500_000
@@ -160,7 +161,7 @@ def tfidf(
     ``max_features`` states the bound :func:`vocab` was made with. Up to
     ``MODEL_TERMS`` terms each row is vectorised where it lies and unpacked
     again, without a shuffle of the table; a larger or unbounded vocabulary
-    stays distributed and is joined.
+    stays distributed and is joined (:func:`term_weights`).
     """
     if max_features is None or max_features > MODEL_TERMS:
         return _tfidf_joined(doc_terms(df, doc, terms), vocabulary, doc)
@@ -182,9 +183,30 @@ def tfidf(
         doc, "term", F.col("tf").cast("int").alias("tf"), "weight")
 
 
+HEAVY_TERMS = 10_000
+
+
+def term_weights(counts: DataFrame, vocabulary: DataFrame, doc: str, heavy_terms: int = HEAVY_TERMS) -> DataFrame:
+    """(doc, term, tf, raw): ``tf * idf`` of the vocabulary's terms, for a vocabulary of any size.
+
+    The terms of the most documents (least idf), ``heavy_terms`` of them whatever the table's
+    size, are known to every task; their rows are dealt by document. All others
+    are dealt by term, and none of them is in more documents than the heavy ones.
+    """
+    vocabulary = materialize(vocabulary.select("term", "idf"), "vocabulary")
+    heavy = vocabulary.orderBy("idf", "term").limit(heavy_terms).select("term", F.col("idf").alias("heavy_idf"))
+    light = vocabulary.select(F.col("term").alias("light_term"), "idf")
+    told = counts.join(F.broadcast(heavy), "term", "left")
+    # Terms hold no line breaks, so the keys of heavy rows meet no term.
+    spread = F.concat(F.lit("\n"), F.xxhash64(doc).cast("string"))
+    keyed = told.withColumn("at", F.when(F.col("heavy_idf").isNull(), F.col("term")).otherwise(spread))
+    found = keyed.join(light, F.col("at") == F.col("light_term"), "left")
+    idf = F.coalesce("heavy_idf", "idf")
+    return found.filter(idf.isNotNull()).select(doc, "term", "tf", (F.col("tf") * idf).alias("raw"))
+
+
 def _tfidf_joined(counts: DataFrame, vocabulary: DataFrame, doc: str) -> DataFrame:
-    raw = counts.join(vocabulary.select("term", "idf"), "term").withColumn(
-        "raw", F.col("tf") * F.col("idf"))
+    raw = term_weights(counts, vocabulary, doc)
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(doc)))
     return raw.withColumn("weight", F.col("raw") / norm).select(doc, "term", "tf", "weight")
 

@@ -1,6 +1,8 @@
 """Features, model, context and explanations."""
 
+import collections
 import math
+import random
 
 import numpy as np
 import pytest
@@ -292,3 +294,30 @@ def test_context_leaves_the_callers_columns(spark, hot_rows):
     for i, r in enumerate(out):
         assert [r[n] for n in names] == [f"{n}{i}" for n in names]
         assert r["context"] == [f"t{j}" for j in range(max(0, i - 2), i)]
+
+
+@pytest.mark.parametrize("heavy_terms", [0, 3, 10_000])
+def test_a_common_word_meets_no_task_alone(spark, heavy_terms):
+    """A word in four of five rows: with heavy terms no task has three times the median's rows; weights are the same."""
+    rng = random.Random(3)
+    rows = [(i, (["common"] if i % 5 else []) + [f"w{rng.randrange(3000)}" for _ in range(3)]) for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, terms array<string>").repartition(8)
+    counts = features.doc_terms(df)
+    vocabulary = features.vocab(df, len(rows), min_df=1, max_df=1.0, max_features=None)
+    want = {(i, t): n for i, terms in rows for t, n in collections.Counter(terms).items()}
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = features.term_weights(counts, vocabulary, "doc_id", heavy_terms).withColumn("part", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert {(r.doc_id, r.term): r.tf for r in out} == want and len(out) == len(want)
+    idf = {r.term: r.idf for r in vocabulary.collect()}
+    assert all(abs(r.raw - r.tf * idf[r.term]) < 1e-12 for r in out)
+    sizes = sorted(collections.Counter(r.part for r in out).values())
+    if heavy_terms:
+        assert sizes[-1] <= 3 * sizes[len(sizes) // 2]
+    else:
+        assert sizes[-1] > 2 * sizes[len(sizes) // 2]
