@@ -3,16 +3,21 @@
 Every word k-gram of every text is joined, by its hash, to the places where it
 stands in the templates (and the words themselves are compared). A hit votes
 for the diagonal ``place in the text - place in the template``; votes are
-counted per text, template and diagonal with partial sums. A phrase stands at a
-diagonal if all its k-grams voted for it. For the longer templates of the
-method, neighbouring diagonals (words left out or put in) are merged, and a
-span is accepted when it holds enough of the template's k-grams on a stretch
-that is not much longer than the template.
+gathered per text, template and diagonal. A phrase stands at a diagonal if all
+its k-grams voted for it. For the longer templates of the method, the diagonals
+at most DRIFT from one (words left out or put in) are merged with it, and the
+span is verified: every k-gram of the template counts once, at its place
+nearest to the middle diagonal, and only if it comes after all those of earlier
+k-grams. The span is accepted when the k-grams in order are enough of the
+template and their stretch is not much longer than it.
 
 The templates are a parameter with some tens of words, so they are broadcast.
 Each text also sends one row with its number of words, so texts without a hit
 stay. Rows are told apart by their place in the input, so repeated keys, null
-keys and repeated rows each give a row of their own. Null texts count as empty.
+keys and repeated rows each give a row of their own. Null texts count as empty;
+an empty table gives an empty result. A very long text is one row of words, and
+its votes are rows. Columns other than key and text are left out, so their
+names cannot clash.
 """
 
 from __future__ import annotations
@@ -71,23 +76,32 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", phrases: dict
         .join(F.broadcast(known), ["h", "gram"], "left")  # some tens of rows
         .filter("place = 0 OR at IS NOT NULL")
         .select("row", "key", "template", "grams", "label", "base", (F.col("place") - 1 - F.col("at")).alias("diagonal"),
-                F.when(F.col("place") == 0, F.col("gram").cast("long")).alias("n_words"), "place"))
+                F.when(F.col("place") == 0, F.col("gram").cast("long")).alias("n_words"), "at"))
     diagonals = votes.groupBy("row", "key", "template", "grams", "label", "base", "diagonal").agg(
-        F.max("n_words").alias("n_words"), F.count("diagonal").alias("hits"),
-        (F.min("place") - 1).alias("first"), (F.max("place") - 1 + K - 1).alias("last"))
-    stands = F.col("base") & (F.col("hits") == F.col("grams"))
-
-    along = Window.partitionBy("row", "template").orderBy("diagonal")
-    apart = F.col("diagonal") - F.lag("diagonal").over(along) > DRIFT
-    numbered = diagonals.withColumn("apart", F.coalesce(apart, F.lit(False)).cast("int")).withColumn(
-        "merge", F.when(F.col("base"), F.col("diagonal").cast("long")).otherwise(
-            F.sum("apart").over(along.rowsBetween(Window.unboundedPreceding, 0))))
-    merged = numbered.withColumn("stands", stands).groupBy("row", "key", "template", "grams", "label", "base", "merge").agg(
-        F.max("n_words").alias("n_words"), F.sum("hits").alias("hits"),
-        F.min("first").alias("first"), F.max("last").alias("last"), F.max("stands").alias("stands"))
-    share = F.least(F.lit(1.0), F.col("hits") / F.col("grams"))
-    near = ~F.col("base") & (share >= ENOUGH) & (F.col("last") - F.col("first") + 1 <= STRETCH * (F.col("grams") + K - 1))
-    found = merged.withColumn("share", share).withColumn("near", near)
+        F.max("n_words").alias("n_words"), F.collect_set("at").alias("ats"))  # as many as the template has
+    around = Window.partitionBy("row", "template").orderBy(F.col("diagonal").cast("long")).rangeBetween(-DRIFT, DRIFT)
+    near = F.when(~F.col("base"), F.collect_list(F.struct("diagonal", "ats")).over(around))
+    # Per k-gram of the template the nearest of its places; then those that come after all before them.
+    placed = F.expr("""filter(transform(sequence(0, grams - 1), i -> array_min(transform(
+        filter(near, n -> array_contains(n.ats, i)), n -> struct(abs(n.diagonal - diagonal) AS off, n.diagonal + i AS place)))),
+        p -> p IS NOT NULL)""")
+    chained = F.aggregate("placed", F.struct(F.lit(0).alias("n"), F.lit(-1).alias("first"), F.lit(-1).alias("last")), lambda c, p: F.when(
+        p["place"] > c["last"], F.struct((c["n"] + 1).alias("n"), F.when(c["n"] == 0, p["place"]).otherwise(c["first"]).alias("first"),
+                                         p["place"].alias("last"))).otherwise(c))
+    found = diagonals.withColumn("near", near).withColumn("placed", F.when(F.col("near").isNotNull(), placed)).withColumn(
+        "chain", F.when(F.col("near").isNotNull(), chained))
+    found = found.select(
+        "row", "key", "template", "label", "base", "diagonal", "n_words",
+        (F.col("base") & (F.size("ats") == F.col("grams"))).alias("stands"),
+        F.when(F.col("base"), F.size("ats")).otherwise(F.col("chain.n")).alias("hits"), "grams",
+        F.when(F.col("base"), F.col("diagonal")).otherwise(F.col("chain.first")).alias("first"),
+        F.when(F.col("base"), F.col("diagonal") + F.col("grams") + K - 2).otherwise(F.col("chain.last") + K - 1).alias("last"))
+    share = F.col("hits") / F.col("grams")
+    verified = ~F.col("base") & (share >= ENOUGH) & (F.col("last") - F.col("first") + 1 <= STRETCH * (F.col("grams") + K - 1))
+    # Of accepted spans at neighbouring diagonals, the one with the most k-grams is listed.
+    most = F.max(F.when(F.col("near"), F.struct("hits", (-F.col("diagonal")).alias("d")))).over(around)
+    found = found.withColumn("share", share).withColumn("near", F.coalesce(verified, F.lit(False))).withColumn(
+        "listed", F.col("near") & (most["hits"] == F.col("hits")) & (most["d"] == -F.col("diagonal")))
     whole = F.col("base") & F.col("stands")
     accepted = whole | F.col("near")
     return found.groupBy("row", "key").agg(
@@ -98,5 +112,5 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", phrases: dict
         F.array_join(F.array_sort(F.collect_set(F.when(whole, F.col("label")))), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.collect_set(F.when(accepted, F.col("label")))), ",").alias("labels"),
         F.coalesce(F.max(F.when(accepted, F.col("share"))), F.lit(0.0)).alias("score"),
-        F.array_sort(F.collect_set(F.when(accepted, F.struct("label", "first", "last")))).alias("spans"),
+        F.array_sort(F.collect_set(F.when(whole | F.col("listed"), F.struct("label", "first", "last")))).alias("spans"),
     ).drop("row").withColumnRenamed("key", key)

@@ -168,14 +168,18 @@ WITH words AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_spli
 grams AS (SELECT r, unnest(list_transform(list_zip(w[:-2], w[2:]), lambda p: concat(p[1], ' ', p[2]))) AS gram,
     unnest(range(len(w) - 1)) AS place FROM words WHERE len(w) > 1),
 known(gram, pos, template, k, label, base) AS (VALUES {_KNOWN}),
-votes AS (SELECT r, template, k, label, base, place - pos AS d, count(*) AS hits, min(place) AS a, max(place) + 1 AS b
-    FROM grams JOIN known USING (gram) GROUP BY ALL),
-jumps AS (SELECT *, coalesce(d - lag(d) OVER (PARTITION BY r, template ORDER BY d) > {license_scan.DRIFT}, false)::INT AS jump FROM votes),
-numbered AS (SELECT *, CASE WHEN base THEN d ELSE sum(jump) OVER (PARTITION BY r, template ORDER BY d) END AS part FROM jumps),
-merged AS (SELECT r, k, label, base, part, least(1e0, sum(hits)::DOUBLE / k) AS share, min(a) AS a, max(b) AS b,
-    bool_or(base AND hits = k) AS whole FROM numbered GROUP BY r, template, k, label, base, part),
-found AS (SELECT *, whole OR (NOT base AND share >= {license_scan.ENOUGH}e0
-    AND b - a + 1 <= {license_scan.STRETCH}e0 * (k + 1)) AS accepted FROM merged)
+hits AS MATERIALIZED (SELECT DISTINCT r, template, k, label, base, place - pos AS d, pos FROM grams JOIN known USING (gram)),
+stands AS (SELECT r, label, d AS a, true AS whole, 1e0 AS share, true AS accepted FROM hits WHERE base
+    GROUP BY r, template, k, label, d HAVING count(*) = k),
+nearest AS (SELECT a.r, a.template, a.k, a.label, a.d, h.pos, first(h.d + h.pos ORDER BY abs(h.d - a.d), h.d) AS place
+    FROM (SELECT DISTINCT r, template, k, label, d FROM hits WHERE NOT base) a
+    JOIN hits h ON h.r = a.r AND h.template = a.template AND NOT h.base AND abs(h.d - a.d) <= {license_scan.DRIFT} GROUP BY ALL),
+ordered AS (SELECT *, place > coalesce(max(place) OVER (PARTITION BY r, template, d ORDER BY pos
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS follows FROM nearest),
+spans AS (SELECT r, label, k, count(*) AS n, min(place) AS a, max(place) + 1 AS b FROM ordered WHERE follows GROUP BY r, template, k, label, d),
+found AS (SELECT r, label, a, whole, share, accepted FROM stands UNION ALL
+    SELECT r, label, a, false, n::DOUBLE / k, true FROM spans
+    WHERE n::DOUBLE / k >= {license_scan.ENOUGH}e0 AND b - a + 1 <= {license_scan.STRETCH}e0 * (k + 1))
 SELECT doc_id, len(w)::BIGINT AS n_words, count(*) FILTER (whole) AS n_base, min(a) FILTER (whole) AS first_word,
     max(a) FILTER (whole) AS last_word,
     coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (whole), '') AS base_labels,

@@ -183,13 +183,37 @@ def license_want(text):
     return len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))
 
 
+def method_labels(text):
+    """Labels of templates of which enough 2-grams stand in order near one diagonal."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    found = set()
+    for wording, label in license_scan.TEMPLATES.items():
+        t = wording.split()
+        grams = list(zip(t, t[1:]))
+        places = [[i for i in range(len(w) - 1) if (w[i], w[i + 1]) == g] for g in grams]
+        for d in {p - i for i, ps in enumerate(places) for p in ps}:
+            kept = []
+            for i, ps in enumerate(places):
+                close = [(abs(p - i - d), p - i, p) for p in ps if abs(p - i - d) <= license_scan.DRIFT]
+                if close and min(close)[2] > (kept[-1] if kept else -1):
+                    kept.append(min(close)[2])
+            if len(kept) >= license_scan.ENOUGH * len(grams) and kept[-1] + 1 - kept[0] + 1 <= license_scan.STRETCH * len(t):
+                found.add(label)
+    return sorted(found)
+
+
 def test_license_scan(spark):
     data = fixtures.rows() + [
         (800, "All rights reserved, all rights-reserved; all Rights Reserved", None, None, None),
         (801, "Released under the MIT License.", None, None, None),
         (802, "under the terms of the apache license, version 2.0", None, None, None),
         (803, "dedicated now to the public domain", None, None, None),
-        (804, "cc by " * 2000, None, None, None), (805, "general license public", None, None, None)]
+        (804, "cc by " * 2000, None, None, None), (805, "general license public", None, None, None),
+        (806, "public domain public domain public domain", None, None, None),  # one k-gram, three times
+        (807, "public domain the to dedicated", None, None, None), (808, "domain public the public domain dedicated to", None, None, None),
+        (809, "the public domain dedicated to the public domain the public domain", None, None, None),
+        (810, "the public domain " * 40 + "is dedicated to the public domain", None, None, None),  # a long lead-in
+        (811, "permission is granted free of charge to any one person obtaining a copy", None, None, None)]
     out = license_scan.scan(fixtures.docs(spark, data)).collect()
     got = collections.Counter((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in out)
     assert got == collections.Counter((r[0], *license_want(r[1])) for r in data)
@@ -198,6 +222,12 @@ def test_license_scan(spark):
     assert by_id[802].labels == "apache-2.0" and 0.75 <= by_id[802].score <= 1
     assert by_id[803].labels == "public-domain" and by_id[805].labels == "" and by_id[805].score == 0
     assert by_id[804].n_base == 2000
+    assert {i: by_id[i].labels for i in range(806, 812)} == {
+        806: "", 807: "", 808: "", 809: "public-domain", 810: "public-domain", 811: "mit"}
+    for r in out:
+        got = sorted({(s.label) for s in r.spans if s.label not in license_scan.PHRASES.values()})
+        assert got == method_labels([x[1] for x in data if x[0] == r.doc_id][0])
+    assert [tuple(s) for s in by_id[810].spans] == [("public-domain", 121, 125)]
     for r in out:
         assert set(r.base_labels.split(",")) - {""} <= set(r.labels.split(","))
         assert {s.label for s in r.spans} == set(r.labels.split(",")) - {""}
