@@ -321,3 +321,34 @@ def test_a_common_word_meets_no_task_alone(spark, heavy_terms):
         assert sizes[-1] <= 3 * sizes[len(sizes) // 2]
     else:
         assert sizes[-1] > 2 * sizes[len(sizes) // 2]
+
+
+@pytest.mark.parametrize("C", [0.5, 1.0, 20.0])
+def test_certificate_of_the_fit(spark, C):
+    """Residuals vanish at the optimum, equal a plain gradient, and tell a model that was not fitted to the end."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice(("good", "bad", "film", "plot", "cast")) for _ in range(rng.randrange(8))), int(rng.random() < 0.3))
+            for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    fitted = model.train_baseline(df, C=C, tol=1e-10)
+    found = {r.term: r.residual for r in model.certificate(fitted, df, C=C).collect()}
+    assert set(found) == {*fitted.vocabulary, None} and max(map(abs, found.values())) < 1e-6
+    early = model.train_baseline(df, C=C, max_iter=1)
+    rough = {r.term: r.residual for r in model.certificate(early, df, C=C).collect()}
+    assert max(map(abs, rough.values())) > 1e-4
+    # The same gradient by numpy.
+    idf = early.pipeline.stages[1].getScalingVec().toArray()
+    w = early.pipeline.stages[-1].coefficients.toArray()
+    at = {t: i for i, t in enumerate(early.vocabulary)}
+    n, ones = len(rows), sum(y for *_, y in rows)
+    total = np.append(w / (C * n), 0.0)
+    for _, text, y in rows:
+        x = np.zeros(len(w))
+        words = text.split()
+        for t in [*words, *map(" ".join, zip(words, words[1:]))]:
+            x[at[t]] += 1
+        x *= idf
+        x /= np.linalg.norm(x) or 1.0
+        d = (n / (2 * ones) if y else n / (2 * (n - ones))) * (1 / (1 + math.exp(-(x @ w + early.intercept))) - y) / n
+        total += np.append(x * d, d)
+    assert np.allclose([rough[t] for t in [*early.vocabulary, None]], total, atol=1e-9)
