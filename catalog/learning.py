@@ -382,20 +382,6 @@ def _train_char(spark, sf):
     return trained(spark, sf, hi=3, char=True).weights(spark)
 
 
-CLEAN_WORDS = WORDS.replace("lower(text)", f"lower({duck.clean('text')})")
-
-
-@query("train_certificate", f"""WITH {LABELLED_SQL}, tok AS (SELECT doc_id, {CLEAN_WORDS} AS w FROM labelled)
-  SELECT term, 0e0 AS residual FROM (SELECT term FROM (SELECT doc_id, unnest(w) AS term FROM tok
-    UNION ALL SELECT doc_id, unnest({GRAMS2}) FROM tok) GROUP BY term ORDER BY count(*) DESC, term LIMIT {TERMS})
-  UNION ALL SELECT NULL, 0e0""")
-def _certificate(spark, sf):
-    """The gradient of the loss at the fitted weights, which is 0 for every term at the optimum; the terms are SQL's."""
-    rows = labelled(spark, sf)
-    found = model.certificate(trained(spark, sf, rows, tol=1e-9, max_iter=1000), rows)
-    return found.select("term", (F.round("residual", 3) + 0.0).alias("residual"))
-
-
 @query("score_batch", """SELECT doc_id, CASE WHEN length(text) > 60 THEN concat(substr(text, 1, 60), '…') ELSE text END
   AS preview, true AS scored, true AS severity_fits, true AS label_fits FROM documents""")
 def _score_batch(spark, sf):
