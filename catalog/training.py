@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from moderata.operators import gradient
-from moderata.operators.split import nested_split
+from moderata.operators.split import assign_folds, nested_split
 from moderata.plans.training import run_tuned
 
 from .datasets import SPLIT_SQL, h
 from .evaluation import F1, HITS, RATES, THRESHOLDS
-from .inputs import labelled
+from .inputs import LABELLED_SQL, labelled
 from .learning import GRAMS2, TERMS, WORDS
 from .registry import query
 
@@ -87,6 +87,53 @@ def _weighted(spark, sf):
     return fitted(spark, sf, "weighted").weights(spark).select("term", (F.round("coef", 6) + 0.0).alias("coef"))
 
 
+def folds_sql() -> str:
+    """z3(f, doc_id, fold, y, z): logits of every fold's model for all rows, after EPOCHS steps."""
+    out = [f"""{LABELLED_SQL}, parts AS (SELECT doc_id, label AS y, CAST((row_number() OVER (PARTITION BY label
+    ORDER BY {h('42:fold')}, doc_id) - 1) % 5 AS INT) AS fold FROM labelled),
+  fs(f) AS (SELECT CAST(unnest(range(5)) AS INT)), tok AS (SELECT doc_id, fold, {WORDS} AS w FROM parts JOIN labelled USING (doc_id)),
+  counts AS MATERIALIZED (SELECT doc_id, fold, term, count(*) AS tf FROM (SELECT doc_id, fold, unnest(w) AS term FROM tok
+    UNION ALL SELECT doc_id, fold, unnest({GRAMS2}) FROM tok) GROUP BY ALL),
+  nt AS (SELECT f, count(*) FILTER (y = 0) AS n0, count(*) FILTER (y = 1) AS n1, count(*) AS n FROM parts JOIN fs ON fold <> f GROUP BY f),
+  terms AS MATERIALIZED (SELECT f, term, ln((1e0 + any_value(n)) / (1e0 + count(*))) + 1e0 AS idf FROM counts JOIN nt ON fold <> f
+    GROUP BY f, term QUALIFY row_number() OVER (PARTITION BY f ORDER BY sum(tf) DESC, term) <= {TERMS}),
+  x AS MATERIALIZED (SELECT f, doc_id, term, a / sqrt(sum(a * a) OVER (PARTITION BY f, doc_id)) AS x
+    FROM (SELECT f, doc_id, term, tf * idf AS a FROM counts JOIN terms USING (term))),
+  w0 AS (SELECT f, term, 0e0 AS w, 0e0 AS m, 0e0 AS v FROM terms UNION ALL SELECT f, NULL, 0e0, 0e0, 0e0 FROM fs)"""]
+    for e in range(EPOCHS + 1):
+        out.append(f"""z{e} AS MATERIALIZED (SELECT f, doc_id, any_value(fold) AS fold, any_value(y) AS y,
+    coalesce(sum(x * w.w), 0e0) + any_value(b.w) AS z FROM parts CROSS JOIN fs JOIN (SELECT f, w FROM w{e} WHERE term IS NULL) b USING (f)
+    LEFT JOIN x USING (f, doc_id) LEFT JOIN w{e} w USING (f, term) GROUP BY f, doc_id)""")
+        if e == EPOCHS:
+            break
+        rate = 0.05 * factor_sql(e + 1)
+        out.append(f"""d{e} AS (SELECT f, doc_id, -(CASE WHEN y = 1 THEN 2e0 * n0 ELSE 2e0 * n1 END / (n0 + n1)) * s
+      * (1 - 1e0 / (1e0 + exp(-s * z))) AS d FROM (SELECT *, CASE WHEN y = 1 THEN 1e0 ELSE -1e0 END AS s FROM z{e} WHERE fold <> f) JOIN nt USING (f)),
+  s{e} AS (SELECT f, term, sum(round(d * x * 17592186044416e0)::HUGEINT)::DOUBLE AS g FROM d{e} JOIN x USING (f, doc_id) GROUP BY f, term
+    UNION ALL SELECT f, NULL, sum(round(d * 17592186044416e0)::HUGEINT)::DOUBLE FROM d{e} GROUP BY f),
+  o{e} AS (SELECT f, term, g / 17592186044416e0 / (4e0 * n0 * n1 / (n0 + n1)) AS g FROM s{e} JOIN nt USING (f)),
+  g{e} AS (SELECT f, term, g / greatest(1e0, sqrt(sum(g * g) OVER (PARTITION BY f))) AS g FROM o{e}),
+  w{e + 1} AS MATERIALIZED (SELECT f, term, w * (1 - {rate!r} * 0.01e0) - {rate!r} * (m1 / (1 - 0.9e0 ** {e + 1}))
+      / (sqrt(v1 / (1 - 0.999e0 ** {e + 1})) + 1e-8) AS w, m1 AS m, v1 AS v
+    FROM (SELECT a.f, a.term, w, 0.9e0 * m + (1 - 0.9e0) * coalesce(g, 0e0) AS m1, 0.999e0 * v + (1 - 0.999e0) * coalesce(g, 0e0) * coalesce(g, 0e0) AS v1
+      FROM w{e} a LEFT JOIN g{e} b ON a.f = b.f AND a.term IS NOT DISTINCT FROM b.term))""")
+    return ", ".join(out)
+
+
+@query("cv_gradient", f"""WITH {folds_sql()}, scored AS (SELECT fold, y AS y_true, 1e0 / (1e0 + exp(-z)) AS prob FROM z{EPOCHS} WHERE f = fold),
+  c AS (SELECT fold, count(*) AS rows, round(avg(prob), 6) AS mean_prob, {HITS.replace("y_pred = 0", "prob < 0.5e0").replace("y_pred = 1", "prob >= 0.5e0")}
+    FROM scored GROUP BY fold)
+  SELECT fold, rows, mean_prob, tn, fp, fn, tp FROM c""")
+def _cv_gradient(spark, sf):
+    """Out-of-fold confusion and mean probability of five models that one pass a step fits together."""
+    found = gradient.fold_features(assign_folds(labelled(spark, sf), label="label"))
+    scored = gradient.out_of_fold(found, gradient.fit_folds(found, epochs=EPOCHS))
+    hit, true = F.col("prob") >= 0.5, F.col("y_true") == 1
+    return scored.groupBy("fold").agg(
+        F.count(F.lit(1)).alias("rows"), F.round(F.avg("prob"), 6).alias("mean_prob"), F.count_if(~hit & ~true).alias("tn"),
+        F.count_if(hit & ~true).alias("fp"), F.count_if(~hit & true).alias("fn"), F.count_if(hit & true).alias("tp"))
+
+
 SCORED = " UNION ALL ".join(
     f"SELECT part, y AS y_true, 1e0 / (1e0 + exp(-z)) AS prob FROM z{e} WHERE (SELECT e FROM best) = {e}" for e in range(EPOCHS + 1))
 AT = HITS.replace("y_pred = 0", "prob < threshold").replace("y_pred = 1", "prob >= threshold")

@@ -227,19 +227,23 @@ def fit(
         for slot, n in found.items():
             if slot >= 0:
                 g[slot] = n / SCALE / over
-        length = math.sqrt(float((g * g).sum()))
-        if length > clip:
-            g *= clip / length
         done += 1
-        rate = lr * factor(done, epochs, schedule)
-        w = w * (1 - rate * weight_decay)
-        m, v = BETA1 * m + (1 - BETA1) * g, BETA2 * v + (1 - BETA2) * g * g
-        w = w - rate * (m / (1 - BETA1 ** done)) / (np.sqrt(v / (1 - BETA2 ** done)) + EPS)
+        w, m, v = step(w, m, v, g, done, lr * factor(done, epochs, schedule), weight_decay, clip)
         _write_state(spark, state, done, w, m, v)
     w = best_w if validated else w
     return LinearModel(features.terms, features.idf, w[:-1].tolist(), float(w[-1]), features.settings, history=history)
 
 
+def step(w, m, v, g, t: int, rate: float, weight_decay: float, clip: float):
+    """Weights and both moments after step ``t`` along the gradient ``g``."""
+    length = math.sqrt(float((g * g).sum()))
+    if length > clip:
+        g = g * (clip / length)
+    m, v = BETA1 * m + (1 - BETA1) * g, BETA2 * v + (1 - BETA2) * g * g
+    w = w * (1 - rate * weight_decay) - rate * (m / (1 - BETA1 ** t)) / (np.sqrt(v / (1 - BETA2 ** t)) + EPS)
+    return w, m, v
+
+
 def _judge(history, t, found, over, w, best, best_w, since):
     score = macro_f1(found)
     history = [*history, {"epoch": t, "loss": found.get(LOSS, 0) / LOSS_SCALE / over, "val_macro_f1": score}]
@@ -274,6 +278,113 @@ def _last_state(spark, folder, size):
     return _read_state(spark, folder, epoch, size) if epoch else None
 
 
+@dataclass
+class FoldFeatures:
+    """A stored table (doc, fold, y, at, tf) for all folds, and every fold's own idf over the common terms (0: not its term)."""
+
+    table: DataFrame
+    terms: list[str]
+    idf: np.ndarray
+
+
+def fold_features(
+    df: DataFrame, text: str = "text", label: str = "label", doc: str = "doc_id", fold: str = "fold", lo: int = 1, hi: int = 2,
+    char: bool = False, stop: Sequence[str] | None = (), min_df: int = 1, max_df: float = 1.0, max_features: int = 50_000,
+    clean: bool = False,
+) -> FoldFeatures:
+    """Count terms once; the vocabulary and weights of a fold's model are those of the rows outside the fold."""
+    named = model_input(df, text, clean).select(
+        F.col(doc).alias("doc"), F.col(fold).alias("fold"), F.col(label).cast("int").alias("y"), F.col("model_input").alias("text"))
+    rows = materialize(add_terms(named, "text", lo, hi, char, stop).drop("text"), "terms")
+    stats = materialize(term_stats(rows, ["fold"]), "fold-terms")
+    sizes = {r["fold"]: r["count"] for r in rows.groupBy("fold").count().collect()}
+    known = []
+    for f in range(len(sizes)):
+        others = stats.filter(F.col("fold") != f).groupBy("term").agg(F.sum("df").alias("df"), F.sum("cnt").alias("cnt"))
+        n = sum(c for x, c in sizes.items() if x != f)
+        known.append({r["term"]: r["idf"] for r in select_vocab(others, n, min_df, max_df, max_features).collect()})
+    terms = sorted(set().union(*known))
+    if len(terms) > MODEL_TERMS:
+        raise ValueError(f"more than {MODEL_TERMS} terms in all folds together")
+    idf = np.array([[k.get(t, 0.0) for t in terms] for k in known])
+    v = F.unwrap_udt(F.col("tf_vector"))
+    counts = vectorizer(terms, [1.0] * len(terms)).stages[0].transform(rows)
+    return FoldFeatures(materialize(counts.select("doc", "fold", "y", v["indices"].alias("at"), v["values"].alias("tf")), "fold-counts"),
+                        terms, idf)
+
+
+def _fold_rows(batch: pa.RecordBatch, idf: np.ndarray, w: np.ndarray) -> Iterator[tuple]:
+    """(fold's number, row of every entry, feature, value, logit of every row) for every fold's model."""
+    lists = batch.column(3)
+    at, tf = lists.flatten().to_numpy(zero_copy_only=False), batch.column(4).flatten().to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+    for f in range(len(idf)):
+        a = tf * idf[f][at]
+        length = np.sqrt(np.bincount(row, a * a, batch.num_rows))
+        x = a / np.where(length > 0, length, 1.0)[row]
+        yield f, row, at, x, np.bincount(row, w[f][at] * x, batch.num_rows) + w[f][-1]
+
+
+def fit_folds(
+    features: FoldFeatures, loss: str = "weighted", gamma: float = 2.0, alpha: float = 0.25, epochs: int = 20, lr: float = 0.05,
+    weight_decay: float = 0.01, schedule: str = "linear", clip: float = 1.0,
+) -> np.ndarray:
+    """One row of weights per fold (the last is the intercept), all fitted together: a pass carries every fold's gradient."""
+    idf, (k, size) = features.idf, (features.idf.shape[0], features.idf.shape[1] + 1)
+    counts = {(r["fold"], r["y"]): r["count"] for r in features.table.groupBy("fold", "y").count().collect()}
+    n = np.array([[sum(c for (x, y), c in counts.items() if x != f and y == label) for label in (0, 1)] for f in range(k)])
+    if not n.all():
+        raise ValueError("rows of both labels are needed outside every fold")
+    weights = 2 * n[:, ::-1] / n.sum(1, keepdims=True)
+    over = n.sum(1) if loss == "focal" else (weights * n).sum(1)
+    w, m, v = np.zeros((k, size)), np.zeros((k, size)), np.zeros((k, size))
+
+    def gradients(w):
+        def add(batches):
+            high, low = np.zeros(k * size, np.int64), np.zeros(k * size, np.int64)
+            for batch in (whole.slice(a, ROWS) for whole in batches for a in range(0, whole.num_rows, ROWS)):
+                fold, y = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+                for f, row, at, x, z in _fold_rows(batch, idf, w):
+                    d = np.where(fold != f, slope(z, y, loss, tuple(weights[f]), gamma, alpha)[1], 0.0)
+                    sums = np.zeros(size, np.int64)
+                    np.add.at(sums, at, np.rint(d[row] * x * SCALE).astype(np.int64))
+                    sums[-1] += np.rint(d * SCALE).astype(np.int64).sum()
+                    high[f * size: (f + 1) * size] += sums >> 32
+                    low[f * size: (f + 1) * size] += sums & 0xFFFFFFFF
+            slots = np.flatnonzero((high != 0) | (low != 0))
+            yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int32)), pa.array(high[slots]), pa.array(low[slots])],
+                                             ["slot", "high", "low"])
+
+        found = features.table.mapInArrow(add, "slot int, high long, low long")
+        sums = found.groupBy("slot").agg(*[F.sum(F.col(c).cast("decimal(28, 0)")).alias(c) for c in ("high", "low")])
+        out = np.zeros(k * size)
+        for r in sums.collect():
+            out[r["slot"]] = ((int(r["high"]) << 32) + int(r["low"])) / SCALE
+        return out.reshape(k, size)
+
+    for t in range(1, epochs + 1):
+        g = gradients(w)
+        rate = lr * factor(t, epochs, schedule)
+        for f in range(k):
+            w[f], m[f], v[f] = step(w[f], m[f], v[f], g[f] / over[f], t, rate, weight_decay, clip)
+    return w
+
+
+def out_of_fold(features: FoldFeatures, w: np.ndarray) -> DataFrame:
+    """(doc, fold, y_true, prob): every row scored by the model that has not seen its fold."""
+    idf, kind = features.idf, features.table.schema["doc"].dataType.simpleString()
+
+    def score(batches):
+        for batch in batches:
+            fold, own = batch.column(1).to_numpy(zero_copy_only=False), np.zeros(batch.num_rows)
+            for f, *_, z in _fold_rows(batch, idf, w):
+                own = np.where(fold == f, z, own)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(own)], ["doc", "fold", "y_true", "z"])
+
+    scored = features.table.mapInArrow(score, f"doc {kind}, fold int, y_true int, z double")
+    return scored.select("doc", "fold", "y_true", scores.sigmoid(F.col("z")).alias("prob"))
+
+
 def predictions(features: Features, model: LinearModel, part: str) -> DataFrame:
     """(doc, y_true, prob) of one part, from the stored features."""
     total = sparse_dot(F.col("at"), F.col("value"), model.coef)

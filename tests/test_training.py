@@ -173,3 +173,34 @@ def test_tuned_run(spark):
     scored = run.model.transform(df).select("doc_id", "prob").collect()
     known = {r.doc_id: r.prob for r in scored}
     assert all(math.isclose(known[r.doc_id], r.prob, abs_tol=1e-12) for r in rows)
+
+
+def folded(spark):
+    data = [(i, text, y, i % 3) for i, (_, text, y, _) in enumerate(posts())]
+    return spark.createDataFrame(data, "doc_id long, text string, label int, fold int")
+
+
+@pytest.mark.parametrize("loss", g.LOSSES)
+def test_folds_fitted_together_are_those_fitted_alone(spark, loss):
+    df = folded(spark)
+    found = g.fold_features(df)
+    w = g.fit_folds(found, loss, epochs=4, lr=0.2)
+    scored = {r["doc"]: r for r in g.out_of_fold(found, w).collect()}
+    assert len(scored) == df.count()
+    for f in range(3):
+        part = df.withColumn("split", F.when(F.col("fold") == f, "test").otherwise("train"))
+        alone = g.feature_table(part)
+        model = g.fit(alone, loss, epochs=4, lr=0.2)
+        at = {t: i for i, t in enumerate(found.terms)}
+        assert {t for t, v in zip(found.terms, found.idf[f]) if v} == set(alone.terms)
+        assert np.allclose([w[f][at[t]] for t in alone.terms], model.coef, atol=1e-9) and abs(w[f][-1] - model.intercept) < 1e-9
+        for r in g.predictions(alone, model, "test").collect():
+            assert scored[r["doc"]]["fold"] == f and abs(scored[r["doc"]]["prob"] - r["prob"]) < 1e-9
+
+
+def test_folds_do_not_depend_on_partitions(spark):
+    found = g.fold_features(folded(spark))
+    other = g.FoldFeatures(found.table.repartition(5, "doc"), found.terms, found.idf)
+    assert (g.fit_folds(found, epochs=3) == g.fit_folds(other, epochs=3)).all()
+    with pytest.raises(ValueError, match="both labels"):
+        g.fit_folds(g.fold_features(folded(spark).withColumn("label", F.lit(1))), epochs=1)
