@@ -6,8 +6,9 @@ its phrases of m - 1 words are frequent. Frequent ones of the last length are
 known to every task as a bit array of bounded size (at most FILTER_BITS bits)
 over 64-bit codes; a code that shares its bit with another only makes more
 rows. Codes are counted per chunk of texts, then summed in one pre-aggregated
-grouping. From length three on only runs of frequent word pairs are read, which
-are written once. In the end the phrases themselves, no codes, are counted.
+grouping. For length three only the texts' runs of three or more words with
+frequent pairs are read, from length four on only those with frequent triples;
+both are written once, one row a text. In the end the phrases themselves, no codes, are counted.
 
 Streams. The counts are kept in two orders, by their words from left to right
 (prefix order) and from right to left (suffix order), both sorted by ranges,
@@ -44,7 +45,8 @@ from .shingles import mix, powers
 from .workspace import written
 
 LONGEST = 5
-CHARACTERS = 1 << 21
+CHARACTERS = 4 << 20
+HELD = 200_000  # different phrases that a task adds up before it passes them on
 FILTER_BITS = 1 << 27
 BITMAP_BITS = 32768  # of one bitmap of bitmap_construct_agg
 SALTS = 64
@@ -66,11 +68,9 @@ class Words:
         word = kind == WORD
         edge = np.flatnonzero(np.diff(word, prepend=False, append=False))
         start, size = edge[0::2], edge[1::2] - edge[0::2]
-        compact = LOWER[raw[word]]
-        offsets = np.append(0, np.cumsum(size))
+        self.letters, self.start = LOWER[raw[word]], np.append(0, np.cumsum(size)).astype(np.int64)
         coded = pa.Array.from_buffers(
-            pa.large_binary(), len(size), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(compact)]
-        ).dictionary_encode()
+            pa.large_binary(), len(size), [None, pa.py_buffer(self.start), pa.py_buffer(self.letters)]).dictionary_encode()
         self.ids = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         self.words = coded.dictionary
         self.piece = np.cumsum(kind == BREAK)[start]
@@ -78,7 +78,8 @@ class Words:
         per_text = np.diff(np.append(0, np.searchsorted(start, np.cumsum(lengths + 1))))
         named = pa.array(langs, pa.string()).dictionary_encode()
         self.langs, of_text = named.dictionary.to_numpy(zero_copy_only=False), named.indices.to_numpy(zero_copy_only=False)
-        self.lang = np.repeat(of_text, per_text)
+        self.lang, self.text = np.repeat(of_text, per_text), np.repeat(np.arange(len(texts)), per_text)
+        self.of_text = of_text
         self.counts = np.bincount(of_text, per_text, len(self.langs)).astype(np.int64)
         seeds = mix(codes_of(pa.array([b"in " + x.encode() for x in self.langs], pa.large_binary())) + np.uint64(1))
         known = codes_of(self.words)
@@ -90,6 +91,29 @@ class Words:
             return np.zeros(0, bool)
         return self.piece[m - 1:] == self.piece[: len(self.piece) - m + 1]
 
+    def reduced(self, good: np.ndarray, m: int, least: int) -> pa.RecordBatch:
+        """(lang, text) of every text with a run of at least ``least`` words in which all ``m`` neighbours are ``good``.
+
+        Runs are parted by line feeds, so each is a piece of its own.
+        """
+        edge = np.flatnonzero(np.diff(good, prepend=False, append=False))
+        start, end = edge[0::2], edge[1::2] + m - 1
+        start, end = start[end - start >= least], end[end - start >= least]
+        size = end - start  # two runs may share words: the last of one are the first of the next
+        word = np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
+        length = self.start[word + 1] - self.start[word]
+        stop = np.cumsum(length + 1)
+        out = np.full(int(stop[-1]) if len(stop) else 0, 0x20, np.uint8)
+        letters = np.ones(len(out), bool)
+        letters[stop - 1] = False
+        out[letters] = self.letters[np.arange(int(length.sum())) + np.repeat(self.start[word] - (np.cumsum(length) - length), length)]
+        out[stop[np.cumsum(size) - 1] - 1] = 0x0A
+        text, first = np.unique(self.text[word], return_index=True)
+        cuts = np.append(np.append(0, stop)[first], len(out)).astype(np.int64)
+        joined = pa.Array.from_buffers(pa.large_binary(), len(text), [None, pa.py_buffer(cuts), pa.py_buffer(out)])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(self.langs[self.of_text[text]], pa.string()), joined.cast(pa.binary()).cast(pa.string())], ["lang", "text"])
+
     def codes(self, m: int) -> np.ndarray:
         """The code of the m words from each place but the last m - 1."""
         n = max(len(self.ids) - m + 1, 0)
@@ -141,47 +165,44 @@ class Filter:
         return Filter(bits, size)
 
 
-def _texts(batches: Iterator[pa.RecordBatch], characters: int) -> Iterator[tuple[Words, np.ndarray | None]]:
-    """(words, how often each counts; None for once) of chunks of the rows (lang, text, times)."""
+def _texts(batches: Iterator[pa.RecordBatch], characters: int) -> Iterator[Words]:
+    """The words of chunks of the rows (lang, text)."""
     for batch in batches:
         langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        times = batch.column(2).to_numpy(zero_copy_only=False)
         a = size = 0
         for b, text in enumerate(texts, 1):
             size += len(text) + 1
             if size >= characters or b == len(texts):
-                words = Words(texts[a:b], langs[a:b])
-                # Every row of a table with ``times`` is one piece, so its break is its number.
-                yield words, None if (times[a:b] == 1).all() else times[a:b][words.piece]
+                yield Words(texts[a:b], langs[a:b])
                 a, size = b, 0
 
 
-def _summed(codes: np.ndarray, weights: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct codes, a place of each, sum of weights)."""
-    found, at, back, n = np.unique(codes, return_index=True, return_inverse=True, return_counts=True)
-    return found, at, n if weights is None else np.bincount(back, weights, len(found)).astype(np.int64)
-
-
 CODES = "lang string, code long, n long"
 
 
-def _code_rows(words: Words, places: np.ndarray, codes: np.ndarray, weights: np.ndarray | None) -> pa.RecordBatch:
-    found, at, n = _summed(codes[places], None if weights is None else weights[places])
+def _code_rows(words: Words, places: np.ndarray, codes: np.ndarray) -> pa.RecordBatch:
+    found, at, n = np.unique(codes[places], return_index=True, return_counts=True)
     lang = words.langs[words.lang[places][at]]
     return pa.RecordBatch.from_arrays(
         [pa.array(lang, pa.string()), pa.array(found.view(np.int64)), pa.array(n, pa.int64())], ["lang", "code", "n"])
 
 
+def _frequent(words: Words, m: int, known: Filter) -> np.ndarray:
+    """Whether a phrase of m words that may be frequent begins at each place."""
+    good = words.joined(m)
+    return good & known(words.codes(m)) if len(good) else good
+
+
 def frequent_codes(texts: DataFrame, m: int, least: int, shorter: Filter | None, characters: int) -> DataFrame:
     """(lang, code, n) of phrases of m words; null codes count all words. ``shorter`` holds those of m - 1 words."""
 
     def count(batches):
-        for words, weights in _texts(batches, characters):
+        for words in _texts(batches, characters):
             good = words.joined(m)
             if shorter is not None and len(good):
                 ok = shorter(words.codes(m - 1))
                 good &= ok[: len(good)] & ok[1: len(good) + 1]
-            yield _code_rows(words, np.flatnonzero(good), words.codes(m), weights)
+            yield _code_rows(words, np.flatnonzero(good), words.codes(m))
             if m == 1:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(words.langs, pa.string()), pa.nulls(len(words.langs), pa.int64()),
@@ -191,75 +212,73 @@ def frequent_codes(texts: DataFrame, m: int, least: int, shorter: Filter | None,
     return counted.filter(F.col("code").isNull() | (F.col("n") >= least))
 
 
-def runs(texts: DataFrame, words_in: Filter, pairs_in: Filter, characters: int) -> DataFrame:
-    """(lang, text, times, single): runs of frequent pairs, and frequent words with their counts (``single``)."""
+def reduced(texts: DataFrame, m: int, known: Filter, characters: int) -> DataFrame:
+    """The texts without all that cannot be in a frequent phrase of three words or more: runs of m-word phrases that may be
+    frequent, of at least three words. At most one row a text."""
 
     def cut(batches):
-        for words, _ in _texts(batches, characters):
-            listed = words.words.to_pylist()
-            found = Counter()
-            good = np.flatnonzero(words_in(words.code))
-            code, at, n = _summed(words.ids[good] * len(words.langs) + words.lang[good], None)
-            singles = [(words.langs[words.lang[good[i]]], listed[words.ids[good[i]]], k) for i, k in zip(at, n.tolist())]
-            pair = words.joined(2)
-            pair &= pairs_in(words.codes(2)) if len(pair) else pair
-            edge = np.flatnonzero(np.diff(pair, prepend=False, append=False))
-            for a, b in zip(edge[0::2].tolist(), edge[1::2].tolist()):
-                found[words.lang[a], b" ".join([listed[i] for i in words.ids[a: b + 1].tolist()])] += 1
-            columns = list(zip(*[(words.langs[x], t, n, False) for (x, t), n in found.items()],
-                               *[(*s, True) for s in singles]))
-            if columns:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(columns[0], pa.string()), pa.array(columns[1], pa.binary()).cast(pa.string()),
-                     pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.bool_())], ["lang", "text", "times", "single"])
-
-    return texts.mapInArrow(cut, "lang string, text string, times long, single boolean")
-
-
-def _phrase_rows(words: Words, weights: np.ndarray | None, filters: dict[int, Filter]) -> Iterator[pa.RecordBatch]:
-    """The phrases themselves of every length in ``filters``, told apart by their words' numbers."""
-    rank = words.ids
-    listed = words.words.cast(pa.large_string()).to_pylist()
-    for m in range(2, LONGEST + 1):
-        n = len(words.ids) - m + 1
-        if n < 1:
-            return
-        # Number of the first m words = number of (number of the first m - 1, m-th word).
-        _, rank = np.unique(rank[:n] * len(listed) + words.ids[m - 1:], return_inverse=True)
-        if m not in filters:
-            continue
-        good = np.flatnonzero(words.joined(m) & filters[m](words.codes(m)))
-        _, at, count = _summed(rank[good] * len(words.langs) + words.lang[good], None if weights is None else weights[good])
-        if len(at):
+        for words in _texts(batches, characters):
+            yield words.reduced(_frequent(words, m, known), m, 3)
+
+    return texts.mapInArrow(cut, "lang string, text string")
+
+
+def tallied(texts: DataFrame, filters: dict[int, Filter], characters: int) -> DataFrame:
+    """(lang, text, n): counts of the phrases, for every length in ``filters``, told apart by their words; per task."""
+
+    def add(words: Words, held: Counter) -> None:
+        rank, listed, langs = words.ids, words.words.to_pylist(), words.langs
+        for m in range(1, max(filters) + 1):
+            n = len(words.ids) - m + 1
+            if n < 1:
+                return
+            if m > 1:
+                # Number of m words = number of (number of the first m - 1, last word).
+                _, rank = np.unique(rank[:n] * len(listed) + words.ids[m - 1:], return_inverse=True)
+            if m not in filters:
+                continue
+            good = np.flatnonzero(_frequent(words, m, filters[m]))
+            _, at, count = np.unique(rank[good] * len(langs) + words.lang[good], return_index=True, return_counts=True)
             at = good[at]
-            phrase = [[listed[i] for i in words.ids[a: a + m].tolist()] for a in at.tolist()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(words.langs[words.lang[at]], pa.string()), pa.array(phrase, pa.list_(pa.string())),
-                 pa.array(count, pa.int64())], ["lang", "words", "n"])
+            for lang, a, k in zip(langs[words.lang[at]], at.tolist(), count.tolist()):
+                held[lang, b" ".join([listed[i] for i in words.ids[a: a + m].tolist()])] += k
+
+    def rows(held: Counter) -> pa.RecordBatch:
+        lang, text = zip(*held)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(lang, pa.string()), pa.array(text, pa.binary()).cast(pa.string()), pa.array(list(held.values()), pa.int64())],
+            ["lang", "text", "n"])
+
+    def count(batches):
+        held = Counter()
+        for words in _texts(batches, characters):
+            add(words, held)
+            if len(held) >= HELD:
+                yield rows(held)
+                held = Counter()
+        if held:
+            yield rows(held)
+
+    return texts.mapInArrow(count, "lang string, text string, n long")
 
 
 def phrase_counts(docs: DataFrame, least: int, text: str = "text", lang: str = "lang",
                   characters: int = CHARACTERS) -> tuple[DataFrame, DataFrame]:
     """((lang, words, f) of all phrases of 1 to LONGEST words with f >= least, (lang, n) of all words)."""
-    texts = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"),
-                        F.lit(1).cast("long").alias("times"))
+    texts = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     first = written(frequent_codes(texts, 1, least, None, characters), "words")
     totals = first.filter("code IS NULL").select("lang", "n")
     filters = {1: Filter.of(first.filter("code IS NOT NULL"))}
-    pairs = written(frequent_codes(texts, 2, least, filters[1], characters), "pairs")
-    filters[2] = Filter.of(pairs)
-    kept = written(runs(texts, filters[1], filters[2], characters), "runs")
-    in_runs = kept.filter("NOT single").select("lang", "text", "times")
+    filters[2] = Filter.of(written(frequent_codes(texts, 2, least, filters[1], characters), "codes"))
+    left = written(reduced(texts, 2, filters[2], characters), "texts-of-pairs")
     for m in range(3, LONGEST + 1):
-        filters[m] = Filter.of(written(frequent_codes(in_runs, m, least, filters[m - 1], characters), "codes"))
-
-    def count(batches):
-        for words, weights in _texts(batches, characters):
-            yield from _phrase_rows(words, weights, {m: f for m, f in filters.items() if m > 1})
-
-    longer = in_runs.mapInArrow(count, "lang string, words array<string>, n long")
-    single = kept.filter("single").select("lang", F.array("text").alias("words"), F.col("times").alias("n"))
-    counts = single.union(longer).groupBy("lang", "words").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
+        filters[m] = Filter.of(written(frequent_codes(left, m, least, filters[m - 1], characters), "codes"))
+        if m == 3:
+            left = written(reduced(left, 3, filters[3], characters), "texts-of-triples")
+    short, long = ({m: f for m, f in filters.items() if (m < 3) == few} for few in (True, False))
+    counts = tallied(texts, short, characters).union(tallied(left, long, characters)).select(
+        "lang", F.split("text", " ").alias("words"), "n")
+    counts = counts.groupBy("lang", "words").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
     return written(counts, "phrase-counts"), totals
 
 
