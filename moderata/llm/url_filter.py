@@ -6,13 +6,18 @@ is one sorted array of digests next to the full host strings. A task writes its
 part to its own temporary file, memory-maps it, probes it with vectorised
 binary search, compares the full strings (a digest may be shared), and removes
 the file. Only distinct hosts are probed, each with all the domains above it,
-so a host on a third of all pages is one probe; verdicts then meet the pages in
-a join on the host, which Spark splits when it is skewed.
+so a host on a third of all pages is one probe. Of these domains only those with
+as many labels as some entry are probed, so a host of very many labels costs no
+more than its length. The entries of matched hosts are broadcast to the pages if
+they are at most BROADCAST_ENTRIES; else both are joined on the host, and Spark
+splits a skewed one.
 
 An entry fits a host and all its subdomains if the path starts with the entry's
 path. Rules beat list entries; the longest host + path wins. Null urls and urls
 without ``://`` have empty host and path, fit no entry, and are allowed. Empty
-hosts and labels fit nothing but themselves. Repeated pages are judged alike.
+hosts and labels fit nothing but themselves. Repeated pages are judged alike; an
+empty table gives an empty result. Columns other than key and url are left out,
+so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -28,7 +33,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .workspace import written
+
 PART_KEYS = 200_000
+BROADCAST_ENTRIES = 200_000
 
 
 def split_urls(pages: DataFrame, key: str, url: str) -> DataFrame:
@@ -91,10 +99,13 @@ def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def match_hosts(hosts: DataFrame, entries: DataFrame) -> DataFrame:
     """(host, entry) for every host of ``hosts`` and every distinct host of ``entries`` that is it or above it."""
-    parts = max(1, entries.count() // PART_KEYS)
-    domains = hosts.select("host", F.explode(F.expr(
-        "transform(sequence(1, size(split(host, '[.]'))), i -> array_join(slice(split(host, '[.]'), i, 1000000), '.'))"
-    )).alias("name"))
+    # The host itself and those domains above it that have as many labels as some entry: few numbers, so that a host of
+    # very many labels gives no more rows than a short one.
+    depths = entries.groupBy(F.size(F.split("host", "[.]")).alias("labels")).count().collect()
+    parts = max(1, sum(r["count"] for r in depths) // PART_KEYS)
+    wanted = F.array(*[F.lit(n) for n in sorted(r["labels"] for r in depths)]).cast("array<int>")
+    domains = hosts.withColumn("labels", F.split("host", "[.]")).select("host", F.explode(F.transform(
+        F.filter(wanted, lambda n: n <= F.size("labels")), lambda n: F.array_join(F.slice("labels", -n, n), "."))).alias("name"))
 
     def keyed(names: DataFrame) -> DataFrame:
         done = names.mapInPandas(_digests, "name string, digest long")
@@ -128,6 +139,10 @@ def judge(pages: DataFrame, entries: DataFrame, key: str = "page_id", url: str =
         F.collect_list(F.struct("ruled", F.length(F.concat("host", "path")).alias("size"), "host", "path", "verdict"))
         .alias("listed"))
     per_host = matched.join(listed, "entry").groupBy("host").agg(F.flatten(F.collect_list("listed")).alias("listed"))
+    # Matched hosts are few beside the pages: broadcast if their entries are, so that a hot host's pages stay where they are.
+    per_host = written(per_host, "matched-hosts")
+    size = per_host.agg(F.sum(F.size("listed"))).first()[0] or 0
+    per_host = F.broadcast(per_host) if size <= BROADCAST_ENTRIES else per_host
     fits = F.filter("listed", lambda e: F.col("path").startswith(e["path"]))
     return (
         split.join(per_host, "host", "left")

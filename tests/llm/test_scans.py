@@ -99,6 +99,18 @@ def test_url_filter(spark, monkeypatch, part_keys):
     assert {r.verdict for r in url_filter.judge(pages, entries.limit(0)).collect()} == {"allow"}
 
 
+@pytest.mark.parametrize("broadcast", [0, 200_000])
+def test_a_host_of_very_many_labels(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(url_filter, "BROADCAST_ENTRIES", broadcast)
+    long = ".".join(["a"] * 100_000) + ".example.net"
+    pages = spark.createDataFrame([(1, f"http://{long}/en/x"), (2, f"http://{long}/de"), (3, "http://" + "." * 50_000)],
+                                  "page_id long, url string")
+    rules = spark.createDataFrame([("net", "/", "block", True), ("example.net", "/en/", "allow", True)],
+                                  "host string, path string, verdict string, ruled boolean")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(pages, rules).collect()}
+    assert got == {1: ("example.net/en/", "allow"), 2: ("net/", "block"), 3: (None, "allow")}
+
+
 def test_digests_that_collide_are_told_apart(monkeypatch):
     monkeypatch.setattr(url_filter, "digest", lambda s: np.array([len(x) for x in s], np.uint64))
     with url_filter.SortedDigests(["aa", "bb", "ccc", "dd"]) as table:
