@@ -155,12 +155,13 @@ def slice_metrics(
 ) -> DataFrame:
     """Metrics per slice and for all rows; slices below ``min_n`` rows are left out.
 
+    The slice of rows without a value has a null name, so no value can be mistaken for it.
+
     Confusion counts add up, so the total comes from the slice rows and the
     table is read and shuffled once.
     """
     fine = confusion(pred, [*by, slice_col], y_true, y_pred)
-    named = fine.select(*by, F.coalesce(F.col(slice_col).cast("string"), F.lit("null"))
-                        .alias("slice"), *COUNTS)
+    named = fine.select(*by, F.col(slice_col).cast("string").alias("slice"), *COUNTS)
     total = named.groupBy(*by).agg(*[F.sum(c).alias(c) for c in COUNTS])
     n = F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")
     # The total is known by a flag, as a slice may be called "all" as well.

@@ -181,3 +181,11 @@ def test_profile_and_imbalance(spark):
 def test_ranges_of_one_hot_value(spark):
     df = spark.createDataFrame([(0.5,)] * 1000 + [(0.1,), (0.9,)], "p double")
     assert range_bounds(df, "p", 16) in ([0.5], [0.1, 0.5], [0.1, 0.5, 0.9], [0.5, 0.9])
+
+
+def test_slice_of_rows_without_a_value(spark):
+    """Null is a slice of its own, apart from the texts null and all."""
+    rows = [("m", y, p, s) for s in (None, "null", "all") for y, p in [(0, 0), (1, 1), (1, 0)] * 4]
+    df = spark.createDataFrame(rows, "model string, y_true int, y_pred int, part string")
+    got = sorted((str(r["slice"]), r["n"]) for r in metrics.slice_metrics(df, "part").collect())
+    assert got == [("None", 12), ("all", 12), ("all", 36), ("null", 12)]
