@@ -26,6 +26,9 @@ from pyspark.sql import types as T
 from . import bpe, textscan
 
 
+GROUP = 1 << 20  # characters of a batch that goes on
+
+
 def encode(docs: DataFrame, ranks: str, key: str = "doc_id", text: str = "text", offsets: bool = True) -> DataFrame:
     """(key, ids[, ends]): the ids of every whole text, and the byte offset at which each id ends.
 
@@ -40,7 +43,7 @@ def encode(docs: DataFrame, ranks: str, key: str = "doc_id", text: str = "text",
         widths = np.array([len(t) for t in vocabulary.tokens], np.int32)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for a, b in textscan.groups(texts):  # small batches go on, so memory is bounded by a group
+            for a, b in textscan.groups(texts, GROUP):  # small batches go on, so memory is bounded by a group
                 count = np.zeros(b - a, np.int64)
                 pieces = [np.zeros(0, np.int32)]
                 for part in textscan.chunks(texts[a:b]):
