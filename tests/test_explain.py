@@ -86,3 +86,27 @@ def test_background_is_needed(spark):
         explain.shapley(frame(spark), scorer("linear"), [])
     rows = explain.background_rows(frame(spark), 2)
     assert len(rows) == 2 and rows == explain.background_rows(frame(spark).repartition(3), 2)
+
+
+def test_additive_scorers_are_summed_along_a_walk(spark):
+    """The same permutations and values as row by row; every part is asked for once a walk, not once a state."""
+    asked = []
+
+    def make(asked=None):
+        w = np.resize(np.array(W), 3000)
+
+        def part(at, value):
+            if asked is not None:
+                asked.append(len(at))
+            return w[at] * value
+        return explain.AdditiveScore(part, lambda z: 1 / (1 + np.exp(-(z - 0.2))))
+
+    additive = explain.shapley(frame(spark), make, BACKGROUND, 3).orderBy("doc_id", "at").collect()
+    stepwise = explain.shapley(frame(spark), scorer("prob"), BACKGROUND, 3).orderBy("doc_id", "at").collect()
+    assert [(r["doc_id"], r["at"]) for r in additive] == [(r["doc_id"], r["at"]) for r in stepwise]
+    assert np.allclose([(r["phi"], r["error"]) for r in additive], [(r["phi"], r["error"]) for r in stepwise])
+    at = np.arange(3000)
+    rows_b = [(np.array(a, np.int64), np.array(v, float)) for a, v in BACKGROUND]
+    orders = np.array([np.random.default_rng(i).permutation(3001) for i in range(3)])
+    gains = explain._additive_walks(make(asked), at, np.full(3000, 0.01), rows_b, 1, orders)
+    assert gains.shape == (3, 3001) and sum(asked) <= 3000 + 5
