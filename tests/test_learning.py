@@ -352,3 +352,14 @@ def test_certificate_of_the_fit(spark, C):
         d = (n / (2 * ones) if y else n / (2 * (n - ones))) * (1 / (1 + math.exp(-(x @ w + early.intercept))) - y) / n
         total += np.append(x * d, d)
     assert np.allclose([rough[t] for t in [*early.vocabulary, None]], total, atol=1e-9)
+
+
+def test_char_ngram_counts_cut_each_word_once(spark):
+    """As from whole texts, for all lengths, odd spaces and characters outside the basic plane; grams are made of distinct words."""
+    texts = ["a ab  abc\tABCDE abcde", " ", "", None, "éİ \U0001F600x\U0001F600 ab", "a\n b\x1cc a-b", "abcde " * 500]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for lo, hi in ((3, 5), (2, 2), (2, 4), (4, 6), (5, 5)):
+        whole = df.select(F.explode(features.char_ngrams(F.col("text"), lo, hi)).alias("gram")).groupBy("gram").agg(
+            F.count(F.lit(1)).alias("n"))
+        got = features.char_ngram_counts(df, "text", lo, hi)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, whole.collect()))
