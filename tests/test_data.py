@@ -195,3 +195,14 @@ def test_order_statistic_and_ranges(spark):
     assert 2 <= len(bounds) <= 7
     got = with_range(df, "v", bounds, "r").orderBy("v").collect()
     assert [r["r"] for r in got] == sorted(r["r"] for r in got)
+
+
+def test_csv_files_are_bounded(spark, tmp_path, monkeypatch):
+    """A task's rows go to several files, as each file is read by one task; a single file stays one."""
+    monkeypatch.setattr(tables, "CSV_ROWS", 40)
+    df = spark.range(100).selectExpr("concat('a \"b\"\n', id) AS text", "CAST(id AS STRING) AS label").coalesce(1)
+    for name, single in (("many", False), ("one", True)):
+        tables.write_table(df, f"{tmp_path}/{name}", "csv", single_file=single)
+        assert len(list((tmp_path / name).glob("part-*"))) == (1 if single else 3)
+        back = tables.read_posts(spark, f"{tmp_path}/{name}", na_tokens=())
+        assert back.count() == 100 and back.exceptAll(df).count() == 0
