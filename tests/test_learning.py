@@ -363,3 +363,28 @@ def test_char_ngram_counts_cut_each_word_once(spark):
             F.count(F.lit(1)).alias("n"))
         got = features.char_ngram_counts(df, "text", lo, hi)
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_documents_are_dealt_in_bounded_parts_by_id(spark, tmp_path):
+    from catalog.inputs import dealt_documents
+
+    rows = [(i, f"word{i} other") for i in range(2_000)] + [(None, "no id")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    stored = sum(p.stat().st_size for p in (tmp_path / "documents.parquet").glob("*.parquet"))
+    dealt = dealt_documents(spark, str(tmp_path), stored // 20)
+    assert dealt.rdd.getNumPartitions() >= 20
+    assert sorted(map(tuple, dealt.collect()), key=str) == sorted(rows, key=str)
+    # Rows of a document stay where its text is: what groups by document moves nothing.
+    counts = features.doc_terms(features.add_terms(dealt, "text"))
+    plan = counts.groupBy("doc_id").count()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
+def test_explainers_share_one_vocabulary(spark, monkeypatch):
+    from catalog import learning
+
+    made = []
+    pin = features.pin
+    monkeypatch.setattr(features, "pin", lambda v: made.append(v) or pin(v))
+    learning._agreement(spark, "/root/testdata/sf0.001")
+    assert len(made) == 1
