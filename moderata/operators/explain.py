@@ -108,8 +108,10 @@ def _masks(doc_key: str, seed: int, n_samples: int, d: int) -> np.ndarray:
     rng = _generator(doc_key, seed)
     drops = rng.integers(1, d + 1, n_samples - 1)
     z = np.ones((n_samples, d), dtype=np.float64)
-    order = rng.random((n_samples - 1, d)).argsort(axis=1).argsort(axis=1)
-    z[1:][order < drops[:, None]] = 0.0
+    drawn = rng.random((n_samples - 1, d))
+    # Words up to the last dropped one's draw: one sort of plain numbers, no ranks.
+    last = np.sort(drawn, axis=1)[np.arange(n_samples - 1), drops - 1]
+    z[1:][drawn <= last[:, None]] = 0.0
     return z
 
 
