@@ -388,3 +388,37 @@ def test_explainers_share_one_vocabulary(spark, monkeypatch):
     monkeypatch.setattr(features, "pin", lambda v: made.append(v) or pin(v))
     learning._agreement(spark, "/root/testdata/sf0.001")
     assert len(made) == 1
+
+
+@pytest.mark.parametrize("char", [False, True])
+def test_a_fit_cleans_once_and_cuts_terms_in_bounded_parts(spark, labelled, monkeypatch, char):
+    """Texts are cleaned once and cut twice; parts are bounded; weights are those of counting all terms of all texts."""
+    calls, dealt = [], []
+    clean, add = model.clean_text, model.add_terms
+    monkeypatch.setattr(model, "clean_text", lambda c: calls.append("clean") or clean(c))
+    monkeypatch.setattr(model, "add_terms", lambda d, *a: dealt.append(d.rdd.getNumPartitions()) or add(d, *a))
+    monkeypatch.setattr(model, "PART_BYTES", 200)
+    fitted = model.train_baseline(labelled, char=char, max_features=60, clean=True, max_iter=5)
+    assert calls == ["clean"] and dealt and min(dealt) > 8
+    terms = features.add_terms(labelled.withColumn("t", clean(F.col("text"))), "t", 1, 2, char, ())
+    want = {r["term"]: r["idf"] for r in features.vocab(terms, labelled.count(), 1, 1.0, 60).collect()}
+    assert {r["term"]: r["idf"] for r in fitted.weights(spark).collect()} == want
+
+
+def test_folds_vectorise_once(spark, labelled, monkeypatch):
+    calls = []
+    clean = model.clean_text
+    monkeypatch.setattr(model, "clean_text", lambda c: calls.append("clean") or clean(c))
+    out = model.cross_validate(labelled, 3, clean=True, max_iter=5, max_features=20)
+    assert out.count() == 120 and calls == ["clean"]
+
+
+def test_terms_are_made_once_where_they_are_unpacked(spark):
+    """No size test of the arrays is moved below the exchange, where it would make all terms a second time."""
+    df = spark.createDataFrame([(1, "ab cd ab"), (2, ""), (3, None), (4, "ab")], "doc_id long, text string").repartition(3, "doc_id")
+    rows = features.add_terms(df, "text", 1, 2)
+    for out in (features.doc_terms(rows), features.term_stats(rows), features.term_counts(df, (), "text", 1, 2, True)):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "size(" not in "".join(line for line in plan.splitlines() if "Filter" in line)
+    assert sorted(map(tuple, features.doc_terms(rows).collect())) == [
+        (1, "ab", 2), (1, "ab cd", 1), (1, "cd", 1), (1, "cd ab", 1), (4, "ab", 1)]
