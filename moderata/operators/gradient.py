@@ -32,6 +32,7 @@ from .model import model_input
 
 SCALE, LOSS_SCALE = float(1 << 44), float(1 << 24)
 ROWS = 1 << 16  # added up in 64 bits at once; carried into two numbers after that
+ENTRIES = 1 << 18  # of the features, held as plain numbers at once
 BETA1, BETA2, EPS = 0.9, 0.999, 1e-8
 STATE = "epoch int, slot int, w double, m double, v double, total int"
 LOSSES = ("focal", "weighted")
@@ -142,6 +143,22 @@ def factor(step: int, steps: int, schedule: str) -> float:
     return 1 - done if schedule == "linear" else (1 + math.cos(math.pi * done)) / 2
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], lists: int, entries: int = ENTRIES) -> Iterator[pa.RecordBatch]:
+    """The rows in order, in pieces of at most ``ROWS`` rows and ``entries`` items of the list column, one row at least.
+
+    Rows of long texts hold thousands of items, and a pass makes a dozen arrays
+    of them. Sums are whole numbers, so they do not depend on the pieces.
+    """
+    for batch in batches:
+        ends = np.cumsum(batch.column(lists).value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        a = 0
+        while a < batch.num_rows:
+            room = (ends[a - 1] if a else 0) + entries
+            b = min(max(a + 1, int(np.searchsorted(ends, room, "right"))), a + ROWS)
+            yield batch.slice(a, b - a)
+            a = b
+
+
 LOSS, COUNTS = -1, ("tn", "fp", "fn", "tp")  # slots -2 to -5 count validation rows
 
 
@@ -151,7 +168,7 @@ def one_pass(table: DataFrame, w: np.ndarray, loss: str, weights: tuple[float, f
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         high, low, marks = np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(5, np.int64)
-        for batch in (whole.slice(a, ROWS) for whole in batches for a in range(0, whole.num_rows, ROWS)):
+        for batch in _pieces(batches, 2):
             part, y = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False)
             lists = batch.column(2)
             at = lists.flatten().to_numpy(zero_copy_only=False)
@@ -342,7 +359,7 @@ def fit_folds(
     def gradients(w):
         def add(batches):
             high, low = np.zeros(k * size, np.int64), np.zeros(k * size, np.int64)
-            for batch in (whole.slice(a, ROWS) for whole in batches for a in range(0, whole.num_rows, ROWS)):
+            for batch in _pieces(batches, 3):
                 fold, y = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
                 for f, row, at, x, z in _fold_rows(batch, idf, w):
                     d = np.where(fold != f, slope(z, y, loss, tuple(weights[f]), gamma, alpha)[1], 0.0)
@@ -375,7 +392,7 @@ def out_of_fold(features: FoldFeatures, w: np.ndarray) -> DataFrame:
     idf, kind = features.idf, features.table.schema["doc"].dataType.simpleString()
 
     def score(batches):
-        for batch in batches:
+        for batch in _pieces(batches, 3):
             fold, own = batch.column(1).to_numpy(zero_copy_only=False), np.zeros(batch.num_rows)
             for f, *_, z in _fold_rows(batch, idf, w):
                 own = np.where(fold == f, z, own)

@@ -204,3 +204,15 @@ def test_folds_do_not_depend_on_partitions(spark):
     assert (g.fit_folds(found, epochs=3) == g.fit_folds(other, epochs=3)).all()
     with pytest.raises(ValueError, match="both labels"):
         g.fit_folds(g.fold_features(folded(spark).withColumn("label", F.lit(1))), epochs=1)
+
+
+def test_pieces_of_a_pass_are_bounded(spark):
+    """All rows in order, in pieces of bounded items; a longer row is a piece of its own; weights do not depend on them."""
+    import pyarrow as pa
+
+    sizes = [3, 0, 4, 25, 1, 9, 10, 0, 0]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array([[1] * n for n in sizes])], ["doc", "at"])
+    found = list(g._pieces(iter([batch.slice(0, 4), batch.slice(4), batch.slice(9)]), 1, 10))
+    assert [d for p in found for d in p.column(0).to_pylist()] == list(range(9))
+    counts = [[len(x) for x in p.column(1).to_pylist()] for p in found]
+    assert counts == [[3, 0, 4], [25], [1, 9], [10, 0, 0]]
