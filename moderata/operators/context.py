@@ -11,18 +11,38 @@ from ..functions.ranges import range_bounds, with_range
 from ..functions.text import is_blank
 
 HOT_ROWS = 1_000_000
+HOT_BYTES = 256 << 20
 RANGE_ROWS = 250_000
+# Of texts per range, and per task on average.
+RANGE_BYTES = 16 << 20
+# Rows handed over to later ranges that may travel to every task.
+HALO_ROWS = 1_000_000
 
 
-def hot_keys(df: DataFrame, key: str, hot_rows: int) -> DataFrame:
-    """Keys with more rows than one task should sort, as a table: at most rows / hot_rows keys."""
-    return df.filter(F.col(key).isNotNull()).groupBy(key).count().filter(F.col("count") > hot_rows).select(key)
+def hot_keys(df: DataFrame, key: str, hot_rows: int, text: str | None = None, hot_bytes: int = HOT_BYTES) -> DataFrame:
+    """(key, n, bytes) of keys with more rows or more text than one task should sort: at most rows / hot_rows + bytes / hot_bytes keys."""
+    size = F.lit(0) if text is None else F.octet_length(text)
+    per_key = df.filter(F.col(key).isNotNull()).select(key, size.alias("size")).groupBy(key).agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
+    return per_key.filter((F.col("n") > hot_rows) | (F.col("bytes") > hot_bytes))
 
 
 def _last(items: Column, n: int) -> Column:
     return F.when(F.size(items) > n, F.slice(items, -n, n)).otherwise(items)
 
 
+def _handed_over(ids: DataFrame, by: str, order: str, rng: str, n: int) -> DataFrame:
+    """(by, order, rng): the last ``n`` rows before each range, by their ids alone; ``rng`` is the range that they go to."""
+    tail, place = fresh(ids, "tail", "place")
+    backward = Window.partitionBy(by, rng).orderBy(F.col(order).desc())
+    tails = ids.withColumn(place, F.row_number().over(backward)).filter(F.col(place) <= n).groupBy(by, rng).agg(
+        F.sort_array(F.collect_list(order)).alias(tail))
+    # A range that occurs has at least one row, so n earlier ranges are enough.
+    earlier = Window.partitionBy(by).orderBy(rng).rowsBetween(-n, -1)
+    return tails.select(by, rng, _last(F.flatten(F.collect_list(tail).over(earlier)), n).alias(tail)).select(
+        by, rng, F.explode(tail).alias(order))
+
+
 def with_context(
     df: DataFrame, by: str, order: str, text: str = "text", n: int = 2,
     sep: str = CONTEXT_SEPARATOR, hot_rows: int = HOT_ROWS, parts: int | None = None,
@@ -31,8 +51,9 @@ def with_context(
     out) and ``context_text`` (context and text joined).
 
     ``order`` is a whole number, unique within ``by``. A key with more than
-    ``hot_rows`` rows is cut into ranges of ``order``, each its own window
-    partition; the last ``n`` texts of earlier ranges are handed over. A row
+    ``hot_rows`` rows, or more than ``HOT_BYTES`` of text, is cut into ranges of
+    ``order``, each its own window partition with the last ``n`` rows of earlier
+    ranges put before it; tasks grow in number with the texts, not in size. A row
     without a key belongs to no conversation and gets no context. Columns of the
     caller stay as they are, but for ones with the names of the two results.
     """
@@ -40,38 +61,30 @@ def with_context(
         raise ValueError("context needs a conversation or source column")
     # Rows without a key are spread over partitions of their own.
     alone = F.when(F.col(by).isNull(), F.col(order).cast("bigint")).otherwise(F.lit(0))
-    own = fresh(df, "msg", "rng", "is_hot", "from_end", "tail", "halo", "recent", "said", "joined")
-    msg, rng, is_hot, from_end, tail, halo_, recent_, said, joined = own
-    d = df.withColumn(msg, F.coalesce(F.col(text), F.lit("")))
-    before = Window.partitionBy(by, rng).orderBy(order).rowsBetween(-n, -1)
-    recent = F.collect_list(msg).over(before)
-    hot = hot_keys(df, by, hot_rows).withColumn(is_hot, F.lit(True))
-    rows = df.join(hot, by, "left_semi").count()
-    if rows:
-        parts = parts or max(2, rows // RANGE_ROWS)
-        bounds = range_bounds(df.join(hot, by, "left_semi"), order, parts)
-        d = with_range(d.join(hot, by, "left"), order, bounds, rng).withColumn(
-            rng, F.when(F.col(is_hot), F.col(rng)).otherwise(alone))
-        backward = Window.partitionBy(by, rng).orderBy(F.col(order).desc())
-        tails = (
-            d.filter(F.col(is_hot)).select(by, rng, order, msg)
-            .withColumn(from_end, F.row_number().over(backward))
-            .filter(F.col(from_end) <= n)
-            .groupBy(by, rng)
-            .agg(F.transform(F.sort_array(F.collect_list(F.struct(order, msg))),
-                             lambda s: s[msg]).alias(tail))
-        )
-        # A range that occurs has at least one row, so n earlier ranges are enough.
-        earlier = Window.partitionBy(by).orderBy(rng).rowsBetween(-n, -1)
-        halo = tails.select(
-            by, rng, _last(F.flatten(F.collect_list(tail).over(earlier)), n).alias(halo_))
-        d = d.join(halo, [by, rng], "left")
-        known = F.coalesce(halo_, F.array().cast("array<string>"))
+    rng, is_hot, halo, recent, said, joined = fresh(df, "rng", "is_hot", "halo", "recent", "said", "joined")
+    hot = hot_keys(df, by, hot_rows, text, HOT_BYTES)
+    keys, rows, size = hot.agg(F.count(F.lit(1)), F.sum("n"), F.sum("bytes")).first()
+    if keys:
+        parts = parts or max(2, rows // RANGE_ROWS, -(-size // RANGE_BYTES))
+        named = hot.select(by, F.lit(True).alias(is_hot))
+        named = F.broadcast(named) if keys <= HALO_ROWS else named
+        narrow = df.select(by, order).join(named, by).drop(is_hot)
+        bounds = range_bounds(narrow, order, parts)
+        d = with_range(df.join(named, by, "left"), order, bounds, rng).withColumn(
+            rng, F.when(F.col(is_hot), F.col(rng)).otherwise(alone)).drop(is_hot)
+        handed = _handed_over(with_range(narrow, order, bounds, rng), by, order, rng, n)
+        handed = F.broadcast(handed) if min(rows, keys * (len(bounds) + 1)) * n <= HALO_ROWS else handed
+        before_range = df.select(by, order, text).join(handed, [by, order]).withColumn(halo, F.lit(True))
+        d = d.withColumn(halo, F.lit(False)).unionByName(before_range, allowMissingColumns=True)
+        # A number of parts of its own: adaptive execution would put small ranges together again.
+        whole = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+        d = d.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-whole // RANGE_BYTES)), by, rng)
     else:
-        d = d.withColumn(rng, alone)
-        known = F.array().cast("array<string>")
-    out = d.withColumn(recent_, recent)
-    spoken = F.filter(_last(F.concat(known, F.col(recent_)), n), lambda m: ~is_blank(m))
-    out = out.withColumn(said, spoken).withColumn(joined, F.array_join(F.concat(said, F.array(msg)), sep))
+        d = df.withColumn(rng, alone).withColumn(halo, F.lit(False))
+    before = Window.partitionBy(by, rng).orderBy(order).rowsBetween(-n, -1)
+    # Collects no nulls; they are blank as well.
+    out = d.withColumn(recent, F.collect_list(text).over(before)).filter(~F.col(halo))
+    out = out.withColumn(said, F.filter(recent, lambda m: ~is_blank(m)))
+    out = out.withColumn(joined, F.array_join(F.concat(said, F.array(F.coalesce(F.col(text), F.lit("")))), sep))
     kept = [c for c in df.columns if c.lower() not in ("context", "context_text")]
     return out.select(*kept, F.col(said).alias("context"), F.col(joined).alias("context_text"))

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from moderata.operators import explain, features, model
+from moderata.operators import context, explain, features, model
 from moderata.operators.context import with_context
 
 TEXTS = ["the cat sat", "the cat ran fast", "a dog ran", "cat cat dog", "the the the", "", "dog fast"]
@@ -422,3 +422,21 @@ def test_terms_are_made_once_where_they_are_unpacked(spark):
         assert "size(" not in "".join(line for line in plan.splitlines() if "Filter" in line)
     assert sorted(map(tuple, features.doc_terms(rows).collect())) == [
         (1, "ab", 2), (1, "ab cd", 1), (1, "cd", 1), (1, "cd ab", 1), (4, "ab", 1)]
+
+
+@pytest.mark.parametrize("hot_rows", [10, 10**6])
+@pytest.mark.parametrize("n", [1, 3])
+def test_context_of_long_texts_is_cut_by_their_size(spark, monkeypatch, hot_rows, n):
+    """Ranges and tasks follow the bytes of the texts, and adaptive execution does not put them together."""
+    monkeypatch.setattr(context, "RANGE_BYTES", 2_000)
+    monkeypatch.setattr(context, "HOT_BYTES", 10_000)
+    rows = [(c, i, None if i % 7 == 0 else " " if i % 11 == 0 else f"{c}{i} " + "x" * 400) for c in "ab" for i in range(100)]
+    rows += [("cold", i, f"c{i}") for i in range(4)] + [(None, i, f"n{i}") for i in range(3)]
+    df = spark.createDataFrame(rows, "conv string, turn long, text string").repartition(3)
+    out = with_context(df, "conv", "turn", n=n, hot_rows=hot_rows)
+    assert out.rdd.getNumPartitions() >= 30
+    by = {c: [x for k, _, x in rows if k == c] for c in ("a", "b", "cold")}
+    want = {(c, i): [] if c is None else [x for x in by[c][max(0, i - n):i] if x and x.strip()] for c, i, _ in rows}
+    got = out.collect()
+    assert {(r.conv, r.turn): r.context for r in got} == want and len(got) == len(rows)
+    assert {(r.conv, r.turn): r.text for r in got} == {(c, i): x for c, i, x in rows}
