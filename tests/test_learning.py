@@ -440,3 +440,17 @@ def test_context_of_long_texts_is_cut_by_their_size(spark, monkeypatch, hot_rows
     got = out.collect()
     assert {(r.conv, r.turn): r.context for r in got} == want and len(got) == len(rows)
     assert {(r.conv, r.turn): r.text for r in got} == {(c, i): x for c, i, x in rows}
+
+
+def test_parts_follow_the_texts_not_their_stored_size(spark, tmp_path):
+    """Repeated texts are stored in a fraction of their size, and take as many tasks as others."""
+    from catalog.inputs import dealt_documents
+
+    text = " ".join(f"word{i}" for i in range(200))
+    spark.range(2_000).select(F.col("id").alias("doc_id"), F.lit(text).alias("text")).coalesce(1).write.parquet(
+        f"{tmp_path}/documents.parquet")
+    size = 2_000 * len(text)
+    stored = sum(p.stat().st_size for p in (tmp_path / "documents.parquet").glob("*.parquet"))
+    assert stored < size / 20
+    dealt = dealt_documents(spark, str(tmp_path), size // 40)
+    assert dealt.rdd.getNumPartitions() >= 40 and dealt.count() == 2_000
