@@ -454,3 +454,24 @@ def test_parts_follow_the_texts_not_their_stored_size(spark, tmp_path):
     assert stored < size / 20
     dealt = dealt_documents(spark, str(tmp_path), size // 40)
     assert dealt.rdd.getNumPartitions() >= 40 and dealt.count() == 2_000
+
+
+def test_rows_of_all_terms_take_as_many_tasks_as_they_need(spark, monkeypatch):
+    """Joined by hash in tasks that follow the number of rows, whatever the session's shuffle partitions are."""
+    rng = random.Random(5)
+    rows = [(i, ["common"] * (i % 3) + [f"w{rng.randrange(500)}" for _ in range(5)]) for i in range(600)] + [(600, []), (601, None)]
+    df = spark.createDataFrame(rows, "doc_id long, terms array<string>").repartition(4)
+    vocabulary = features.vocab(df, len(rows), max_features=None)
+    monkeypatch.setattr(features, "TASK_ROWS", 100)
+    monkeypatch.setattr(features, "HEAVY_TERMS", 5)
+    out = features.tfidf(df, vocabulary, max_features=None)
+    assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    got = out.collect()
+    assert out.rdd.getNumPartitions() >= len(got) / 100 > 20
+    idf = {r.term: r.idf for r in vocabulary.collect()}
+    want = {}
+    for i, terms in rows:
+        raw = {t: n * idf[t] for t, n in collections.Counter(terms or []).items() if t in idf}
+        norm = math.sqrt(sum(a * a for a in raw.values()))
+        want |= {(i, t): a / norm for t, a in raw.items()}
+    assert len(got) == len(want) and all(abs(r.weight - want[r.doc_id, r.term]) < 1e-9 for r in got)
