@@ -120,12 +120,17 @@ def add_negatives(
     return drop_blank(df.unionByName(extra, allowMissingColumns=True), "text")
 
 
-def latest_corrections(feedback: DataFrame) -> DataFrame:
-    """The newest correction of each text: (key, id, label, input_text)."""
+def correction_rows(feedback: DataFrame) -> DataFrame:
+    """(id, key, label, input_text) of every submission that corrects its prediction."""
     fixes = errors_of(feedback, "prediction", "user_label").select(
         "id", key_digest(text_key(F.col("input_text"))).alias("key"),
         label_value(F.col("user_label")).alias("label"), "input_text")
-    fixes = fixes.filter("label IS NOT NULL")
+    return fixes.filter("label IS NOT NULL")
+
+
+def latest_corrections(feedback: DataFrame) -> DataFrame:
+    """The newest correction of each text: (key, id, label, input_text)."""
+    fixes = correction_rows(feedback)
     # A hash aggregate over keys and ids; texts are read again for the winners only.
     newest = fixes.groupBy("key").agg(F.max("id").alias("id"))
     return fixes.join(newest, ["key", "id"], "left_semi").select("key", "id", "label", "input_text").dropDuplicates(
