@@ -265,6 +265,21 @@ def test_lime_long_document_uses_the_dual_solve():
     assert np.allclose(a, np.linalg.solve(zc.T @ zc + 0.5 * np.eye(400), zc.T @ yc))
 
 
+def test_lime_masks_and_solve_need_less_than_the_draws():
+    """Masks are those of ranked draws; a long document's solve makes no second copy of its samples."""
+    import tracemalloc
+
+    rng = explain._generator("7", 1)
+    drops, ranks = rng.integers(1, 5001, 299), rng.random((299, 5000)).argsort(axis=1).argsort(axis=1)
+    z = explain._masks("7", 1, 300, 5000)
+    assert z[0].all() and (z[1:] == (ranks >= drops[:, None])).all()
+    tracemalloc.start()
+    explain._ridge(z, z[:, 3] * 0.8, np.ones(300), 0.5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < z.nbytes
+
+
 def test_agreement(spark):
     a = spark.createDataFrame([(1, "x", 1.0), (1, "y", -1.0)], "doc_id long, token string, weight double")
     b = spark.createDataFrame([(1, "x", 0.5), (1, "z", 1.0), (2, "q", 1.0)], "doc_id long, token string, weight double")
