@@ -490,3 +490,27 @@ def test_rows_of_all_terms_take_as_many_tasks_as_they_need(spark, monkeypatch):
         norm = math.sqrt(sum(a * a for a in raw.values()))
         want |= {(i, t): a / norm for t, a in raw.items()}
     assert len(got) == len(want) and all(abs(r.weight - want[r.doc_id, r.term]) < 1e-9 for r in got)
+
+
+def test_terms_that_were_not_kept_are_dropped_before_rows_are_dealt(spark, monkeypatch):
+    """A bit array of any size lets every kept term through; with room, nearly no other."""
+    counts = spark.range(4000).selectExpr("id div 20 AS doc_id", "concat('t', id % 1000) AS term", "1 + cast(id % 3 AS int) AS tf")
+    counts = counts.unionByName(counts.select("doc_id", F.lit("all").alias("term"), "tf").distinct())
+    vocabulary = counts.filter("term = 'all' OR term LIKE '%7'").groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", 5 - F.log("df"))
+    want = sorted((r.doc_id, r.term, r.tf, r.tf * r.idf) for r in counts.join(vocabulary, "term").collect())
+    keys, dealt = [], features._dealt
+
+    def spy(rows, parts, key):
+        if key == "at":
+            keys.append(rows.select("term").distinct().count())
+        return dealt(rows, parts, key)
+
+    monkeypatch.setattr(features, "_dealt", spy)
+    for bits in (1 << 28, 64 * features.BIT_WORDS):
+        monkeypatch.setattr(features, "FILTER_BITS", bits)
+        got = features.term_weights(counts, vocabulary, "doc_id", 1).select("doc_id", "term", "tf", "raw")
+        assert sorted(map(tuple, got.collect())) == want
+    bits, size = features._term_bits(vocabulary)
+    assert size == 64 * features.BIT_WORDS
+    assert bits.selectExpr("explode(words) AS w").agg(F.sum(F.bit_count("w"))).first()[0] <= 101
+    assert max(keys) < 200 < counts.select("term").distinct().count()
