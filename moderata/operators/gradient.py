@@ -108,7 +108,7 @@ def feature_table(
         raise ValueError(f"at most {MODEL_TERMS} terms")
     named = model_input(df, text, clean).select(
         F.col(doc).alias("doc"), F.col(part).alias("part"), F.col(label).cast("int").alias("y"), F.col("model_input").alias("text"))
-    rows = materialize(add_terms(named, "text", lo, hi, char, stop).drop("text"), "terms")
+    rows = materialize(add_terms(named, "text", lo, hi, char, stop).drop("text"), "terms", arrays=True)
     train = rows.filter("part = 'train'")
     words = sorted(select_vocab(term_stats(train), train.count(), min_df, max_df, max_features).collect(), key=lambda r: r["term"])
     if not words:
@@ -118,7 +118,7 @@ def feature_table(
     table = vectorizer(terms, idf).transform(rows).select(
         "doc", "part", "y", v["indices"].alias("at"), v["values"].alias("value"))
     settings = {"lo": lo, "hi": hi, "char": char, "clean": clean, "stop": None if stop is None else list(stop)}
-    return Features(materialize(table, "features"), terms, idf, settings)
+    return Features(materialize(table, "features", arrays=True), terms, idf, settings)
 
 
 def slope(z: np.ndarray, y: np.ndarray, loss: str, weights: tuple[float, float], gamma: float, alpha: float):
@@ -312,7 +312,7 @@ def fold_features(
     """Count terms once; the vocabulary and weights of a fold's model are those of the rows outside the fold."""
     named = model_input(df, text, clean).select(
         F.col(doc).alias("doc"), F.col(fold).alias("fold"), F.col(label).cast("int").alias("y"), F.col("model_input").alias("text"))
-    rows = materialize(add_terms(named, "text", lo, hi, char, stop).drop("text"), "terms")
+    rows = materialize(add_terms(named, "text", lo, hi, char, stop).drop("text"), "terms", arrays=True)
     stats = materialize(term_stats(rows, ["fold"]), "fold-terms")
     sizes = {r["fold"]: r["count"] for r in rows.groupBy("fold").count().collect()}
     known = []
@@ -326,7 +326,7 @@ def fold_features(
     idf = np.array([[k.get(t, 0.0) for t in terms] for k in known])
     v = F.unwrap_udt(F.col("tf_vector"))
     counts = vectorizer(terms, [1.0] * len(terms)).stages[0].transform(rows)
-    return FoldFeatures(materialize(counts.select("doc", "fold", "y", v["indices"].alias("at"), v["values"].alias("tf")), "fold-counts"),
+    return FoldFeatures(materialize(counts.select("doc", "fold", "y", v["indices"].alias("at"), v["values"].alias("tf")), "fold-counts", arrays=True),
                         terms, idf)
 
 

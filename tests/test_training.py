@@ -216,3 +216,24 @@ def test_pieces_of_a_pass_are_bounded(spark):
     assert [d for p in found for d in p.column(0).to_pylist()] == list(range(9))
     counts = [[len(x) for x in p.column(1).to_pylist()] for p in found]
     assert counts == [[3, 0, 4], [25], [1, 9], [10, 0, 0]]
+
+
+def test_rows_of_long_arrays_are_stored_in_small_groups(spark, monkeypatch):
+    """A reader unpacks up to 4 096 rows of a group at once, so a group holds few rows with many entries."""
+    import pyarrow.parquet as pq
+
+    from moderata.operators import model
+    from moderata.sources import workspace
+
+    monkeypatch.setattr(workspace, "ARRAY_BYTES", 1 << 16)
+    words = [f"{a}{b}{c}" for a in "bcdfg" for b in "aeiou" for c in "lmnpq"]
+    rng = random.Random(3)
+    data = [(i, " ".join(rng.choices(words, k=150)), i % 2) for i in range(1200)]
+    rows = model._Rows(spark.createDataFrame(data, "doc_id long, text string, label int").repartition(2), "text", "label",
+                       "doc_id", 1, 1, True, (), False)
+    monkeypatch.setattr(rows, "dealt", rows.dealt.coalesce(1))
+    stored, documents = rows.vectors(sorted({r["term"] for r in rows.term_counts(1, 1.0).collect()}))
+    groups = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in stored.inputFiles()]
+    sizes = [m.row_group(i).num_rows for m in groups for i in range(m.num_row_groups)]
+    assert sum(sizes) == 1200 and max(sizes) <= 400
+    assert documents.count() == len({t for r in stored.select("tf_vector").collect() for t in r["tf_vector"].indices})
